@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (fail_bits & {quality_rules.POLICIES["base"]}) <> 0 AS base_failed, (fail_bits & {quality_rules.POLICIES["v1"]}) = 0 AS kept,
   n_lines, n_letter_words, fail_bits FROM b
 """
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the 32k piece vocabulary."""
+    import public_tokenizers
+
+    counts = token_counts.token_counts(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
+    got = table(spark, sf_dir, "documents").select("doc_id", counts.alias("c"))
+    return got.select("doc_id", "c.n_bytes", "c.n_tokens", (F.col("c.n_tokens") > 4096).alias("over_limit"))
