@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, token_counts
+from . import decontamination, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+
+@query
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; a document is a repository, its source the owner."""
+    got = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def n(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return got.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.digest(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"), "n_live", "n_copied")
