@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, secrets, token_counts
+from . import decontamination, quality_rules, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,17 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return got.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.digest(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"), "n_live", "n_copied")
+
+
+def _fold(n: int) -> Column:
+    """crc32 of the id as text, modulo n; null ids count as 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)), F.lit(0))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; a third of the ids is held out of learning."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.filter(_fold(3) != 1), labels.filter(_fold(3) != 1))
+    got = docs.select("doc_id", (_fold(3) == 1).alias("held_out"), toxicity.score(spark, model, F.col("text")).alias("t"))
+    return got.select("doc_id", "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= 0.7).cast("int").alias("predicted"), "t.llr", "t.peak")
