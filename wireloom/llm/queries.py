@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, secrets, token_counts, toxicity
+from . import decontamination, language_id, quality_rules, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.filter(_fold(3) != 1), labels.filter(_fold(3) != 1))
     got = docs.select("doc_id", (_fold(3) == 1).alias("held_out"), toxicity.score(spark, model, F.col("text")).alias("t"))
     return got.select("doc_id", "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= 0.7).cast("int").alias("predicted"), "t.llr", "t.peak")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the ids is held out of learning."""
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.filter(_fold(3) != 1))
+    got = docs.select("doc_id", (_fold(3) == 1).alias("held_out"), language_id.identify(spark, net, F.col("text")).alias("p"))
+    return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
