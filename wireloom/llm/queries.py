@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, quality_rules, secrets, token_counts, toxicity
+from . import decontamination, language_id, lm_scoring, quality_rules, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = language_id.fit(docs.filter(_fold(3) != 1))
     got = docs.select("doc_id", (_fold(3) == 1).alias("held_out"), language_id.identify(spark, net, F.col("text")).alias("p"))
     return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document; a seventh of the ids is held out of learning."""
+    docs = table(spark, sf_dir, "documents")
+    model = lm_scoring.fit(docs.filter(_fold(7) != 2))
+    got = docs.select("doc_id", (_fold(7) == 2).alias("held_out"), lm_scoring.score(model, F.col("text")).alias("s"))
+    score = F.col("s.score")
+    return got.select(
+        "doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        F.round("s.base_score", 6).alias("base_score"), F.round(score, 6).alias("score"), F.round(F.pow(F.lit(10.0), -score / F.col("s.n_tokens")), 4).alias("perplexity"),
+    )
