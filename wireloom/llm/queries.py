@@ -138,3 +138,36 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"),
         F.round("s.base_score", 6).alias("base_score"), F.round(score, 6).alias("score"), F.round(F.pow(F.lit(10.0), -score / F.col("s.n_tokens")), 4).alias("perplexity"),
     )
+
+
+_D = "CASE WHEN n1 * n2 * n3 * n4 = 0 THEN [0.5, 1.0, 1.5] ELSE [greatest(0, least(1, 1 - 2 * n1 / (n1 + 2 * n2) * n2 / n1)), greatest(0, least(2, 2 - 3 * n1 / (n1 + 2 * n2) * n3 / n2)), greatest(0, least(3, 3 - 4 * n1 / (n1 + 2 * n2) * n4 / n3))] END"
+
+
+def _tally(c: str) -> str:
+    return ", ".join(f"count(*) FILTER ({c} = {i})::DOUBLE AS n{i}" for i in range(1, 5)) + f", count(*) FILTER ({c} > 2)::DOUBLE AS more"
+
+
+ORACLES["op2_lm_scoring"] = rf"""
+WITH RECURSIVE bits AS (SELECT n, n AS c, 0 AS k FROM range(256) AS t(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+ids AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents),
+crc AS (SELECT doc_id, s, 4294967295::BIGINT AS c, 1 AS i FROM ids UNION ALL
+  SELECT doc_id, s, xor(c >> 8, t[((xor(c, ascii(s[i])::BIGINT)) & 255) + 1]), i + 1 FROM crc, crc_table WHERE i <= length(s)),
+fold AS (SELECT doc_id, xor(c, 4294967295) % 7 = 2 AS held_out FROM crc WHERE i = length(s) + 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, held_out,
+  list_concat(['<'], [' ' || x for x in regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')], ['>']) AS ws
+  FROM documents JOIN fold USING (doc_id)),
+b AS (SELECT r, held_out, unnest(ws[:-2]) AS h, unnest(ws[2:]) AS w FROM d),
+p AS (SELECT h, w, count(*) AS c FROM b WHERE NOT held_out GROUP BY ALL),
+pt AS (SELECT {_tally("c")} FROM p), pd AS (SELECT {_D} AS d FROM pt),
+u AS (SELECT w, sum(c) AS c, count(*) AS k FROM p GROUP BY w),
+ut AS (SELECT {_tally("k")}, sum(c)::DOUBLE AS n, count(*)::DOUBLE AS v, sum(k)::DOUBLE AS types FROM u), ud AS (SELECT *, {_D} AS d FROM ut),
+ctx AS (SELECT h, sum(c)::DOUBLE AS total, (d[1] * count(*) FILTER (c = 1) + d[2] * count(*) FILTER (c = 2) + d[3] * count(*) FILTER (c > 2)) / sum(c) AS rest FROM p, pd GROUP BY h, d),
+s AS (SELECT r, coalesce(u.c, 0) AS c, log10((coalesce(u.c, 0) + 1) / (n + v + 1)) AS base,
+  log10(CASE WHEN p.c IS NULL THEN 0 ELSE (p.c - pd.d[least(p.c, 3)]) / total END + coalesce(rest, 1) *
+    (CASE WHEN k IS NULL THEN 0 ELSE (k - ud.d[least(k, 3)]) / types END + (ud.d[1] * n1 + ud.d[2] * n2 + ud.d[3] * more) / types / (v + 1))) AS lp
+  FROM b LEFT JOIN u USING (w) LEFT JOIN p USING (h, w) LEFT JOIN ctx USING (h), pd, ud),
+g AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(base) AS base_score, sum(lp) AS score FROM s GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, (SELECT n::BIGINT FROM ut) AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score,
+  round(pow(10.0, -score / n_tokens), 4) AS perplexity FROM d JOIN g USING (r)
+"""
