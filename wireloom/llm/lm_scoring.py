@@ -24,10 +24,10 @@ from ._shared import keep, new_dir, struct_of
 
 BEGIN, END = B.U(0x51A7_0000_0000_0B01), B.U(0xE4D0_0000_0000_0E02)
 #: Pairs of a shard, about; a task that makes or reads a shard holds 20 bytes of each.
-SHARD_PAIRS = 2_000_000
+SHARD_PAIRS = 1_000_000
 #: Pairs that a counting task gathers before it hands them on.
-GATHER = 3_000_000
-CHUNK = 4 << 20
+GATHER = 1_500_000
+CHUNK = 2 << 20
 PARTS = struct_of(shard="long", first="binary", second="binary", count="binary")
 WORD_PARTS = struct_of(kind="int", shard="long", word="binary", conts="binary", count="binary", stats="[long]")
 SCORED = struct_of(n_tokens="long", n_known="long", base_score="double", score="double")
