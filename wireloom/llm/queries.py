@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, quality_rules, secrets, token_counts, toxicity
+from . import decontamination, language_id, lm_scoring, near_dedup, quality_rules, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +171,23 @@ g AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(ba
 SELECT doc_id, held_out, n_tokens, n_known, (SELECT n::BIGINT FROM ut) AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score,
   round(pow(10.0, -score / n_tokens), 4) AS perplexity FROM d JOIN g USING (r)
 """
+
+
+@query
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets are at least 85 % alike."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_near_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 4], ' ')) AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, g FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM g a JOIN g b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c ON node = doc_id
+"""
