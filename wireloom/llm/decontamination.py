@@ -18,12 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _bytes as B
+from . import _filter
 from ._shared import fresh, keep, struct_of
 
-#: Bits of the filter that spares most training grams the join: 1 MB whatever
-#: the benchmark's size. A full filter lets all grams through to the join.
-FILTER_BITS = 1 << 23
-
 MARK = T.ArrayType(struct_of(fp="long", pos="int", size="int", around="[long]"))
 MARKED = struct_of(n_words="long", marks=MARK)
 
@@ -74,8 +71,7 @@ def _marks(column: pa.Array, window: int, k: int, sizes: list[int], wanted: np.n
             found.append((at, B.combine(grams[at], n) if len(at) else np.zeros(0, B.U), np.full(len(at), -n)))
         at, fp, size = (np.concatenate(x) for x in zip(*found, strict=True))
         if wanted is not None:
-            bit = (fp % B.U(FILTER_BITS)).astype(np.int64)
-            ok = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            ok = _filter.passes(wanted, fp)
             at, fp, size = at[ok], fp[ok], size[ok]
         order = np.argsort(at, kind="stable")
         at, fp, size = at[order], fp[order], size[order]
@@ -120,15 +116,6 @@ def _extend(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], names=["left", "right"])
 
 
-def _filter(fps: DataFrame) -> bytes:
-    """The filter over the benchmark's grams; at most FILTER_BITS bits come to the driver."""
-    bit = F.expr(f"pmod(cast(fp % {FILTER_BITS} + {(1 << 64) % FILTER_BITS} * cast(fp < 0 as bigint) as bigint), {FILTER_BITS})")
-    words = fps.select(bit.alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("v")).toArrow()
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    bits[words["w"].to_numpy()] = words["v"].to_numpy().astype(np.uint32)
-    return bits.tobytes()
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per row of docs: the id, n_words, n_hit, item_ids (sorted strings) and contaminated.
 
@@ -141,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), _marker(window, k, [], None)(F.col(text_col)).alias("m"))
     items = keep(items.select("item", F.explode("m.marks").alias("m")).select("item", "m.fp", "m.size", "m.around").distinct(), "items")
     sizes = sorted(-r["size"] for r in items.select("size").filter("size < 0").distinct().collect())  # below the window
-    marked = docs.select(F.col(id_col), _marker(window, k, sizes, _filter(items))(F.col(text_col)).alias("m"))
+    marked = docs.select(F.col(id_col), _marker(window, k, sizes, _filter.make(items, "fp"))(F.col(text_col)).alias("m"))
     marked = keep(marked.select(F.monotonically_increasing_id().alias("row"), id_col, "m.n_words", "m.marks"), "marked")
 
     marks = marked.select("row", F.explode("marks").alias("m")).select("row", "m.fp", "m.pos", "m.size", F.col("m.around").alias("mine"))

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._graph import EDGE, components
+from ._blocks import keyed_blocks, spanning_links
+from ._graph import components
 from ._shared import keep, struct_of
 
 SHINGLE = 5
@@ -29,8 +30,6 @@ SHINGLE = 5
 BANDS, BAND_ROWS = 28, 7
 #: Items whose permutations a worker holds at once, at a byte per component.
 SIGN_AT_ONCE = 200_000
-#: Classes of a block; a task compares two blocks at a time.
-BLOCK = 256
 #: Ids up to which candidates' texts are picked by a broadcast (8 MB); beyond, by a shuffled join.
 PICKED_IDS = 500_000
 SIGNED = struct_of(n="long", h1="long", h2="long", bands="[long]")
@@ -162,76 +161,6 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     return np.nonzero(np.triu(100 * both >= percent * union, 1))
 
 
-def _verify(percent: int):
-    def decide(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        if len(nodes) < 2:
-            return []
-        parent = list(range(len(nodes)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out = []
-        for a, b in zip(*(x.tolist() for x in linked_pairs(sets, percent)), strict=True):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[ra] = rb
-                out.append((nodes[a], nodes[b]))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key, so that a key's rows are at hand together."""
-        key, nodes, sets = None, [], []
-        for batch in batches:
-            out = []
-            for k, node, items in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), batch.column("items"), strict=True):
-                if k != key:
-                    out += decide(nodes, sets)
-                    key, nodes, sets = k, [], []
-                nodes.append(node)
-                sets.append(np.frombuffer(items.as_py(), B.U))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
-        out = decide(nodes, sets)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
-
-    return run
-
-
-def _blocks(families: DataFrame, percent: int) -> DataFrame:
-    """Rows (node, root, n) to rows (key, node): every two that may link meet under some key.
-
-    A family of at most BLOCK classes has one key. A larger one is cut by set
-    size into levels, of which only neighbours can link, and a level into
-    blocks by hash; each two blocks of the same or neighbouring levels share a key.
-    """
-    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * 1.000001))).cast("int")
-    nodes = families.withColumn("level", level)
-    tally = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
-    small = nodes.join(tally.filter(F.col("total") <= BLOCK), "root", "left_semi").select(F.concat_ws(":", "root").alias("key"), "node")
-    large = nodes.join(tally.filter(F.col("total") > BLOCK), "root", "left_semi")
-    levels = large.groupBy("root", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    own = large.join(levels, ["root", "level"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    above = levels.select("root", (F.col("level") - 1).alias("level"), F.col("parts").alias("above"))
-    below = levels.select("root", (F.col("level") + 1).alias("level"), F.col("parts").alias("below"))
-    own = own.join(above, ["root", "level"], "left").join(below, ["root", "level"], "left")
-
-    def keys(step: int, count: str):
-        others = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
-
-        def key(other):
-            mine, its = F.struct(F.col("level").alias("l"), F.col("part").alias("p")), F.struct((F.col("level") + step).alias("l"), other.alias("p"))
-            lo, hi = F.least(mine, its), F.greatest(mine, its)
-            return F.concat_ws(":", F.col("root"), lo["l"], lo["p"], hi["l"], hi["p"])
-
-        return F.transform(others, key)
-
-    met = F.array_distinct(F.concat(keys(0, "parts"), keys(1, "above"), keys(-1, "below")))
-    return small.union(own.select(F.explode(met).alias("key"), "node"))
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id and kept.
 
@@ -263,8 +192,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     texts = texts.join(picked, texts["i"].eqNullSafe(picked["id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_full_sets, SETS)
     ready = families.join(sets, ["h1", "h2"]).select("node", "items").dropDuplicates(["node"])
-    keyed = _blocks(families.select("node", "root", "n"), percent).join(ready, "node")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(percent), EDGE)
+    # Sets that link differ in size by a factor of 100 / percent at most: by one level.
+    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int")
+    keyed = keyed_blocks(families.select("node", "root", level.alias("level"))).join(ready, "node")
+    links = spanning_links(keyed, lambda items: linked_pairs([np.frombuffer(x, B.U) for x in items], percent))
 
     linked = components(links)
     roots = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, near_dedup, quality_rules, secrets, token_counts, toxicity
+from . import decontamination, language_id, line_dedup, lm_scoring, near_dedup, quality_rules, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -191,3 +191,35 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.b, r.root FROM
 c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c ON node = doc_id
 """
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long lines of every document that repeat, within 2 edits, one that stays elsewhere."""
+    got = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_long", F.size("removed").cast("long").alias("n_removed"), "n_near", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+
+
+#: Two lines within 2 edits agree in their first or last 10 characters, or else an edit lies
+#: in each of these and what is between agrees, shifted by 1 at most.
+ORACLES["op4_line_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+o AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM d),
+x AS (SELECT doc_id, no, line FROM o WHERE length(line) >= 32),
+u AS (SELECT line, row_number() OVER () AS k, length(line) AS n FROM (SELECT DISTINCT line FROM x)),
+m AS (SELECT k, line, n, s, substr(line, 11 + s, n - 20) AS mid FROM u, (SELECT unnest([-1, 0, 1]) AS s)),
+c AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON left(a.line, 10) = left(b.line, 10) AND a.k < b.k AND abs(a.n - b.n) <= 2
+  UNION SELECT a.k, b.k FROM u a JOIN u b ON right(a.line, 10) = right(b.line, 10) AND a.k < b.k AND abs(a.n - b.n) <= 2
+  UNION SELECT least(a.k, b.k), greatest(a.k, b.k) FROM m a JOIN m b ON a.mid = b.mid AND a.k < b.k
+  UNION SELECT least(a.k, b.k), greatest(a.k, b.k) FROM m a JOIN (SELECT k, substr(line, 11, n - 21) AS mid FROM u UNION ALL SELECT k, substr(line, 12, n - 21) FROM u
+    UNION ALL SELECT k, substr(line, 10, n - 19) FROM u UNION ALL SELECT k, substr(line, 11, n - 19) FROM u) b ON a.mid = b.mid AND a.k <> b.k),
+l AS (SELECT a, b FROM c JOIN u p ON p.k = a JOIN u q ON q.k = b WHERE levenshtein(p.line, q.line) <= 2),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT k AS node, k AS root FROM u UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+g AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+w AS (SELECT doc_id, no, k, root, first_value(k) OVER p AS stays, row_number() OVER p AS rank FROM x JOIN u USING (line) JOIN g ON node = k WINDOW p AS (PARTITION BY root ORDER BY doc_id, no)),
+z AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (k <> stays) AS n_near, string_agg(no::VARCHAR, ',' ORDER BY no) AS removed FROM w WHERE rank > 1 GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_long FROM x GROUP BY doc_id)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(n_long, 0)::BIGINT AS n_long, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(removed, '') AS removed
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN z USING (doc_id)
+"""
