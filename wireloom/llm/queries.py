@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, lm_scoring, near_dedup, quality_rules, secrets, token_counts, toxicity
+from . import decontamination, language_id, line_dedup, lm_scoring, near_dedup, packing, quality_rules, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -223,3 +223,9 @@ n AS (SELECT doc_id, count(*) AS n_long FROM x GROUP BY doc_id)
 SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(n_long, 0)::BIGINT AS n_long, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(removed, '') AS removed
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN z USING (doc_id)
 """
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 512 to 8192 tokens (words and an end) that hold every document."""
+    return packing.pack(packing.word_tokens(table(spark, sf_dir, "documents")))
