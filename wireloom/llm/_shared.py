@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -60,3 +61,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+#: Keys up to which they are broadcast (8 MB); beyond, the join is shuffled.
+BROADCAST_KEYS = 500_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't in gone (a table, one column), in a join fit for its size."""
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, key, "left_anti")

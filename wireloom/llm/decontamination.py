@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from . import _bytes as B
 from . import _filter
-from ._shared import fresh, keep, struct_of
+from ._shared import fresh, keep, struct_of, without
 
 MARK = T.ArrayType(struct_of(fp="long", pos="int", size="int", around="[long]"))
 MARKED = struct_of(n_words="long", marks=MARK)
@@ -153,8 +153,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 10, k: int = 5) -> DataFrame:
     """The rows of docs, all columns, that share no window with the benchmark."""
-    name, flag = fresh(docs, "_row"), fresh(docs, "_hit")
+    name = fresh(docs, "_row")
     rows = keep(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
     got = decontaminate(rows, benchmark, window, k, name, text_col, item_col)
-    bad = got.filter("contaminated").select(name)
-    return rows.join(bad, name, "left_anti").select(*docs.columns)
+    return without(rows, keep(got.filter("contaminated").select(name), "hits"), name).select(*docs.columns)

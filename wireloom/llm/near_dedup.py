@@ -13,6 +13,7 @@ a time, and only a spanning forest of each block's links leaves its task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from ._blocks import keyed_blocks, spanning_links
 from ._graph import components
-from ._shared import keep, struct_of
+from ._shared import fresh, keep, struct_of, without
 
 SHINGLE = 5
-#: 28 bands of 7: a pair at a similarity of 0.85 shares none with a chance of 2e-5.
-BANDS, BAND_ROWS = 28, 7
+#: Chance that a pair right at the threshold shares no band; more alike, far less.
+MISS = 3e-5
+#: Components of a signature at most, so that a permutation takes a byte for each.
+COMPONENTS = 256
 #: Items whose permutations a worker holds at once, at a byte per component.
 SIGN_AT_ONCE = 200_000
 #: Ids up to which candidates' texts are picked by a broadcast (8 MB); beyond, by a shuffled join.
@@ -36,6 +39,18 @@ SIGNED = struct_of(n="long", h1="long", h2="long", bands="[long]")
 SETS = struct_of(h1="long", h2="long", items="binary")
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band: the longest bands (fewest false candidates) that keep to MISS.
+
+    85 % takes 27 bands of 7, 80 % takes 35 of 6.
+    """
+    for rows in range(16, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** rows)))
+        if bands * rows <= COMPONENTS:
+            return bands, rows
+    raise ValueError("the threshold is too low for a signature of this size")
+
+
 def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Of runs of rows: first and end row, sorted distinct shingle hashes, bounds of each row's."""
     for lo, hi, data, offsets in B.chunks(column):
@@ -56,7 +71,7 @@ def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield lo, hi, np.concatenate(found), np.array(bounds)
 
 
-def superminhash(items: np.ndarray, row: np.ndarray, n_rows: int, size: int = BANDS * BAND_ROWS) -> np.ndarray:
+def superminhash(items: np.ndarray, row: np.ndarray, n_rows: int, size: int) -> np.ndarray:
     """Signatures (n_rows, size) of sets given as distinct items and their rows.
 
     Component p of a set is the least, over its items, of the rank that the
@@ -73,7 +88,7 @@ def _lower(signature: np.ndarray, items: np.ndarray, row: np.ndarray) -> None:
     """Lets items lower their sets' components."""
     n_rows, size = signature.shape
     flat = signature.reshape(-1)
-    order = np.broadcast_to(np.arange(size, dtype=np.uint8 if size <= 256 else np.int32), (len(items), size)).copy()
+    order = np.broadcast_to(np.arange(size, dtype=np.uint8), (len(items), size)).copy()
     for j in range(size):
         if not len(items):
             break
@@ -92,10 +107,10 @@ def _lower(signature: np.ndarray, items: np.ndarray, row: np.ndarray) -> None:
             items, row, order = items[more], row[more], order[more]
 
 
-def _band_hashes(signature: np.ndarray) -> np.ndarray:
-    cells = signature.reshape(len(signature), BANDS, BAND_ROWS)
-    out = np.broadcast_to(np.arange(BANDS, dtype=B.U), cells.shape[:2])
-    for i in range(BAND_ROWS):
+def _band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    cells = signature.reshape(len(signature), bands, rows)
+    out = np.broadcast_to(np.arange(bands, dtype=B.U), cells.shape[:2])
+    for i in range(rows):
         out = B.combine(out, cells[:, :, i])
     return out
 
@@ -110,21 +125,23 @@ def _set_hashes(items: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-@F.arrow_udf(SIGNED)
-def _sign(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in texts:
-        parts = []
-        for lo, hi, items, bounds in shingles(column):
-            n = np.diff(bounds)
-            row = np.repeat(np.arange(hi - lo), n)
-            h1, h2 = _set_hashes(items, bounds)
-            bands = _band_hashes(superminhash(items, row, hi - lo)).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            parts.append(pa.StructArray.from_arrays([pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=SIGNED.names))
-        yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+def _sign(percent: int):
+    count, rows = banding(percent)
 
+    def sign(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = []
+            for lo, hi, items, bounds in shingles(column):
+                n = np.diff(bounds)
+                h1, h2 = _set_hashes(items, bounds)
+                signature = superminhash(items, np.repeat(np.arange(hi - lo), n), hi - lo, count * rows)
+                bands = pa.array(_band_hashes(signature, count, rows).view(np.int64).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * count), bands)
+                parts.append(pa.StructArray.from_arrays([pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=SIGNED.names))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))]))
 
-_sign = _sign.asNondeterministic()
+    sign.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(sign, SIGNED).asNondeterministic()
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     A null id counts after all others, so it is a component_id only where no
     member has an id. Other columns are not read.
     """
-    signed = docs.select(F.col(id_col).alias("id"), _sign(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
+    signed = docs.select(F.col(id_col).alias("id"), _sign(percent)(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
     signed = keep(signed.select(F.monotonically_increasing_id().alias("row"), "id", "s.*"), "signed")
     full = signed.filter("n > 0")
     classes = keep(full.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least")), "classes")
@@ -204,3 +221,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     of_class = least.join(by_root, "root").select("h1", "h2", "component_id")
     out = full.join(of_class, ["h1", "h2"]).select("id", "n", "component_id").union(signed.filter("n = 0").select("id", "n", F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, one of each component: that of the least id (nulls last), then the first."""
+    name = fresh(docs, "_row")
+    rows = keep(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    found = keep(near_duplicates(rows, percent, name, text_col).select(name, "component_id"), "components")
+    groups = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    alike = found.join(groups, "component_id")
+    place = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("by"), F.col(name).alias("row"))
+    alike = keep(rows.select(name, id_col).join(alike, name).select("component_id", place.alias("place")), "alike")
+    stays = alike.groupBy("component_id").agg(F.min("place").alias("stays"))
+    gone = alike.join(stays, "component_id").filter(F.col("place.row") != F.col("stays.row")).select(F.col("place.row").alias(name))
+    return without(rows, keep(gone, "gone"), name).select(*docs.columns)
