@@ -46,43 +46,55 @@ def keyed_blocks(nodes: DataFrame) -> DataFrame:
     return small.union(own.select(F.explode(met).alias("key"), "node"))
 
 
-def spanning_links(keyed: DataFrame, linked: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+#: Nodes whose keys a task compares in one go, about.
+AT_ONCE = 4096
+
+
+def _forest(nodes: list[int], pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs, as nodes, that join what earlier pairs haven't."""
+    parent = list(range(len(nodes)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in pairs:
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            parent[ra] = rb
+            out.append((nodes[a], nodes[b]))
+    return out
+
+
+def spanning_links(keyed: DataFrame, linked: Callable[[list[list[bytes]]], list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """Rows (key, node, items) to edges (a, b): a spanning forest of each key's links.
 
-    linked gives all linking pairs, by position, of the items under one key.
+    linked gets the items of many keys and gives all linking pairs of each, by position.
     """
 
-    def decide(nodes: list[int], items: list[bytes]) -> list[tuple[int, int]]:
-        if len(nodes) < 2:
-            return []
-        parent = list(range(len(nodes)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out = []
-        for a, b in zip(*(x.tolist() for x in linked(items)), strict=True):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[ra] = rb
-                out.append((nodes[a], nodes[b]))
-        return out
+    def decide(groups: list[tuple[list[int], list[bytes]]]) -> pa.RecordBatch:
+        groups = [g for g in groups if len(g[0]) > 1]
+        found = linked([items for _, items in groups]) if groups else []
+        out = [e for (nodes, _), (a, b) in zip(groups, found, strict=True) for e in _forest(nodes, zip(a.tolist(), b.tolist(), strict=True))]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=EDGE.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, items = None, [], []  # rows come sorted by key
+        key, groups, held = None, [], 0  # rows come sorted by key
         for batch in batches:
-            out = []
-            for k, node, item in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "items")), strict=True):
+            for k, node, item in zip(*(batch.column(c) for c in ("key", "node", "items")), strict=True):
+                k = k.as_py()
                 if k != key:
-                    out += decide(nodes, items)
-                    key, nodes, items = k, [], []
-                nodes.append(node)
-                items.append(item)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=EDGE.names)
-        out = decide(nodes, items)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=EDGE.names)
+                    if held >= AT_ONCE:
+                        yield decide(groups)
+                        groups, held = [], 0
+                    key = k
+                    groups.append(([], []))
+                groups[-1][0].append(node.as_py())
+                groups[-1][1].append(item.as_py())
+                held += 1
+        yield decide(groups)
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, EDGE)

@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     # Sets that link differ in size by a factor of 100 / percent at most: by one level.
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int")
     keyed = keyed_blocks(families.select("node", "root", level.alias("level"))).join(ready, "node")
-    links = spanning_links(keyed, lambda items: linked_pairs([np.frombuffer(x, B.U) for x in items], percent))
+    links = spanning_links(keyed, lambda groups: [linked_pairs([np.frombuffer(x, B.U) for x in items], percent) for items in groups])
 
     linked = components(links)
     roots = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
