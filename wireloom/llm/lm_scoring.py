@@ -27,7 +27,7 @@ BEGIN, END = B.U(0x51A7_0000_0000_0B01), B.U(0xE4D0_0000_0000_0E02)
 SHARD_PAIRS = 1_000_000
 #: Pairs that a counting task gathers before it hands them on.
 GATHER = 1_500_000
-CHUNK = 2 << 20
+CHUNK = B.CHUNK_BYTES
 PARTS = struct_of(shard="long", first="binary", second="binary", count="binary")
 WORD_PARTS = struct_of(kind="int", shard="long", word="binary", conts="binary", count="binary", stats="[long]")
 SCORED = struct_of(n_tokens="long", n_known="long", base_score="double", score="double")

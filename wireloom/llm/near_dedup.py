@@ -32,7 +32,7 @@ MISS = 3e-5
 #: Components of a signature at most, so that a permutation takes a byte for each.
 COMPONENTS = 256
 #: Items whose permutations a worker holds at once, at a byte per component.
-SIGN_AT_ONCE = 200_000
+SIGN_AT_ONCE = 100_000
 #: Ids up to which candidates' texts are picked by a broadcast (8 MB); beyond, by a shuffled join.
 PICKED_IDS = 500_000
 SIGNED = struct_of(n="long", h1="long", h2="long", bands="[long]")
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     keyed = keyed_blocks(families.select("node", "root", level.alias("level"))).join(ready, "node")
     links = spanning_links(keyed, lambda groups: [linked_pairs([np.frombuffer(x, B.U) for x in items], percent) for items in groups])
 
-    linked = components(links)
+    linked = components(keep(links, "links"))  # a table, so that the next Python step has no workers beside these
     roots = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     least = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
