@@ -1,10 +1,425 @@
-"""Queries over the driver's tables, each with the SQL that checks it."""
+"""Queries over the driver's tables, each with the SQL that checks it.
+
+The SQL never decodes: it computes what must come out from the columns that the
+messages were made of.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import encode as E
+from .functions import tags as T
+from .functions import text as X
+from .functions import varint as V
+from .functions.bits import reading
+from .operators import catalog, document, packed, patch, paths
+from .plans import messages as M
+from .plans.messages import table
+from .sources import envelope, fields
+from .streaming import chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _len(v: str) -> str:
+    """SQL for the varint length of a number that isn't negative."""
+    return "CASE " + " ".join(f"WHEN {v} < {1 << 7 * n} THEN {n}" for n in range(1, 9)) + " ELSE 9 END"
+
+
+def _hex(v: str) -> str:
+    """SQL for the varint bytes, in hex, of a number below 2**35 that isn't negative."""
+    out = ""
+    for n in range(1, 6):
+        parts = " || ".join(f"printf('%02X', (({v}) >> {7 * i}) & 127{' | 128' if i < n - 1 else ''})" for i in range(n))
+        out += f" WHEN ({v}) < {1 << 7 * n} THEN {parts}"
+    return f"(CASE{out} END)"
+
+
+def _zig(v: str) -> str:
+    return f"(CASE WHEN {v} < 0 THEN -2 * ({v}) - 1 ELSE 2 * ({v}) END)"
+
+
+def _le(v: str, n: int) -> str:
+    return " || ".join(f"printf('%02X', (({v}) >> {8 * i}) & 255)" for i in range(n))
+
+
+def _str(c: str) -> str:
+    """SQL for the length prefix and bytes of a string, in hex."""
+    return f"{_hex(f'octet_length(encode({c}))')} || hex(encode({c}))"
+
+
+# Varints, zigzag and tags
+
+
+@query(f"SELECT o_orderkey, {_hex('o_orderkey')} AS key_hex, {_hex('o_custkey * 1000')} AS cust_hex, ({_len('o_custkey * 1000')})::INTEGER AS cust_len FROM orders")
+def varint_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    big = F.col("o_custkey") * 1000
+    return o.select("o_orderkey", F.hex(V.varint_encode("o_orderkey")).alias("key_hex"), F.hex(V.varint_encode(big)).alias("cust_hex"), V.varint_len(big).cast("int").alias("cust_len"))
+
+
+@query(f"SELECT o_orderkey, o_orderkey * 99991 AS value, ({_len('o_orderkey * 99991')})::INTEGER AS used FROM orders")
+def varint_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    got = V.varint_decode(F.concat(V.varint_encode(F.col("o_orderkey") * 99991), F.lit(b"\xff")))
+    return o.select("o_orderkey", got.alias("g")).select("o_orderkey", "g.value", "g.used")
+
+
+@query(f"SELECT c_custkey, {_zig('round(c_acctbal * 100)::BIGINT')} AS zig, round(c_acctbal * 100)::BIGINT AS back, {_zig('c_nationkey - 12')}::BIGINT AS zig32, (c_nationkey - 12)::BIGINT AS back32 FROM customer")
+def zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    cents, small = M.cents("c_acctbal"), F.col("c_nationkey") - 12
+    return c.select("c_custkey", V.zigzag_encode(cents).alias("zig"), V.zigzag_decode(V.zigzag_encode(cents)).alias("back"), V.zigzag_encode(small, 32).alias("zig32"), V.zigzag_decode(V.zigzag_encode(small, 32), 32).alias("back32"))
+
+
+@query("""WITH t AS (SELECT n * 1234567 AS number, w FROM range(500) a(n), range(8) b(w))
+SELECT number, w, CASE WHEN number BETWEEN 1 AND 536870911 AND w IN (0, 1, 2, 5) THEN number * 8 + w END AS tag,
+ CASE WHEN number BETWEEN 1 AND 536870911 AND w IN (0, 1, 2, 5) THEN number::INTEGER END AS back_number,
+ CASE WHEN number BETWEEN 1 AND 536870911 AND w IN (0, 1, 2, 5) THEN w::INTEGER END AS back_type,
+ CASE WHEN number BETWEEN 1 AND 536870911 AND w < 6 THEN number * 8 + w END AS with_groups FROM t""")
+def tag_make_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.range(500).select((F.col("id") * 1234567).alias("number"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("w"))
+    t = t.withColumn("tag", T.make_tag("number", "w"))
+    return t.select("number", "w", "tag", T.tag_number("tag").alias("back_number"), T.tag_wire_type("tag").alias("back_type"), T.make_tag("number", "w", groups=True).alias("with_groups"))
+
+
+# Encoding
+
+_CUSTOMER_HEX = f"""'08' || {_hex('c_custkey')} || '12' || {_str('c_name')} || '18' || {_hex(_zig('c_nationkey'))} || '20' || {_hex(_zig('round(c_acctbal * 100)::BIGINT'))} || '2A' || {_str('c_mktsegment')}"""
+
+
+@query(f"SELECT c_custkey, {_CUSTOMER_HEX} AS msg_hex, (length({_CUSTOMER_HEX}) / 2)::INTEGER AS size FROM customer")
+def encode_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.hex(E.encode_message(M.customer_fields())).alias("msg_hex"), E.encoded_len(M.customer_fields()).alias("size"))
+
+
+@query(f"""WITH b AS (SELECT *, '08' || {_hex('p_size')} || '15' || {_le('p_size', 4)} AS inner_, '0A' || {_str('p_brand')} AS deep FROM part)
+SELECT p_partkey, '0A' || {_hex('length(inner_) // 2')} || inner_ || '1A' || {_hex('length(deep) // 2 + 2')} || '12' || {_hex('length(deep) // 2')} || deep || '2200' AS msg_hex FROM b""")
+def encode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    msg = [E.message(1, [E.varint(1, "p_size"), E.fixed32(2, "p_size")]), E.message(3, [E.message(2, [E.string(1, "p_brand")])]), E.message(4, [])]
+    return p.select("p_partkey", F.hex(E.encode_message(msg)).alias("msg_hex"))
+
+
+# Decoding
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, sum(o_custkey)::BIGINT AS customers FROM orders GROUP BY o_orderstatus")
+def order_totals_from_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as messages, decoded and pivoted back, totalled by status."""
+    rows = fields.scan(M.order_heads(spark, sf_dir))
+    wide = rows.groupBy("o_orderkey").agg(
+        F.max(F.when(F.col("field_number") == 2, F.col("varint"))).alias("customer"),
+        F.max(F.when(F.col("field_number") == 3, F.col("bytes").cast("string"))).alias("status"),
+    )
+    return wide.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("customer").cast("long").alias("customers"))
+
+
+@query(f"""WITH s AS (SELECT o_orderkey, {_len('o_orderkey')} AS a, {_len('o_custkey')} AS b, o_custkey, o_orderstatus FROM orders),
+r AS (SELECT o_orderkey, 0 AS ord, 8 AS tag, 0 AS offset_, 1 + a AS end_, o_orderkey AS varint, NULL AS text FROM s
+UNION ALL SELECT o_orderkey, 1, 16, 1 + a, 2 + a + b, o_custkey, NULL FROM s
+UNION ALL SELECT o_orderkey, 2, 26, 2 + a + b, 4 + a + b + length(o_orderstatus), NULL, o_orderstatus FROM s)
+SELECT o_orderkey, ord::INTEGER AS ord, tag::BIGINT AS tag, offset_::INTEGER AS start, end_::INTEGER AS stop, (end_ - offset_)::INTEGER AS raw_len, varint, text FROM r""")
+def cursor_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fields.scan(M.order_heads(spark, sf_dir), mode="cursor")
+    return rows.select("o_orderkey", "ord", "tag", F.col("offset").alias("start"), F.col("end").alias("stop"), F.length("raw").alias("raw_len"), "varint", F.col("bytes").cast("string").alias("text"))
+
+
+@query(f"""WITH s AS (SELECT o_orderkey, {_len('o_orderkey')} AS a, {_len('o_custkey')} AS b, length(o_orderstatus) AS c FROM orders),
+t AS (SELECT *, 4 + a + b + c AS n, k FROM s, range(1, 6) x(k)), u AS (SELECT *, n - k AS m FROM t)
+SELECT o_orderkey, k::INTEGER AS cut, (CASE WHEN m >= 2 + a + b THEN 2 WHEN m >= 1 + a THEN 1 ELSE 0 END)::INTEGER AS n_fields,
+ CASE WHEN m IN (0, 1 + a, 2 + a + b) THEN NULL ELSE 'Truncated' END AS kind,
+ CASE WHEN m IN (0, 1 + a, 2 + a + b) THEN NULL WHEN m >= 4 + a + b THEN 4 + a + b WHEN m >= 3 + a + b THEN 3 + a + b WHEN m > 1 + a THEN 2 + a WHEN m > 0 THEN 1 END::INTEGER AS at FROM u""")
+def cursor_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages cut short by 1 to 5 bytes."""
+    m = M.order_heads(spark, sf_dir).select("o_orderkey", "msg", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("cut"))
+    m = m.withColumn("msg", F.substring("msg", F.lit(1), F.length("msg") - F.col("cut")))
+    got = fields.errors(m)
+    return got.select("o_orderkey", "cut", "n_fields", F.col("cursor.kind").alias("kind"), F.col("cursor.offset").alias("at"))
+
+
+@query("""SELECT c_custkey, c_custkey AS k, (c_custkey::INTEGER) AS k32, c_name AS name, c_nationkey AS nation, round(c_acctbal * 100)::BIGINT AS cents, c_custkey <> 0 AS yes, NULL::BIGINT AS none FROM customer""")
+def scalar_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = M.customers(spark, sf_dir).select("c_custkey", fields.cursor("msg").alias("d"))
+    f = F.col("d.fields")
+
+    def one(n: int, kind: str, wire: str, name: str):
+        return reading(kind, document.first(f, T.tag(n, wire))).alias(name)
+
+    return d.select(
+        "c_custkey", one(1, "uint64", "varint", "k"), one(1, "int32", "varint", "k32"), one(2, "string", "len", "name"), one(3, "sint32", "varint", "nation"),
+        one(4, "sint64", "varint", "cents"), one(1, "bool", "varint", "yes"), one(2, "uint64", "len", "none"),
+    )
+
+
+@query("""SELECT l_orderkey AS o_orderkey, l_linenumber, l_quantity AS quantity, (l_linenumber * 7)::BIGINT AS seven, l_returnflag AS flag FROM lineitem""")
+def nested_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fields.scan(M.orders(spark, sf_dir))
+    inner = rows.filter(F.col("tag") == T.tag(10, "len")).select("o_orderkey", fields.cursor("bytes").alias("d"))
+    f = F.col("d.fields")
+    return inner.select(
+        "o_orderkey", reading("int32", document.first(f, T.tag(1, "varint"))).alias("l_linenumber"), reading("double", document.first(f, T.tag(4, "i64"))).alias("quantity"),
+        reading("fixed32", document.first(f, T.tag(16, "i32"))).alias("seven"), reading("string", document.last(f, T.tag(8, "len"))).alias("flag"),
+    )
+
+
+@query("""SELECT o_orderkey, count(l_orderkey)::INTEGER AS n_lines, CASE WHEN count(l_orderkey) > 0 THEN 3 END AS head, CASE WHEN count(l_orderkey) > 0 THEN (2 + count(l_orderkey))::INTEGER END AS tail,
+ (3 + count(l_orderkey))::INTEGER AS n_fields, 2 AS varints, (1 + count(l_orderkey))::INTEGER AS lendels, count(l_orderkey) > 0 AS any_line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def document_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = M.orders(spark, sf_dir).select("o_orderkey", fields.cursor("msg").alias("d"))
+    f, line = F.col("d.fields"), T.tag(10, "len")
+    stats, b = document.wire_stats(f), document.bucket(f, line)
+    return d.select("o_orderkey", F.size(document.all_of(f, line)).alias("n_lines"), b["head"].alias("head"), b["tail"].alias("tail"), stats["fields"].alias("n_fields"), stats["varints"].alias("varints"), stats["lendels"].alias("lendels"), document.has(f, line).alias("any_line"))
+
+
+@query(f"""SELECT c_custkey, {_CUSTOMER_HEX} AS whole, '08' || {_hex('c_custkey')} || '18' || {_hex(_zig('c_nationkey'))} || '20' || {_hex(_zig('round(c_acctbal * 100)::BIGINT'))} || '2A' || {_str('c_mktsegment')} AS without_name FROM customer""")
+def document_reencode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = M.customers(spark, sf_dir).select("c_custkey", fields.cursor("msg").alias("d"))
+    f = F.col("d.fields")
+    return d.select("c_custkey", F.hex(document.to_bytes(f)).alias("whole"), F.hex(document.to_bytes(document.without(f, F.array(F.lit(1))))).alias("without_name"))
+
+
+@query("""SELECT vec_id, len(embedding)::INTEGER AS n, round(list_sum([x::DOUBLE for x in embedding]), 4) AS total, embedding[1]::DOUBLE AS first_, embedding[-1]::DOUBLE AS last_, label FROM embeddings""")
+def packed_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = M.embeddings(spark, sf_dir).select("vec_id", fields.cursor("msg").alias("d"))
+    f = F.col("d.fields")
+    got = d.select("vec_id", packed.packed(document.first(f, T.tag(2, "len"))["bytes"], "float").alias("p"), reading("int32", document.first(f, T.tag(3, "varint"))).alias("label"))
+    v = F.col("p.values")
+    return got.select("vec_id", F.size(v).alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.element_at(v, 1).alias("first_"), F.element_at(v, -1).alias("last_"), "label")
+
+
+@query("""SELECT o_orderkey, [o_custkey, o_orderkey, 300] AS unsigned, [-o_custkey, o_orderkey, -3] AS signed, (o_orderkey % 3) = 0 AS odd_size,
+ CASE WHEN o_orderkey % 3 = 0 THEN 4 END::INTEGER AS fixed_error FROM orders""")
+def packed_varints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    plain = F.array("o_custkey", "o_orderkey")
+    u = packed.push(E.concat_all(F.transform(plain, lambda x: packed.packed_element(x, "uint64"))), F.lit(300), "uint64")
+    s = packed.push(E.concat_all(F.transform(F.array(-F.col("o_custkey"), "o_orderkey"), lambda x: packed.packed_element(x, "sint64"))), F.lit(-3), "sint64")
+    odd = F.concat(packed.packed_element("o_custkey", "fixed32"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(b"\x01")).otherwise(F.lit(b"")))
+    got = o.select("o_orderkey", packed.packed(u, "uint64").alias("u"), packed.packed(s, "sint64").alias("s"), packed.packed(odd, "fixed32").alias("f"))
+    return got.select("o_orderkey", F.col("u.values").alias("unsigned"), F.col("s.values").alias("signed"), F.col("f.error").isNotNull().alias("odd_size"), F.col("f.error").alias("fixed_error"))
+
+
+# Paths
+
+
+@query("""SELECT l_orderkey AS o_orderkey, 2 AS depth, l_partkey AS varint, NULL::VARCHAR AS text FROM lineitem UNION ALL SELECT o_orderkey, 1, NULL, o_orderstatus FROM orders
+UNION ALL SELECT l_orderkey, 2, l_linenumber, NULL FROM lineitem""")
+def scan_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = paths.scan_paths(M.orders(spark, sf_dir), [M.LINE_PART, M.ORDER_STATUS, M.LINE_NUMBER], ["o_orderkey"])
+    return got.select("o_orderkey", "depth", "varint", F.col("payload").cast("string").alias("text"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS o_orderkey, 2 * row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS place, 2 AS depth, l_partkey AS part FROM lineitem)
+SELECT o_orderkey, place::INTEGER AS place, depth, part FROM e UNION ALL SELECT o_orderkey, (place + 1)::INTEGER, 1, NULL FROM e""")
+def scan_emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items are wanted, and a field inside: each comes after what is in it."""
+    from pyspark.sql import Window
+
+    got = paths.scan_paths(M.orders(spark, sf_dir), [M.LINE, M.LINE_PART], ["o_orderkey"])
+    place = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("end", F.desc("depth")))
+    return got.select("o_orderkey", place.alias("place"), "depth", F.col("varint").alias("part"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 2 = 0 AS ok FROM orders")
+def well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.order_heads(spark, sf_dir)
+    m = m.withColumn("msg", F.when(F.col("o_orderkey") % 2 == 0, F.col("msg")).otherwise(F.concat("msg", F.lit(b"\x08"))))
+    return paths.well_formed(m, ["o_orderkey"])
+
+
+@query("""SELECT l_orderkey AS o_orderkey, size, l_partkey AS varint FROM lineitem, (SELECT unnest([7, 64])::INTEGER AS size)""")
+def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages cut into chunks and put together again give the same matches."""
+    m = M.orders(spark, sf_dir)
+    out = None
+    for size in (7, 64):
+        whole = chunks.whole_messages(chunks.cut(m, size, key="o_orderkey")).withColumnRenamed("stream_id", "o_orderkey")
+        got = paths.extract(whole, M.LINE_PART, ["o_orderkey"]).select("o_orderkey", F.lit(size).alias("size"), "varint")
+        out = got if out is None else out.union(got)
+    return out
+
+
+# Edits
+
+
+def _log(df: DataFrame, *edits: dict) -> DataFrame:
+    """The same edits for every message of df."""
+    from pyspark.sql import types as P
+
+    schema = P._parse_datatype_string(patch.EDIT)
+    rows = [tuple(e.get(f.name) for f in schema) for e in edits]
+    log = df.sparkSession.createDataFrame(rows, schema)
+    return df.select("c_custkey").crossJoin(F.broadcast(log))  # some literal rows
+
+
+def _at(*steps: tuple[int, int]) -> list[tuple[int, int]]:
+    return list(steps)
+
+
+_EDITED = f"""'08' || {_hex('7')} || '12' || {_str('c_name')} || '20' || {_hex(_zig('round(c_acctbal * 100)::BIGINT'))} || '2A' || {_str('c_mktsegment')} || 'C803' || '8101' || 'D203' || '026869'"""
+
+
+@query(f"SELECT c_custkey, {_EDITED} AS edited, {_CUSTOMER_HEX} AS untouched FROM customer")
+def patch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set, delete and insert; a transaction that was rolled back leaves no trace."""
+    m = M.customers(spark, sf_dir)
+    log = _log(
+        m,
+        {"seq": 1, "op": "set", "path": _at((1, 0)), "value": 7},
+        {"seq": 2, "op": "delete", "path": _at((3, 0))},
+        {"seq": 3, "op": "insert", "path": [], "tag": T.tag(57, "varint"), "value": 128},
+        {"seq": 4, "op": "set", "target": 3, "value": 129},
+        {"seq": 5, "op": "insert", "path": [], "tag": T.tag(58, "len"), "payload": b"hi"},
+        {"seq": 6, "op": "set_bytes", "path": _at((2, 0)), "payload": b"lost", "txn": "t"},
+        {"seq": 7, "op": "set", "path": _at((9, 0)), "value": 1},
+    )
+    states = spark.createDataFrame([("t", "rolled back")], "txn string, state string")
+    edited = patch.apply_edits(m, patch.committed(log, states), ["c_custkey"], depth=1).select("c_custkey", F.hex("msg").alias("edited"))
+    same = patch.apply_edits(m, patch.committed(log.filter("txn = 't'"), states), ["c_custkey"], depth=1).select("c_custkey", F.hex("msg").alias("untouched"))
+    return edited.join(same, "c_custkey")
+
+
+_INNER = f"'08' || {_hex('c_custkey + 1000000')} || '12' || {_str('c_name')}"
+_CHANGED = f"'0805' || '12' || {_str('c_name')} || '2001'"
+
+
+@query(f"SELECT c_custkey, '1A' || {_hex(f'length({_CHANGED}) // 2')} || {_CHANGED} || '1A00' AS edited FROM customer")
+def patch_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits two levels down; the lengths above follow."""
+    c = table(spark, sf_dir, "customer")
+    m = c.select("c_custkey", E.encode_message([E.message(3, [E.varint(1, F.col("c_custkey") + 1000000), E.string(2, "c_name")]), E.message(3, [])]).alias("msg"))
+    log = _log(m, {"seq": 1, "op": "set", "path": _at((3, 0), (1, 0)), "value": 5}, {"seq": 2, "op": "insert", "path": _at((3, 0)), "tag": T.tag(4, "varint"), "value": 1})
+    return patch.apply_edits(m, log, ["c_custkey"]).select("c_custkey", F.hex("msg").alias("edited"))
+
+
+@query("SELECT l_orderkey AS o_orderkey, l_linenumber, l_partkey + 100 AS part FROM lineitem")
+def edit_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds 100 to a field of every line item inside its order."""
+    m = M.orders(spark, sf_dir)
+    got = patch.edit_values(m, list(M.LINE_PART), lambda f: f["varint"] + 100, ["o_orderkey"])
+    inner = paths.extract(got, M.LINE, ["o_orderkey"]).select("o_orderkey", fields.cursor("payload").alias("d"))
+    return inner.select("o_orderkey", document.first(F.col("d.fields"), T.tag(1, "varint"))["varint"].cast("int").alias("l_linenumber"), document.first(F.col("d.fields"), T.tag(2, "varint"))["varint"].alias("part"))
+
+
+@query(f"""WITH s AS (SELECT c_custkey, {_len('c_custkey')} AS a, octet_length(encode(c_name)) AS n FROM customer)
+SELECT c_custkey, (1 + a)::INTEGER AS start, (2 + a)::INTEGER AS tag_end, (2 + a + {_len('n')})::INTEGER AS payload_start, (2 + a + {_len('n')} + n)::INTEGER AS payload_end FROM s""")
+def field_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fields.scan(M.customers(spark, sf_dir)).filter("field_number = 2")
+    return rows.select("c_custkey", F.col("offset").alias("start"), "tag_end", F.col("value_start").alias("payload_start"), F.col("value_end").alias("payload_end"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem)
+SELECT l_orderkey AS o_orderkey, (3 + i)::INTEGER AS line, 1 AS depth, 1 AS field_number FROM l""")
+def byte_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest field at the third byte of every line item: its own first field."""
+    rows = fields.scan(M.orders(spark, sf_dir))
+    whole = document.tree(rows, ["o_orderkey"], [T.tag(10, "len")])
+    places = rows.filter("field_number = 10").select("o_orderkey", (F.col("value_start") + 1).alias("byte"))
+    got = document.at_byte(whole, places, ["o_orderkey"])
+    return got.select("o_orderkey", F.element_at("path", 1).alias("line"), "depth", "field_number")
+
+
+@query("""SELECT l_orderkey AS o_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INTEGER AS occurrence,
+ '.10' || CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) > 1 THEN ':' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1) ELSE '' END || '.2' AS path FROM lineitem""")
+def occurrence_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document.with_occurrence(fields.scan(M.orders(spark, sf_dir)).select("o_orderkey", "ord", "field_number"), ["o_orderkey"]).filter("field_number = 10")
+    step = F.array(F.struct(F.lit(10).alias("number"), F.col("occurrence")), F.struct(F.lit(2).alias("number"), F.lit(0).alias("occurrence")))
+    parsed = X.parse_user_path(X.user_path(step))
+    return rows.select("o_orderkey", F.element_at(parsed, 1)["occurrence"].alias("occurrence"), X.user_path(step).alias("path"))
+
+
+# Envelopes and text
+
+
+@query("""SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS idx, event_id % 2 = 0 AS compressed, event_id % 3 = 0 AS json, props,
+ CASE WHEN event_id % 2 = 0 THEN 'gzip' END AS format FROM events WHERE event_id < 2000""")
+def envelope_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user in one envelope, every other one compressed, and back."""
+    e = table(spark, sf_dir, "events").filter("event_id < 2000")
+    raw = F.col("props").cast("binary")
+    zipped = F.when(F.col("event_id") % 2 == 0, envelope.gzip(raw)).otherwise(raw)
+    flags = F.when(F.col("event_id") % 2 == 0, 1).otherwise(0) + F.when(F.col("event_id") % 3 == 0, 2).otherwise(0)
+    e = e.select("user_id", "event_id", envelope.frame(flags.cast("long"), zipped).alias("f"))
+    whole = document.assemble(e, ["user_id"], "f", "event_id")
+    rows = envelope.frame_rows(whole)
+    plain = envelope.decompress(F.when(F.col("compressed"), F.col("payload")))
+    rows = rows.withColumn("p", plain)
+    return rows.select("user_id", "idx", "compressed", "json", F.coalesce("p.payload", "payload").cast("string").alias("props"), "p.format")
+
+
+@query(r"""WITH b AS (SELECT p_partkey, p_name, hex(encode(p_name)) AS h, encode(p_name) AS b FROM part)
+SELECT p_partkey, p_name AS from_hex, p_name AS from_base64, p_name AS from_url, trim(regexp_replace(h, '(..)', '\\1 ', 'g')) AS spaced, '[' || regexp_replace(regexp_replace(h, '(..)', '0x\\1, ', 'g'), ', $', '') || ']' AS brackets,
+ '{ ' || regexp_replace(regexp_replace(h, '(..)', '0x\\1, ', 'g'), ', $', '') || ' }' AS c_array, regexp_replace(h, '(..)', chr(92) || chr(92) || 'x\\1', 'g') AS c_escape,
+ rtrim(translate(base64(b), '+/', '-_'), '=') AS url, octet_length(b) || 'B "' || CASE WHEN length(p_name) > 32 THEN p_name[:32] || '…' ELSE p_name END || '"' AS summary FROM b""")
+def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    b = F.col("p_name").cast("binary")
+    return p.select(
+        "p_partkey", X.from_text(F.concat(F.lit("0x "), X.hex_spaced(b))).cast("string").alias("from_hex"), X.from_text(F.base64(b)).cast("string").alias("from_base64"), X.from_text(X.url_base64(b)).cast("string").alias("from_url"),
+        X.hex_spaced(b).alias("spaced"), X.bracket_array(b).alias("brackets"), X.c_array(b).alias("c_array"), X.c_escape(b).alias("c_escape"), X.url_base64(b).alias("url"), X.len_summary(b).alias("summary"),
+    )
+
+
+@query("""SELECT doc_id, true AS valid, NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]') AS readable, octet_length(encode(text))::INTEGER AS broken_at, 1 AS error_len, octet_length(encode(text))::INTEGER AS cut_at, NULL::INTEGER AS cut_len FROM documents""")
+def utf8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
+    broken, cut = X.utf8_error(F.concat("b", F.lit(b"\xff!"))), X.utf8_error(F.concat("b", F.lit(b"\xe2\x82")))
+    d = d.select("doc_id", F.is_valid_utf8("b").alias("valid"), X.readable("b").alias("readable"), broken.alias("x"), cut.alias("y"))
+    return d.select("doc_id", "valid", "readable", F.col("x.valid_up_to").alias("broken_at"), F.col("x.error_len").alias("error_len"), F.col("y.valid_up_to").alias("cut_at"), F.col("y.error_len").alias("cut_len"))
+
+
+@query("""SELECT doc_id, lang, length(text) AS n FROM documents""")
+def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents through the wire and back."""
+    rows = fields.scan(M.documents(spark, sf_dir))
+    return rows.groupBy("doc_id").agg(F.max(F.when(F.col("field_number") == 3, F.col("bytes").cast("string"))).alias("lang"), F.max(F.when(F.col("field_number") == 2, F.char_length(F.col("bytes").cast("string")))).cast("long").alias("n"))
+
+
+# The catalog
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = M.customers(spark, sf_dir).join(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey")
+    m = m.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("class_id"), F.col("c_name").alias("name"), (F.col("c_custkey") * 10).alias("modified_ms"), "msg")
+    return m, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("class_id"), F.col("n_name").alias("class_name"))
+
+
+@query(f"""SELECT c_custkey AS id, c_nationkey AS class_id, c_name AS name, c_custkey * 10 AS modified_ms, CASE WHEN c_nationkey < 20 THEN n_name ELSE 'default' END AS class_name, (length({_CUSTOMER_HEX}) / 2)::INTEGER AS bytes_len
+FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, classes = _catalog(spark, sf_dir)
+    return catalog.listing(m, classes.filter("class_id < 20"))
+
+
+@query("SELECT n_nationkey AS class_id, n_name AS class_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey % 5 <> 0)")
+def catalog_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, classes = _catalog(spark, sf_dir)
+    left, _ = catalog.delete(m, classes, m.filter("class_id % 5 = 0").select("id"))
+    return catalog.orphaned(classes, left)
+
+
+@query("SELECT c_custkey AS ref_id, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS payload FROM customer")
+def frame_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References into stored messages; those to a message that changed since are void."""
+    m, _ = _catalog(spark, sf_dir)
+    name = fields.scan(m, keep=["id", "modified_ms"]).filter("field_number = 2")
+    refs = name.select(F.col("id").alias("ref_id"), F.col("id").alias("source_id"), F.when(F.col("id") % 4 == 0, F.lit(-1)).otherwise(F.col("modified_ms")).cast("long").alias("modified_ms"), F.col("value_start").alias("start"), (F.col("value_end") - F.col("value_start")).alias("size"))
+    got = envelope.from_references(refs, m)
+    return got.select("ref_id", F.col("payload").cast("string").alias("payload"))
