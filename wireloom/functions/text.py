@@ -123,7 +123,7 @@ def number(text: Column | str) -> Column:
     t = F.trim(col(text))
     h, d = F.regexp_extract(t, "^0[xX]([0-9A-Fa-f]{1,16})$", 1), F.regexp_extract(t, "^([0-9]{1,20})$", 1)
     big = F.when(d != "", d).cast("decimal(38,0)")
-    return F.when(h != "", F.conv(h, 16, -10).cast("long")).when(big < (1 << 64), F.conv(F.conv(d, 10, 16), 16, -10).cast("long"))
+    return F.when(h != "", F.conv(h, 16, -10).cast("long")).when(big < F.lit(str(1 << 64)).cast("decimal(38,0)"), F.conv(F.conv(d, 10, 16), 16, -10).cast("long"))
 
 
 def frame_name(template: Column | str, source: Column | str, index: Column | str, size: Column | str) -> Column:

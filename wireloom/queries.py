@@ -365,8 +365,8 @@ def envelope_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH b AS (SELECT p_partkey, p_name, hex(encode(p_name)) AS h, encode(p_name) AS b FROM part)
-SELECT p_partkey, p_name AS from_hex, p_name AS from_base64, p_name AS from_url, trim(regexp_replace(h, '(..)', '\\1 ', 'g')) AS spaced, '[' || regexp_replace(regexp_replace(h, '(..)', '0x\\1, ', 'g'), ', $', '') || ']' AS brackets,
- '{ ' || regexp_replace(regexp_replace(h, '(..)', '0x\\1, ', 'g'), ', $', '') || ' }' AS c_array, regexp_replace(h, '(..)', chr(92) || chr(92) || 'x\\1', 'g') AS c_escape,
+SELECT p_partkey, p_name AS from_hex, p_name AS from_base64, p_name AS from_url, trim(regexp_replace(h, '(..)', '\1 ', 'g')) AS spaced, '[' || regexp_replace(regexp_replace(h, '(..)', '0x\1, ', 'g'), ', $', '') || ']' AS brackets,
+ '{ ' || regexp_replace(regexp_replace(h, '(..)', '0x\1, ', 'g'), ', $', '') || ' }' AS c_array, regexp_replace(h, '(..)', chr(92) || chr(92) || 'x\1', 'g') AS c_escape,
  rtrim(translate(base64(b), '+/', '-_'), '=') AS url, octet_length(b) || 'B "' || CASE WHEN length(p_name) > 32 THEN p_name[:32] || '…' ELSE p_name END || '"' AS summary FROM b""")
 def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
