@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:

@@ -32,7 +32,7 @@ MISS = 3e-5
 #: Components of a signature at most, so that a permutation takes a byte for each.
 COMPONENTS = 256
 #: Items whose permutations a worker holds at once, at a byte per component.
-SIGN_AT_ONCE = 100_000
+SIGN_AT_ONCE = 50_000
 #: Ids up to which candidates' texts are picked by a broadcast (8 MB); beyond, by a shuffled join.
 PICKED_IDS = 500_000
 SIGNED = struct_of(n="long", h1="long", h2="long", bands="[long]")
