@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the longest chain. Nodes stay
     rows: a hub with very many neighbours is a skewed join, which Spark splits.
     """
-    e = keep(edges.filter("a <> b").mapInArrow(_forest, EDGE), "forest")
+    # Rebalanced, few edges lie in few partitions, and one round may do.
+    e = keep(edges.filter("a <> b").hint("rebalance").mapInArrow(_forest, EDGE), "forest")
     while True:
         # Done when no root hangs on another node and none has two.
         again = e.join(e.select(F.col("b").alias("x")).distinct(), e["a"] == F.col("x"), "left_semi").limit(1).count()
@@ -58,4 +59,4 @@ def components(edges: DataFrame) -> DataFrame:
         large = keep(large.filter("a <> b"), "stars")
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = large.join(least, large["a"] == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = keep(small.union(least.select("k", "m")).distinct().mapInArrow(_forest, EDGE), "forest")
+        e = keep(small.union(least.select("k", "m")).distinct().hint("rebalance").mapInArrow(_forest, EDGE), "forest")

@@ -33,8 +33,8 @@ MISS = 3e-5
 COMPONENTS = 256
 #: Items whose permutations a worker holds at once, at a byte per component.
 SIGN_AT_ONCE = 50_000
-#: Ids up to which candidates' texts are picked by a broadcast (8 MB); beyond, by a shuffled join.
-PICKED_IDS = 500_000
+#: Rows up to which candidates' texts are picked by a broadcast (8 MB); beyond, by a shuffled join.
+PICKED_ROWS = 500_000
 SIGNED = struct_of(n="long", h1="long", h2="long", bands="[long]")
 SETS = struct_of(h1="long", h2="long", items="binary")
 
@@ -178,37 +178,31 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     return np.nonzero(np.triu(100 * both >= percent * union, 1))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id, n_shingles, component_id and kept.
+def _components(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs as a table with _row, _id and _sign, and the component_id of each (h1, h2) of its shingle sets.
 
-    Two documents link where 100 * intersection >= percent * union of their
-    shingle sets; component_id is the least id that links reach, kept whether
-    it is the row's own. Null, empty and wordless texts link with nothing. Rows
-    with one id are judged by their own texts; equal rows get equal answers.
-    A null id counts after all others, so it is a component_id only where no
-    member has an id. Other columns are not read.
+    Names with an underscore too many are taken where docs has these already.
     """
-    signed = docs.select(F.col(id_col).alias("id"), _sign(percent)(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
-    signed = keep(signed.select(F.monotonically_increasing_id().alias("row"), "id", "s.*"), "signed")
-    full = signed.filter("n > 0")
-    classes = keep(full.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least")), "classes")
+    row, sign = fresh(docs, "_row"), fresh(docs, "_sign")
+    table = docs.select("*", F.monotonically_increasing_id().alias(row), _sign(percent)(F.coalesce(F.col(text_col), F.lit(""))).alias(sign))
+    table = keep(table, "signed", docs)
+    signed = table.select(F.col(row).alias("row"), F.col(id_col).alias("id"), f"{sign}.*")
+    classes = keep(signed.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least")), "classes")
 
     # One class per equal set from here on: its first row stands for it.
     reps = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     members = reps.select("row", F.explode("bands").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "a")
     star = members.join(hubs, "bucket").filter("row <> a").select("a", F.col("row").alias("b"))
-    joined = keep(components(star), "families")
+    joined = components(star)
     families = joined.union(joined.select(F.col("root").alias("node"), "root").distinct())
-    families = keep(families.join(reps.select(F.col("row").alias("node"), "id", "n", "h1", "h2"), "node"), "candidates")
+    families = keep(families.join(reps.select(F.col("row").alias("node"), "n", "h1", "h2"), "node"), "candidates")
 
-    picked = families.select("id").distinct()
-    if families.count() <= PICKED_IDS:
+    picked = families.select(F.col("node").alias(row))
+    if families.count() <= PICKED_ROWS:
         picked = F.broadcast(picked)
-    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.join(picked, texts["i"].eqNullSafe(picked["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_full_sets, SETS)
-    ready = families.join(sets, ["h1", "h2"]).select("node", "items").dropDuplicates(["node"])
+    texts = table.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, row, "left_semi").select("text")
+    ready = families.join(texts.mapInArrow(_full_sets, SETS), ["h1", "h2"]).select("node", "items")
     # Sets that link differ in size by a factor of 100 / percent at most: by one level.
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int")
     keyed = keyed_blocks(families.select("node", "root", level.alias("level"))).join(ready, "node")
@@ -216,22 +210,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     linked = components(keep(links, "links"))  # a table, so that the next Python step has no workers beside these
     roots = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
-    least = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = least.join(by_root, "root").select("h1", "h2", "component_id")
-    out = full.join(of_class, ["h1", "h2"]).select("id", "n", "component_id").union(signed.filter("n = 0").select("id", "n", F.col("id")))
+    grouped = classes.join(roots, "node")
+    by_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_linked = grouped.join(by_root, "root").select("node", "component_id", F.lit(True).alias("linked"))
+    of_class = classes.join(of_linked, "node", "left")
+    return table, of_class.select("h1", "h2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: the id, n_shingles, component_id and kept.
+
+    Two documents link where 100 * intersection >= percent * union of their
+    shingle sets; component_id is the least id that links reach, kept whether
+    it is the row's own. Null, empty and wordless texts link with nothing. Rows
+    with one id are judged by their own texts; equal rows get equal answers.
+    A null id counts after all others, so it is a component_id only where no
+    member has an id. Other columns are not read.
+    """
+    mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    table, of_class = _components(mine, percent, "id", "text")
+    signed = table.select("id", "_sign.n", "_sign.h1", "_sign.h2")
+    out = signed.filter("n > 0").join(of_class, ["h1", "h2"]).select("id", "n", "component_id").union(signed.filter("n = 0").select("id", "n", F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, one of each component: that of the least id (nulls last), then the first."""
-    name = fresh(docs, "_row")
-    rows = keep(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
-    found = keep(near_duplicates(rows, percent, name, text_col).select(name, "component_id"), "components")
-    groups = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    alike = found.join(groups, "component_id")
-    place = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("by"), F.col(name).alias("row"))
-    alike = keep(rows.select(name, id_col).join(alike, name).select("component_id", place.alias("place")), "alike")
-    stays = alike.groupBy("component_id").agg(F.min("place").alias("stays"))
-    gone = alike.join(stays, "component_id").filter(F.col("place.row") != F.col("stays.row")).select(F.col("place.row").alias(name))
-    return without(rows, keep(gone, "gone"), name).select(*docs.columns)
+    place = fresh(docs, "_place")
+    order = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("by"), F.monotonically_increasing_id().alias("at"))
+    placed = docs.withColumn(place, order)
+    table, of_class = _components(placed, percent, place, text_col)
+    row, sign = fresh(placed, "_row"), fresh(placed, "_sign")
+    signed = table.select(F.col(row).alias(row), F.col(place).alias("place"), f"{sign}.n", f"{sign}.h1", f"{sign}.h2").filter("n > 0")
+    gone = signed.join(of_class, ["h1", "h2"]).filter(F.col("place.at") != F.col("component_id.at")).select(row)
+    return without(table, keep(gone, "gone"), row).select(*docs.columns)

@@ -102,11 +102,15 @@ def fit_models(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> Mod
     return Model(words[known], word_p[known], contexts[used], back[used], pairs[order], pair_p[order], unseen, np.zeros(1))
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(table) == 0:
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+def _look_up(table: np.ndarray, values: np.ndarray, keys: np.ndarray, default: np.ndarray | float) -> np.ndarray:
+    """The row of values for each key, or the default for keys that the table lacks."""
+    out = np.empty((len(keys), 2))
+    out[:] = default
+    if len(table):
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        hit = table[at] == keys
+        out[hit] = values[at[hit]]
+    return out
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,20 +140,15 @@ def evidence(model: Model, column: pa.Array) -> np.ndarray:
             continue
         # Words and pairs repeat: each distinct one is looked up once, in sorted order.
         distinct, back = np.unique(words, return_inverse=True)
-        at, hit = _find(model.words, distinct)
-        p_word = np.where(hit[:, None], model.word_p[at], model.unseen)
-        at, hit = _find(model.contexts, distinct)
-        weight = np.where(hit[:, None], model.back[at], 1)
-        at, hit = _find(model.contexts, np.array([START], B.U))
-        weight = np.concatenate([weight, np.where(hit[:, None], model.back[at], 1)])
+        p_word = _look_up(model.words, model.word_p, distinct, model.unseen)
+        weight = _look_up(model.contexts, model.back, np.append(distinct, B.U(START)), 1)
         h = np.empty(len(words), np.int64)
         h[1:] = back[:-1]
         h[first[:-1][np.diff(first) > 0]] = len(distinct)
         pairs = B.combine(_before(words, first), words)
         order = np.argsort(pairs)
-        at, hit = _find(model.pairs, pairs[order])
         p = weight[h] * p_word[back]
-        p[order[hit]] += model.pair_p[at[hit]]
+        p[order] += _look_up(model.pairs, model.pair_p, pairs[order], 0)
         llr = np.log(p[:, 1]) - np.log(p[:, 0])
         total = np.zeros(len(llr) + 1)
         np.cumsum(llr, out=total[1:])
