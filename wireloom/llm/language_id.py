@@ -117,7 +117,7 @@ def predict(net: Net, tables: tuple[np.ndarray, np.ndarray], column: pa.Array) -
     for lo, hi, data, offsets in B.chunks(column, 1 << 19):
         n_rows = hi - lo
         letter = _has_letter(column.slice(lo, n_rows), data, offsets)
-        # PAD class-0 bytes behind every text, so that no filter sees two texts.
+        # PAD class-0 bytes lie behind every text; filters that begin there could see the next.
         size = np.diff(offsets)
         at = offsets[:-1] + PAD * np.arange(n_rows)
         x = np.zeros(len(data) + PAD * (n_rows + 1), np.int64)
@@ -126,6 +126,7 @@ def predict(net: Net, tables: tuple[np.ndarray, np.ndarray], column: pa.Array) -
         n = len(x) - PAD
         act = near[code[:n]]
         act[:, f2:] += far[code[2 : n + 2]]
+        act[((at + size)[:, None] + np.arange(PAD)).ravel()] = 0
         count = np.maximum(1, -(-size // WINDOW))
         first = np.concatenate([[0], np.cumsum(count)])
         begin = np.repeat(at, count) + WINDOW * (np.arange(first[-1]) - np.repeat(first[:-1], count))
