@@ -34,19 +34,19 @@ def new_dir(spark: SparkSession, name: str) -> str:
 TASK_BYTES = 128 << 20
 
 
-def keep(df: DataFrame, name: str, scan: DataFrame | None = None) -> DataFrame:
+def keep(df: DataFrame, name: str, scan: DataFrame | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
     """df as a table in the shared folder.
 
     scan is the table that df is a single pass over, if it is one: small inputs
-    then make as many files as there are cores, not one for each split. While it is
-    written, Arrow batches have BATCH_ROWS rows at most: a batch of
-    long texts lies in memory several times, on both sides of a Python worker.
+    then make as many files as there are cores, not one for each split. While
+    it is written, Arrow batches have BATCH_ROWS rows at most: a batch of long
+    texts lies in memory several times, on both sides of a Python worker.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
     if scan is not None:
         size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+        df = df.coalesce(min(max(spark.sparkContext.defaultParallelism, -(-size // task_bytes)), 1 << 30))  # unknown sizes are huge
     before = spark.conf.get(BATCH_CONF)
     spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
     try:
