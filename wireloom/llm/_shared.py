@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,32 +33,51 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Bytes of a scanned table for each task and file of a table made from it in one pass.
-TASK_BYTES = 128 << 20
+#: Bytes of a scanned table for each file of what a pass over it returns.
+FILE_BYTES = 128 << 20
 
 
-def keep(df: DataFrame, name: str, scan: DataFrame | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """df as a table in the shared folder.
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows in what is planned meanwhile.
 
-    scan is the table that df is a single pass over, if it is one: small inputs
-    then make as many files as there are cores, not one for each split. While
-    it is written, Arrow batches have BATCH_ROWS rows at most: a batch of long
-    texts lies in memory several times, on both sides of a Python worker.
+    A batch of long texts lies in memory several times, on both sides of a
+    Python worker.
     """
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    if scan is not None:
-        size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        df = df.coalesce(min(max(spark.sparkContext.defaultParallelism, -(-size // task_bytes)), 1 << 30))  # unknown sizes are huge
     before = spark.conf.get(BATCH_CONF)
     spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(BATCH_CONF, before)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    spark = df.sparkSession
+    path = new_dir(spark, name)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """df, computed once, on the executors' disks; what is lost with one is computed again.
+
+    For passes over a table, which give the same rows again. The session's
+    cache has it until spark.catalog.clearCache().
+    """
+    with small_batches(df.sparkSession):
+        return df.persist(StorageLevel.DISK_ONLY)
+
+
+def few_files(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """df, a pass over scan, in partitions of FILE_BYTES of it, but no fewer than there are cores."""
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    return df.coalesce(min(n, 1 << 30))  # unknown sizes are huge
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Deletes a folder that new_dir named."""
     jvm = spark.sparkContext._jvm

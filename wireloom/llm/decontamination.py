@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from . import _bytes as B
 from . import _filter
-from ._shared import fresh, keep, struct_of, without
+from ._shared import few_files, fresh, hold, keep, struct_of, without
 
 MARK = T.ArrayType(struct_of(fp="long", pos="int", size="int", around="[long]"))
 MARKED = struct_of(n_words="long", marks=MARK)
@@ -129,7 +129,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     items = keep(items.select("item", F.explode("m.marks").alias("m")).select("item", "m.fp", "m.size", "m.around").distinct(), "items")
     sizes = sorted(-r["size"] for r in items.select("size").filter("size < 0").distinct().collect())  # below the window
     marked = docs.select(F.col(id_col), _marker(window, k, sizes, _filter.make(items, "fp"))(F.col(text_col)).alias("m"))
-    marked = keep(marked.select(F.monotonically_increasing_id().alias("row"), id_col, "m.n_words", "m.marks"), "marked", docs)
+    marked = hold(marked.select(F.monotonically_increasing_id().alias("row"), id_col, "m.n_words", "m.marks"))
 
     marks = marked.select("row", F.explode("marks").alias("m")).select("row", "m.fp", "m.pos", "m.size", F.col("m.around").alias("mine"))
     met = marks.join(items, ["fp", "size"]).select("row", "pos", "size", "item", _extend("mine", "around").alias("e"))
@@ -154,6 +154,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 10, k: int = 5) -> DataFrame:
     """The rows of docs, all columns, that share no window with the benchmark."""
     name = fresh(docs, "_row")
-    rows = keep(docs.withColumn(name, F.monotonically_increasing_id()), "rows", docs)
+    rows = hold(docs.withColumn(name, F.monotonically_increasing_id()))
     got = decontaminate(rows, benchmark, window, k, name, text_col, item_col)
-    return without(rows, keep(got.filter("contaminated").select(name), "hits"), name).select(*docs.columns)
+    return few_files(without(rows, keep(got.filter("contaminated").select(name), "hits"), name).select(*docs.columns), docs)

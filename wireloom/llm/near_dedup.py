@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from ._blocks import keyed_blocks, spanning_links
 from ._graph import components
-from ._shared import TASK_BYTES, fresh, keep, struct_of, without
+from ._shared import few_files, fresh, hold, keep, struct_of, without
 
 SHINGLE = 5
 #: Chance that a pair right at the threshold shares no band; more alike, far less.
@@ -178,14 +178,14 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     return np.nonzero(np.triu(100 * both >= percent * union, 1))
 
 
-def _components(docs: DataFrame, percent: int, id_col: str, text_col: str, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """docs as a table with _row, _id and _sign, and the component_id of each (h1, h2) of its shingle sets.
 
     Names with an underscore too many are taken where docs has these already.
     """
     row, sign = fresh(docs, "_row"), fresh(docs, "_sign")
     table = docs.select("*", F.monotonically_increasing_id().alias(row), _sign(percent)(F.coalesce(F.col(text_col), F.lit(""))).alias(sign))
-    table = keep(table, "signed", docs, task_bytes)
+    table = hold(table)
     signed = table.select(F.col(row).alias("row"), F.col(id_col).alias("id"), f"{sign}.*")
     classes = keep(signed.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least")), "classes")
 
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     member has an id. Other columns are not read.
     """
     mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    table, of_class = _components(mine, percent, "id", "text", TASK_BYTES // 4)
+    table, of_class = _components(mine, percent, "id", "text")
     signed = table.select("id", "_sign.n", "_sign.h1", "_sign.h2")
     out = signed.filter("n > 0").join(of_class, ["h1", "h2"]).select("id", "n", "component_id").union(signed.filter("n = 0").select("id", "n", F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -243,4 +243,4 @@ def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     row, sign = fresh(placed, "_row"), fresh(placed, "_sign")
     signed = table.select(F.col(row).alias(row), F.col(place).alias("place"), f"{sign}.n", f"{sign}.h1", f"{sign}.h2").filter("n > 0")
     gone = signed.join(of_class, ["h1", "h2"]).filter(F.col("place.at") != F.col("component_id.at")).select(row)
-    return without(table, keep(gone, "gone"), row).select(*docs.columns)
+    return few_files(without(table, keep(gone, "gone"), row).select(*docs.columns), docs)

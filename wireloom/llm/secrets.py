@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep
+from ._shared import hold
 
 #: Kind, pattern, group with the secret, least length of the group.
 BASE_KINDS = (
@@ -88,7 +88,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     keep a row each. Other columns are not read.
     """
     rows = candidates(docs, text_col, F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
-    rows = keep(rows, "secrets", docs)
+    rows = hold(rows)
     one = rows.filter(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s"))
     one = one.withColumn("value_hash", F.xxhash64("s.value"))
     held = ownership(one.select("value_hash", "repo", "owner"))
