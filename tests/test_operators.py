@@ -197,3 +197,25 @@ def test_catalog(spark):
     assert {r.ref_id: r.payload and bytes(r.payload) for r in envelope.from_references(refs, m).collect()} == {1: b"y", 2: None}
     kinds = messages(spark, "0801", "0000000002 0801", "FF").select("i", envelope.classify("msg", fields.cursor("msg")).alias("k")).orderBy("i").collect()
     assert [r.k for r in kinds] == ["protobuf", "envelope", "raw"]
+
+
+def test_user_paths_see_through_text(spark):
+    inner = b"089601".hex()  # a payload that is hex of a message
+    df = messages(spark, "1A06" + inner + "1A02 0805", "0801")
+    got = {r.i: (r.varint, r.root_base) for r in paths.by_user_path(df, [(3, 0), (1, 0)], ["i"]).collect()}
+    assert got == {0: (150, None)}
+    got = {r.i: (r.varint, r.root_base) for r in paths.by_user_path(df, [(3, 1), (1, 0)], ["i"]).collect()}
+    assert got == {0: (5, 10)}
+
+
+def test_spans_cells_and_selection_paths(spark):
+    from wireloom.functions import spans as S
+    from wireloom.functions import text as X
+
+    d = messages(spark, "1203616263").select("msg", F.element_at(fields.cursor("msg")["fields"], 1).alias("f")).select("msg", S.of_field(F.col("f")).alias("s"))
+    s = F.col("s")
+    r = d.select(s["tag"], s["prefix"], s["payload"], S.cut("msg", s["payload"]), S.length(s["field"]), S.contains(s["field"], s["tag"]), S.intersects(s["tag"], s["prefix"]), S.shifted(s["tag"], 3), S.is_empty(S.span(2, 2)), S.span(3, 2)).first()
+    assert [tuple(x) if isinstance(x, tuple) else x for x in r] == [(0, 1), (1, 2), (2, 5), b"abc", 5, True, False, (3, 4), True, None]
+    step = X.parse_selection_path(F.lit("3:2:0/1:0:4"))
+    got = spark.range(1).select(X.selection_path(step), X.parse_selection_path(F.lit("3:9:0")), X.byte_cells(F.lit(b"A\x00"))).first()
+    assert got[0] == "3:2:0/1:0:4" and got[1] is None and [tuple(c) for c in got[2]] == [(0, "41", "A"), (1, "00", ".")]

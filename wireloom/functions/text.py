@@ -145,3 +145,31 @@ def parse_user_path(text: Column | str) -> Column:
     t = F.regexp_replace(F.trim(col(text)), r"^\.", "")
     steps = F.transform(F.split(t, r"\."), lambda s: F.struct(F.split_part(s, F.lit(":"), F.lit(1)).cast("int").alias("number"), F.coalesce(F.nullif(F.split_part(s, F.lit(":"), F.lit(2)), F.lit("")).cast("int"), F.lit(0)).alias("occurrence")))
     return F.when(t.rlike(r"^[1-9][0-9]{0,8}(:[0-9]{1,9})?(\.[1-9][0-9]{0,8}(:[0-9]{1,9})?)*$"), steps)
+
+
+def selection_path(steps: Column | str) -> Column:
+    """[(3, 2, 0), (1, 0, 4)] as 3:2:0/1:0:4: number, wire type and occurrence of that tag."""
+    return F.array_join(F.transform(col(steps), lambda s: F.concat_ws(":", s["number"].cast("string"), s["wire_type"].cast("string"), s["occurrence"].cast("string"))), "/")
+
+
+def parse_selection_path(text: Column | str) -> Column:
+    """3:2:0/1:0:4 as an array of struct<number, wire_type, occurrence>; null if it is no such path."""
+    t = col(text)
+
+    def step(s: Column) -> Column:
+        part = F.transform(F.split(s, ":"), lambda x: x.cast("int"))
+        return F.struct(F.get(part, F.lit(0)).alias("number"), F.get(part, F.lit(1)).alias("wire_type"), F.get(part, F.lit(2)).alias("occurrence"))
+
+    return F.when(t.rlike(r"^[1-9][0-9]{0,8}:[0-5]:[0-9]{1,9}(/[1-9][0-9]{0,8}:[0-5]:[0-9]{1,9})*$"), F.transform(F.split(t, "/"), step))
+
+
+def byte_cells(b: Column | str) -> Column:
+    """An array of struct<place, hex, ascii>, a cell for each byte; other than printable bytes show as a dot."""
+    b = col(b)
+
+    def cell(i: Column) -> Column:
+        one = F.substring(b, i + 1, F.lit(1))
+        shown = F.when(printable_ascii(one), F.decode(one, "US-ASCII")).otherwise(".")
+        return F.struct(i.alias("place"), F.hex(one).alias("hex"), shown.alias("ascii"))
+
+    return F.when(F.length(b) > 0, F.transform(F.sequence(F.lit(0), F.length(b) - 1), cell)).when(F.length(b) == 0, F.array().cast("array<struct<place:int,hex:string,ascii:string>>"))

@@ -99,3 +99,26 @@ def scan_paths(df: DataFrame, paths: Sequence[Path], keys: list[str], msg: str =
 def extract(df: DataFrame, path: Path, keys: list[str], msg: str = "msg", groups: bool = False) -> DataFrame:
     """The matches of one path."""
     return scan_paths(df, [path], keys, msg, groups)
+
+
+def by_user_path(df: DataFrame, steps: Sequence[tuple[int, int]], keys: list[str], msg: str = "msg", groups: bool = False) -> DataFrame:
+    """The field at a path of (number, occurrence) steps in each message, with its columns and root_base.
+
+    Occurrences are counted over all wire types. A payload on the way that is no
+    message but reads as hex or base64 of one is read so; root_base is null
+    below it. Messages without such a field give no row.
+    """
+    from ..functions.text import from_text
+    from .document import with_occurrence
+
+    rows = df.select(*keys, F.lit(0).alias("root_base"), F.col(msg).alias("_body"))
+    for i, (number, occurrence) in enumerate(steps):
+        got = rows.select(*keys, "root_base", cursor("_body", groups).alias("d"))
+        fields = got.filter("d.error is null").select(*keys, "root_base", F.inline("d.fields"))
+        fields = with_occurrence(fields.filter(F.col("field_number") == number), keys).filter(F.col("occurrence") == occurrence).drop("occurrence")
+        if i + 1 == len(steps):
+            return fields
+        inner = fields.filter(F.col("wire_type").isin(LEN, SGROUP)).select(*keys, (F.col("root_base") + F.col("value_start")).alias("root_base"), "bytes", cursor("bytes", groups)["error"].isNull().alias("_ok"))
+        text = F.when(F.is_valid_utf8("bytes"), from_text(F.col("bytes").cast("string")))
+        rows = inner.select(*keys, F.when(F.col("_ok"), F.col("root_base")).alias("root_base"), F.when(F.col("_ok"), F.col("bytes")).otherwise(F.coalesce(text, "bytes")).alias("_body"))
+    raise ValueError("a path has no step")

@@ -345,6 +345,12 @@ def occurrence_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.element_at(parsed, 1)["occurrence"].alias("occurrence"), X.user_path(step).alias("path"))
 
 
+@query("""SELECT l_orderkey AS o_orderkey, l_partkey AS part FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem) WHERE i = 2""")
+def user_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """.10:1.2 - the part of each order's second line item."""
+    return paths.by_user_path(M.orders(spark, sf_dir), [(10, 1), (2, 0)], ["o_orderkey"]).select("o_orderkey", F.col("varint").alias("part"))
+
+
 # Envelopes and text
 
 
