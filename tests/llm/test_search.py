@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import helpers as H
@@ -52,7 +53,9 @@ def change(rng, text, n):
     return "".join(out)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [20, 10**6])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(_graph, "EDGES_AT_ONCE", at_once)
     rng = np.random.default_rng(5)
     chain = [(i, i + 1) for i in range(0, 60)]
     star = [(100, i) for i in range(101, 160)]

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, struct_of
+from ._shared import hold, keep, struct_of
 
 EDGE = struct_of(a="long", b="long")
 
@@ -36,27 +36,36 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["a", "b"])
 
 
+#: Edges of a partition when partitions are contracted: some 50 MB in a worker.
+EDGES_AT_ONCE = 250_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b longs) but the roots themselves.
 
-    root is the least node of the component. Each round contracts every
-    partition on its own by union-find, then joins each node to the least node
-    around it (large and small stars) until every node hangs on a root; the
-    number of rounds grows with the logarithm of the longest chain. Nodes stay
-    rows: a hub with very many neighbours is a skewed join, which Spark splits.
+    root is the least node of the component. Each round counts the edges and
+    contracts partitions of a bounded number of them by union-find; if that is
+    one partition, it is done. Else each node is joined to the least node around
+    it (large and small stars), until every node hangs on a root; the number of
+    rounds grows with the logarithm of the longest chain. A hub with very many
+    neighbours stays rows of a skewed join.
     """
-    # Rebalanced, few edges lie in few partitions, and one round may do.
-    e = keep(edges.filter("a <> b").hint("rebalance").mapInArrow(_forest, EDGE), "forest")
+    e = edges.filter("a <> b").select("a", "b")
     while True:
+        e = hold(e)
+        parts = max(1, -(-e.count() // EDGES_AT_ONCE))
+        e = keep(e.repartition(parts).mapInArrow(_forest, EDGE), "forest")
+        found = e.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
+        if parts == 1:
+            return found
         # Done when no root hangs on another node and none has two.
         again = e.join(e.select(F.col("b").alias("x")).distinct(), e["a"] == F.col("x"), "left_semi").limit(1).count()
-        twice = again or e.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo <> hi").limit(1).count()
-        if not twice:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
+        if not again and not e.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo <> hi").limit(1).count():
+            return found
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(least, both["a"] == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = keep(large.filter("a <> b"), "stars")
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = large.join(least, large["a"] == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = keep(small.union(least.select("k", "m")).distinct().hint("rebalance").mapInArrow(_forest, EDGE), "forest")
+        e = small.union(least.select("k", "m")).distinct()
