@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _bytes as B
-from ._shared import struct_of
+from ._shared import hold, struct_of
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Pieces of a group, on average: enough for a tight packing, some MB in a task.
@@ -97,7 +97,7 @@ def pack(items: DataFrame, lengths: Sequence[int] = LENGTHS, id_col: str = "doc_
     files.
     """
     top = max(lengths)
-    rows = items.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("n")).filter("n > 0")
+    rows = hold(items.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("n")).filter("n > 0"))  # read twice
     count = rows.agg(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0
     n_groups = max(1, -(-int(count) // group))
     pieces = rows.select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / top))).alias("piece"))
