@@ -173,6 +173,37 @@ def test_superminhash_estimates_similarity():
     assert sorted((one[0] >> np.uint64(32)).tolist()) == list(range(50))
 
 
+def test_family_components_equal_brute_force(spark, monkeypatch):
+    import wireloom.llm._blocks as blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 6)
+    rng = np.random.default_rng(12)
+    # points of families; those at most 3 apart link, and lie on the same or neighbouring levels
+    spread = {1: 40, 2: 900, 3: 5, 4: 4000, 5: 30}
+    points = [(node, family, int(rng.integers(0, spread[family]))) for node, family in enumerate(rng.choice([1, 2, 3, 4, 5], 300, p=[0.4, 0.2, 0.2, 0.18, 0.02]).tolist())]
+    read = spark.sparkContext.accumulator(0)
+
+    def linked(groups):
+        out = []
+        for items in groups:
+            read.add(len(items))
+            at = np.array([int.from_bytes(x, "little") for x in items])
+            out.append(np.nonzero(np.triu(np.abs(at[:, None] - at[None, :]) <= 3, 1)))
+        return out
+
+    nodes = spark.createDataFrame([(n, f, x // 4) for n, f, x in points], "node long, root long, level int").repartition(5)
+    items = spark.createDataFrame([(n, x.to_bytes(4, "little")) for n, _, x in points], "node long, items binary")
+    got = {r.node: r.root for r in blocks.family_components(nodes, items, linked).collect()}
+    want = roots(len(points), [(a[0], b[0]) for a in points for b in points if a[0] > b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 3])
+    assert got == {n: r for n, r in enumerate(want) if n != r}
+    # copies without number: what is read grows with the nodes, not with their square
+    read.value = 0
+    nodes = spark.range(2000).selectExpr("id AS node", "0L AS root", "0 AS level")
+    items = spark.range(2000).selectExpr("id AS node", "X'00' AS items")
+    assert blocks.family_components(nodes, items, linked).filter("root = 0").count() == 1999
+    assert read.value < 3 * 2000
+
+
 def test_near_dedup_of_odd_rows(spark):
     df = H.odd(spark)
     got = near_dedup.near_duplicates(df)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,41 +10,90 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import EDGE
+from ._graph import EDGE, components
+from ._shared import hold
 
 #: Nodes of a block; a task compares two blocks at a time.
 BLOCK = 256
 
 
 def keyed_blocks(nodes: DataFrame) -> DataFrame:
-    """Rows (node, root, level) to rows (key, node): every two that may link meet under some key.
+    """Rows (node, root, level, rest) to rows (key, node): every two that may link meet under some key.
 
-    Only nodes of a family (root) on the same or neighbouring levels may link.
-    A family of at most BLOCK nodes has one key. A larger one is cut into its
-    levels, and a level into blocks by hash; each two blocks of the same or
-    neighbouring levels share a key.
+    Only nodes of a family (root) on the same or neighbouring levels may link,
+    and of two nodes one at least must be marked rest. A family's levels are
+    cut into blocks by hash, rest and others apart; each two blocks that may
+    have links share a key.
     """
-    tally = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
-    small = nodes.join(tally.filter(F.col("total") <= BLOCK), "root", "left_semi").select(F.col("root").cast("string").alias("key"), "node")
-    large = nodes.join(tally.filter(F.col("total") > BLOCK), "root", "left_semi")
-    levels = large.groupBy("root", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    own = large.join(levels, ["root", "level"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    parts = F.struct(*(F.ceil(F.count_if(F.col("rest") == flag) / BLOCK).cast("int").alias(side) for side, flag in (("rest", True), ("main", False))))
+    levels = nodes.groupBy("root", "level").agg(parts.alias("parts"))
     above = levels.select("root", (F.col("level") - 1).alias("level"), F.col("parts").alias("above"))
     below = levels.select("root", (F.col("level") + 1).alias("level"), F.col("parts").alias("below"))
-    own = own.join(above, ["root", "level"], "left").join(below, ["root", "level"], "left")
+    own = nodes.join(levels, ["root", "level"]).join(above, ["root", "level"], "left").join(below, ["root", "level"], "left")
+    mine = F.struct(F.col("level").alias("l"), F.col("rest").cast("int").alias("r"), F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("parts.rest")).otherwise(F.col("parts.main"))).cast("int").alias("p"))
 
-    def keys(step: int, count: str) -> Column:
-        others = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+    def keys(step: int, parts: str, side: str) -> Column:
+        n, may = F.col(f"{parts}.{side}"), F.col("rest") if side == "main" else F.lit(True)
+        others = F.when(may & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
         def key(other: Column) -> Column:
-            mine, its = F.struct(F.col("level").alias("l"), F.col("part").alias("p")), F.struct((F.col("level") + step).alias("l"), other.alias("p"))
-            lo, hi = F.least(mine, its), F.greatest(mine, its)
-            return F.concat_ws(":", F.col("root"), lo["l"], lo["p"], hi["l"], hi["p"])
+            its = F.struct((F.col("level") + step).alias("l"), F.lit(int(side == "rest")).alias("r"), other.alias("p"))
+            lo, hi = F.least(F.col("mine"), its), F.greatest(F.col("mine"), its)
+            return F.concat_ws(":", F.col("root"), *(x[c] for x in (lo, hi) for c in "lrp"))
 
         return F.transform(others, key)
 
-    met = F.array_distinct(F.concat(keys(0, "parts"), keys(1, "above"), keys(-1, "below")))
-    return small.union(own.select(F.explode(met).alias("key"), "node"))
+    met = [keys(step, parts, side) for step, parts in ((0, "parts"), (1, "above"), (-1, "below")) for side in ("rest", "main")]
+    return own.withColumn("mine", mine).select(F.explode(F.array_distinct(F.concat(*met))).alias("key"), "node")
+
+
+def _own_blocks(nodes: DataFrame, salt: int) -> DataFrame:
+    """Rows (key, node): each level of each family in blocks that don't meet."""
+    parts = nodes.groupBy("root", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(salt)), F.col("parts"))
+    return nodes.join(parts, ["root", "level"]).select(F.concat_ws(":", "root", "level", part).alias("key"), "node")
+
+
+def family_components(nodes: DataFrame, items: DataFrame, linked: Callable[[list[list[bytes]]], list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """Rows (node, root, level) and (node, items) to the components of all links inside families, as components gives them.
+
+    A family of at most BLOCK nodes is compared whole. In a larger one each node
+    first meets its own block only, then one node of each component does, as
+    long as that halves them: copies of one text, however many, become one
+    component in passes that read each node once. Then all blocks meet but
+    those of the family's largest component among themselves, whose nodes are
+    connected already. So what is read grows with the product of a family's
+    nodes and those outside its largest component.
+    """
+
+    def meet(keyed: DataFrame) -> DataFrame:
+        return spanning_links(keyed.join(items, "node"), linked)
+
+    def joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+        return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges))
+
+    total = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
+    small = nodes.join(total.filter(F.col("total") <= BLOCK), "root", "left_semi").select(F.col("root").cast("string").alias("key"), "node")
+    large = hold(nodes.join(total.filter(F.col("total") > BLOCK), "root", "left_semi").select("node", "root", "level"))
+    n = large.count()
+    if not n:
+        return components(meet(small))
+    found = components(meet(small.union(_own_blocks(large, 0))))
+    for salt in itertools.count(1):
+        firsts = hold(large.join(found, "node", "left_anti"))
+        before, n = n, firsts.count()
+        if firsts.groupBy("root", "level").count().filter(F.col("count") > BLOCK).isEmpty():
+            found = joined(found, meet(keyed_blocks(firsts.withColumn("rest", F.lit(True)))))
+            break
+        if 2 * n > before:
+            break
+        found = joined(found, meet(_own_blocks(firsts, salt)))
+    of = large.join(found.withColumnRenamed("root", "of"), "node", "left").withColumn("of", F.coalesce("of", "node"))
+    most = of.groupBy("root", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "of")).alias("most"))
+    marked = hold(of.join(most, "root").select("node", "root", "level", (F.col("of") != F.col("most.of")).alias("rest")))
+    if marked.filter("rest").isEmpty():
+        return found
+    return joined(found, meet(keyed_blocks(marked)))
 
 
 #: Nodes whose keys a task compares in one go, about.

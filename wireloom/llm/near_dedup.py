@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._blocks import keyed_blocks, spanning_links
+from ._blocks import family_components
 from ._graph import components
 from ._shared import few_files, fresh, hold, keep, struct_of, without
 
@@ -205,10 +205,7 @@ def _components(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tu
     ready = families.join(texts.mapInArrow(_full_sets, SETS), ["h1", "h2"]).select("node", "items")
     # Sets that link differ in size by a factor of 100 / percent at most: by one level.
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int")
-    keyed = keyed_blocks(families.select("node", "root", level.alias("level"))).join(ready, "node")
-    links = spanning_links(keyed, lambda groups: [linked_pairs([np.frombuffer(x, B.U) for x in items], percent) for items in groups])
-
-    linked = components(links)
+    linked = family_components(families.select("node", "root", level.alias("level")), hold(ready), lambda groups: [linked_pairs([np.frombuffer(x, B.U) for x in items], percent) for items in groups])
     roots = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     grouped = classes.join(roots, "node")
     by_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
