@@ -43,3 +43,16 @@ def test_scans_prune_columns_and_decode_once(spark):
     plan = wire.QUERIES["order_totals_from_wire"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert "o_totalprice" not in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string>" in plan
+
+
+def test_all_events_are_framed(spark):
+    """More events than the first 2,000 ids, and users whose events lie in several envelopes."""
+    events = spark.range(6000).selectExpr("id % 7 as user_id", "id as event_id", "concat('{', id, '}') as props")
+    for ids in (wire.ENVELOPE_IDS, 500):
+        got = {(r.user_id, r.idx): (r.compressed, r.json, r.props, r.format) for r in wire._framed(events, ids).collect()}
+        assert got == {(i % 7, i // 7): (i % 2 == 0, i % 3 == 0, f"{{{i}}}", None if i % 2 else "gzip") for i in range(6000)}
+
+
+def test_registered_envelopes_cover_every_event(spark):
+    data = "/root/testdata/sf0.01"
+    assert entry.queries()["envelope_frames_whole"](spark, data).count() == spark.read.parquet(f"{data}/events.parquet").count()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import encode as E
@@ -354,22 +354,42 @@ def user_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Envelopes and text
 
 
-@query("""SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS idx, event_id % 2 = 0 AS compressed, event_id % 3 = 0 AS json, props,
- CASE WHEN event_id % 2 = 0 THEN 'gzip' END AS format FROM events WHERE event_id < 2000""")
-def envelope_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each user in one envelope, every other one compressed, and back."""
-    e = table(spark, sf_dir, "events").filter("event_id < 2000")
+#: Event ids of one envelope: a user with more has several, so that none outgrows a task.
+ENVELOPE_IDS = 1 << 16
+
+
+def _framed(events: DataFrame, ids: int = ENVELOPE_IDS) -> DataFrame:
+    """All events as frames of their user's envelopes, cut at multiples of ids, and back; idx counts on through a user's envelopes."""
     raw = F.col("props").cast("binary")
     zipped = F.when(F.col("event_id") % 2 == 0, envelope.gzip(raw)).otherwise(raw)
     flags = F.when(F.col("event_id") % 2 == 0, 1).otherwise(0) + F.when(F.col("event_id") % 3 == 0, 2).otherwise(0)
-    e = e.select("user_id", "event_id", envelope.frame(flags.cast("long"), zipped).alias("f"))
-    whole = document.assemble(e, ["user_id"], "f", "event_id")
+    e = events.withColumn("part", F.floor(F.col("event_id") / ids))
+    sizes = e.groupBy("user_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("user_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("user_id").alias("u"), F.col("part").alias("k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    e = e.select("user_id", "part", "event_id", envelope.frame(flags.cast("long"), zipped).alias("f"))
+    whole = document.assemble(e, ["user_id", "part"], "f", "event_id")
+    whole = whole.join(sizes, F.col("user_id").eqNullSafe(F.col("u")) & F.col("part").eqNullSafe(F.col("k"))).select("user_id", "before", "msg")
     rows = envelope.frame_rows(whole)
     plain = envelope.decompress(F.when(F.col("compressed"), F.col("payload")))
-    rows = rows.withColumn("p", plain)
+    rows = rows.withColumn("p", plain).withColumn("idx", (F.col("before") + F.col("idx")).cast("int"))
     return rows.select("user_id", "idx", "compressed", "json", F.coalesce("p.payload", "payload").cast("string").alias("props"), "p.format")
 
 
+@query("""SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS idx, event_id % 2 = 0 AS compressed, event_id % 3 = 0 AS json, props,
+ CASE WHEN event_id % 2 = 0 THEN 'gzip' END AS format FROM events WHERE event_id < 2000""")
+def envelope_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user in one envelope, every other one compressed, and back."""
+    return _framed(table(spark, sf_dir, "events").filter("event_id < 2000"))
+
+
+@query("""SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS idx, event_id % 2 = 0 AS compressed, event_id % 3 = 0 AS json, props,
+ CASE WHEN event_id % 2 = 0 THEN 'gzip' END AS format FROM events""")
+def envelope_frames_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all events."""
+    return _framed(table(spark, sf_dir, "events"))
+
+
 @query(r"""WITH b AS (SELECT p_partkey, p_name, hex(encode(p_name)) AS h, encode(p_name) AS b FROM part)
 SELECT p_partkey, p_name AS from_hex, p_name AS from_base64, p_name AS from_url, trim(regexp_replace(h, '(..)', '\1 ', 'g')) AS spaced, '[' || regexp_replace(regexp_replace(h, '(..)', '0x\1, ', 'g'), ', $', '') || ']' AS brackets,
  '{ ' || regexp_replace(regexp_replace(h, '(..)', '0x\1, ', 'g'), ', $', '') || ' }' AS c_array, regexp_replace(h, '(..)', chr(92) || chr(92) || 'x\1', 'g') AS c_escape,
