@@ -101,6 +101,22 @@ def test_repeated_lines_equal_brute_force(spark):
     assert got == want
 
 
+def test_short_lines_that_repeat_exactly(spark):
+    long_ = "a line of more than thirty-two characters"
+    texts = ["Menu\n \n我们今天去北京。\nMenu", "我们今天去北京。\n \nMenus\n" + long_, "}\n}\n" + long_ + "!", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {r.doc_id: (r.n_long, r.removed, r.n_near) for r in line_dedup.repeated_lines(df, exact_chars=1).collect()}
+    # "Menus" is one edit from "Menu", but edits connect only long lines
+    assert got == {0: (3, [3], 0), 1: (3, [0], 0), 2: (3, [1, 2], 1), 3: (0, [], 0), 4: (0, [], 0)}
+    left = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(df, exact_chars=1).collect()}
+    assert left == {0: "Menu\n \n我们今天去北京。", 1: " \nMenus\n" + long_, 2: "}", 3: None, 4: ""}
+    assert [r.removed for r in line_dedup.repeated_lines(df, exact_chars=5).orderBy("doc_id").collect()] == [[], [0], [2], [], []]
+    near = {r.doc_id: r.removed for r in line_dedup.repeated_lines(df, exact_chars=1, near_chars=4).collect()}
+    assert near[0] == [3] and near[1] == [0, 2] and near[2] == [1, 2]
+    with pytest.raises(ValueError, match="near_chars"):
+        line_dedup.repeated_lines(df, exact_chars=1, near_chars=2)
+
+
 def test_lines_of_odd_rows(spark):
     df = H.odd(spark)
     got = line_dedup.repeated_lines(df)

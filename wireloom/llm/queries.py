@@ -225,6 +225,24 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN z USING (doc_id)
 """
 
 
+@query
+def op4_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with exact repeats of all lines that aren't blank, however short."""
+    got = line_dedup.repeated_lines(table(spark, sf_dir, "documents"), exact_chars=1)
+    return got.select("doc_id", "n_lines", "n_long", F.size("removed").cast("long").alias("n_removed"), "n_near", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+
+
+def _all_lines(sql: str) -> str:
+    """All lines that aren't blank in x and u; edits connect only those of 32 characters and more."""
+    lines, rest = sql.split("\nm AS (")
+    edits, families = rest.split("\nl AS (")
+    lines = lines.replace("length(line) >= 32", r"length(line) >= 32 OR regexp_matches(line, '[^\x20\x09-\x0D]')") + "\nv AS (SELECT * FROM u WHERE n >= 32),"
+    return lines + "\nm AS (" + edits.replace("FROM u", "FROM v").replace("JOIN u", "JOIN v") + "\nl AS (" + families
+
+
+ORACLES["op4_line_dedup_all"] = _all_lines(ORACLES["op4_line_dedup"])
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 512 to 8192 tokens (words and an end) that hold every document."""
