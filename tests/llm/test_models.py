@@ -148,6 +148,19 @@ def test_language_model_equals_brute_force(spark):
     assert model.bits > 2 and model.n_tokens == sum(len((t or "").split()) + 1 for t in train)
 
 
+def test_pairs_of_a_hot_context_are_dealt_out(spark):
+    train = [f"id: {i} id: x{i} of {i % 7}" for i in range(2000)]
+    texts = ["id: 5 of 3", "of id: x7 unheard", "id: id:", ""]
+    model = lm_scoring.fit(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), shard_pairs=400)
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", lm_scoring.score(model, F.col("text")).alias("s")).orderBy("i").collect()
+    assert [(r.s.n_tokens, r.s.n_known, round(r.s.base_score, 6), round(r.s.score, 6)) for r in got] == brute_model(train, texts)
+    # 4,000 words follow "id:"; by the context's hash alone they lie in one file
+    reader = lm_scoring.Reader(model)
+    sizes = [len(reader._arrays("pairs", k)[0]) for k in range(1 << model.bits)]
+    assert model.bits > 2 and sum(sizes) == model.n_pairs > 8000 and max(sizes) < 400
+    assert len(model.hot) == 10  # "id:", "of", the digits and a text's begin
+
+
 def test_language_model_of_odd_rows_and_nothing(spark):
     df = H.odd(spark)
     model = lm_scoring.fit(df)

@@ -1,7 +1,9 @@
 """Interpolated modified Kneser-Ney bigram model over the whole corpus.
 
 Counting is two rounds of Spark grouping by shards of hashes: pairs by the
-shard of their context, then words by their own. Tasks combine what they have
+shard of their context, then words by their own. Contexts that are common enough
+to weigh on a shard are counted first; their pairs go by the pair's own hash
+instead, and their totals are summed over shards. Tasks combine what they have
 read before anything is shuffled, so a common word costs a row per task. Each
 shard of the model is a file of sorted hashes and their counts in the shared
 folder; scoring tasks map the files and look up each batch's distinct words and
@@ -30,6 +32,9 @@ GATHER = 1_500_000
 CHUNK = B.CHUNK_BYTES
 PARTS = struct_of(shard="long", first="binary", second="binary", count="binary")
 WORD_PARTS = struct_of(kind="int", shard="long", word="binary", conts="binary", count="binary", stats="[long]")
+HOT = struct_of(context="long", n="long")
+TOTALS = struct_of(context="long", n="long", ones="long", twos="long", more="long")
+NO_HOT = np.zeros(0, B.U)
 SCORED = struct_of(n_tokens="long", n_known="long", base_score="double", score="double")
 
 
@@ -52,17 +57,25 @@ def _shard(x: np.ndarray, bits: int) -> np.ndarray:
     return (x >> B.U(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
 
 
-def _pair_key(before: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
-    """A hash of the pair whose first bits are the context's shard."""
+def _place(x: np.ndarray, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x would lie in sorted_, and whether it does."""
+    if not len(sorted_):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
+def _pair_key(before: np.ndarray, words: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+    """A hash of the pair whose first bits are its shard: the context's, and of hot contexts its own."""
     key = B.combine(before, words)
     if not bits:
         return key
-    return ((before >> B.U(64 - bits)) << B.U(64 - bits)) | (key >> B.U(bits))
+    return np.where(_place(before, hot)[1], key, ((before >> B.U(64 - bits)) << B.U(64 - bits)) | (key >> B.U(bits)))
 
 
-def _gathered(before: np.ndarray, words: np.ndarray, count: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+def _gathered(before: np.ndarray, words: np.ndarray, count: np.ndarray, bits: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct pairs in the order of their keys, with summed counts."""
-    key = _pair_key(before, words, bits)
+    key = _pair_key(before, words, bits, hot)
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -71,10 +84,35 @@ def _gathered(before: np.ndarray, words: np.ndarray, count: np.ndarray, bits: in
     return key[first], before[at], words[at], total
 
 
-def _count_pairs(bits: int):
+def _common_contexts(share: float):
+    """Contexts that make up that share of a chunk, with their counts there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in B.chunks(batch.column(0), CHUNK):
+                before = _tokens(data, offsets)[1]
+                context, n = np.unique(before, return_counts=True)
+                often = n >= share * len(before)
+                yield pa.RecordBatch.from_arrays([pa.array(context[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=HOT.names)
+
+    return count
+
+
+def _hot_contexts(text: DataFrame, n_tokens: int, most: int) -> np.ndarray:
+    """All contexts seen more than `most` times, and none seen less than most / 2; sorted.
+
+    n_tokens is at least the number of tokens; what chunks leave out of a
+    context is less than most / 2 in all.
+    """
+    counts = text.mapInArrow(_common_contexts(most / 2 / n_tokens), HOT).groupBy("context").agg(F.sum("n").alias("n"))
+    got = counts.filter(F.col("n") >= most / 2).select("context").toArrow()["context"].to_numpy()
+    return np.sort(got.astype(np.int64).view(B.U))
+
+
+def _count_pairs(bits: int, hot: np.ndarray):
     def emit(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        _, before, words, count = _gathered(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
-        shard = _shard(before, bits)
+        key, before, words, count = _gathered(*(np.concatenate(x) for x in zip(*held, strict=True)), bits, hot)
+        shard = _shard(key, bits)
         order = np.lexsort((before, shard))  # equal contexts side by side compress well
         shard, before, words, count = shard[order], before[order], words[order], count[order].astype(np.uint32)
         at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
@@ -86,7 +124,7 @@ def _count_pairs(bits: int):
         for batch in batches:
             for _, _, data, offsets in B.chunks(batch.column(0), CHUNK):
                 words, before, _ = _tokens(data, offsets)
-                held.append(_gathered(before, words, np.ones(len(words), np.int64), bits)[1:])
+                held.append(_gathered(before, words, np.ones(len(words), np.int64), bits, hot)[1:])
                 n += len(held[-1][0])
                 if n >= GATHER:
                     yield emit(held)
@@ -106,16 +144,19 @@ def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[column].combine_chunks()])
 
 
-def _make_pairs(folder: str, bits: int):
+def _make_pairs(folder: str, bits: int, hot: np.ndarray):
     def make(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        key, before, words, count = _gathered(_joined(table, "first", B.U), _joined(table, "second", B.U), _joined(table, "count", np.uint32).astype(np.int64), bits)
+        key, before, words, count = _gathered(_joined(table, "first", B.U), _joined(table, "second", B.U), _joined(table, "count", np.uint32).astype(np.int64), bits, hot)
         write_arrays(f"{folder}/pairs-{shard}", [key, count.astype(np.uint32)])
         order = np.argsort(before)
         h, c = before[order], count[order]
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         ones = [np.add.reduceat(x, at) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))]
-        write_arrays(f"{folder}/contexts-{shard}", [h[at], ones[0].astype(np.int64), *(x.astype(np.uint32) for x in ones[1:])])
+        # Contexts of this shard are whole here; of hot ones this is a share.
+        h, shared = h[at], _place(h[at], hot)[1]
+        write_arrays(f"{folder}/contexts-{shard}", [h[~shared], ones[0][~shared].astype(np.int64), *(x[~shared].astype(np.uint32) for x in ones[1:])])
+        shares = np.stack([h.view(np.int64), *ones], axis=1)[shared].ravel()
         # To the words: in how many pairs of this shard they are second, and how often.
         order = np.argsort(words)
         w, c = words[order], count[order]
@@ -124,21 +165,27 @@ def _make_pairs(folder: str, bits: int):
         goal = _shard(w, bits)
         cut = np.flatnonzero(np.concatenate([[True], goal[1:] != goal[:-1], [True]]))
         spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-        none = [None]
+        none = [None, None]
         return pa.table(
             {
-                "kind": pa.array([0] * len(spans) + [1], pa.int32()),
-                "shard": pa.array(goal[cut[:-1]].tolist() + [shard], pa.int64()),
+                "kind": pa.array([0] * len(spans) + [1, 2], pa.int32()),
+                "shard": pa.array(goal[cut[:-1]].tolist() + [shard] * 2, pa.int64()),
                 "word": pa.array([w[a:b].tobytes() for a, b in spans] + none, pa.binary()),
                 "conts": pa.array([conts[a:b].astype(np.uint32).tobytes() for a, b in spans] + none, pa.binary()),
                 "count": pa.array([total[a:b].astype(np.int64).tobytes() for a, b in spans] + none, pa.binary()),
-                "stats": pa.array([None] * len(spans) + [_tallies(count).tolist()], pa.list_(pa.int64())),
+                "stats": pa.array([None] * len(spans) + [_tallies(count).tolist(), shares.tolist()], pa.list_(pa.int64())),
             }
         )
 
     return make
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(TOTALS))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T.copy()], names=TOTALS.names)
+
+
 def _make_words(folder: str):
     def make(table: pa.Table) -> pa.Table:
         word, conts, count = _joined(table, "word", B.U), _joined(table, "conts", np.uint32).astype(np.int64), _joined(table, "count", np.int64)
@@ -174,17 +221,21 @@ class Model:
     n_pairs: int
     word_tallies: list[int]
     pair_tallies: list[int]
+    hot: np.ndarray  # sorted hashes of contexts whose pairs lie in all shards
+    hot_totals: np.ndarray  # (4, hot): how many tokens follow; how many pairs are seen once, twice, more often
 
 
 def fit(docs: DataFrame, text_col: str = "text", shard_pairs: int = SHARD_PAIRS) -> Model:
     """Counts all of docs; a null text is an empty one. The model lies in the shared folder."""
     spark = docs.sparkSession
     text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, n_rows = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     bits = max(0, int(np.ceil(np.log2(max(1, size / 6 / shard_pairs)))))
     folder = new_dir(spark, "lm")
-    parts = text.mapInArrow(_count_pairs(bits), PARTS)
-    by_word = keep(parts.groupBy("shard").applyInArrow(_make_pairs(folder, bits), WORD_PARTS), "lm-words")
+    # A context that stays whole brings a quarter of a shard at most.
+    hot = _hot_contexts(text, size // 2 + 2 * n_rows, max(1, shard_pairs // 4)) if bits else NO_HOT
+    parts = text.mapInArrow(_count_pairs(bits, hot), PARTS)
+    by_word = keep(parts.groupBy("shard").applyInArrow(_make_pairs(folder, bits, hot), WORD_PARTS), "lm-words")
     stats = by_word.filter("kind = 0").select("shard", "word", "conts", "count").groupBy("shard").applyInArrow(_make_words(folder), struct_of(stats="[long]"))
 
     def summed(df: DataFrame, n: int) -> list[int]:
@@ -192,7 +243,14 @@ def fit(docs: DataFrame, text_col: str = "text", shard_pairs: int = SHARD_PAIRS)
         return list(row)
 
     words = summed(stats, 8)
-    return Model(folder, bits, words[0], words[1], words[2], words[3:], summed(by_word.filter("kind = 1"), 5))
+    totals = np.zeros((4, len(hot)), np.int64)
+    if len(hot):
+        shares = by_word.filter("kind = 2").select("stats").mapInArrow(_shares, TOTALS)
+        got = shares.groupBy("context").agg(*[F.sum(c).alias(c) for c in TOTALS.names[1:]]).toArrow()
+        at, _ = _place(got["context"].to_numpy().astype(np.int64).view(B.U), hot)
+        for i, c in enumerate(TOTALS.names[1:]):
+            totals[i, at] = got[c].to_numpy()
+    return Model(folder, bits, words[0], words[1], words[2], words[3:], summed(by_word.filter("kind = 1"), 5), hot, totals)
 
 
 class Reader:
@@ -241,8 +299,11 @@ class Reader:
             lower = (conts - d1[np.minimum(conts, 3)]) / types + mass / (m.n_words + 1)
             contexts, at = np.unique(before, return_inverse=True)
             total, *n_of = self.find("contexts", contexts)
+            place, hot = _place(contexts, m.hot)
+            for x, y in zip((total, *n_of), m.hot_totals, strict=True):
+                x[hot] = y[place[hot]]
             rest = np.where(total > 0, (d2[1] * n_of[0] + d2[2] * n_of[1] + d2[3] * n_of[2]) / np.maximum(total, 1), 1.0)
-            key = _pair_key(before, words, m.bits)
+            key = _pair_key(before, words, m.bits, m.hot)
             order = np.argsort(key)
             (pairs,) = self.find("pairs", key[order])
             seen = np.empty(len(key), np.int64)
