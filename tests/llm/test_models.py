@@ -80,6 +80,16 @@ def test_languages_held_out(spark):
     assert [r.p.lang == "und" for r in letters] == [True, False, False, True, True]
 
 
+def test_rare_languages_are_learned(spark):
+    """80 languages, the last ten behind all others by count: each has its place in the net."""
+    letters = [chr(0x400 + k) for k in range(80)]
+    rows = [(" ".join([c * (2 + i % 3)] * 12), f"l{k:02}") for k, c in enumerate(letters) for i in range(6 if k < 70 else 4)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    net = language_id.fit(docs)
+    assert net.langs == sorted({lang for _, lang in rows}) and net.dense.shape[1] == 80
+    assert language_id.fit(docs, total=80).langs == net.langs
+
+
 def test_long_texts_count_whole(spark):
     """A text that is one language at first and mostly another is of the other."""
     docs = lang_table(spark)

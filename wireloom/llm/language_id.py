@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
@@ -140,31 +140,30 @@ def predict(net: Net, tables: tuple[np.ndarray, np.ndarray], column: pa.Array) -
     return best, score
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, max_langs: int = 64, seed: str = "langid") -> Net | None:
-    """Trains on at most per_lang labelled texts of each of the max_langs commonest languages.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, total: int = 64_000, seed: str = "langid") -> Net | None:
+    """Trains on labelled texts of every language: per_lang of each, less where all would be more than total.
 
-    That limit bounds what comes to the driver: from each text one stretch of
-    4 windows, at a place drawn by hash. Rows with null text or language, or
+    That limit bounds what comes to the driver (a language has one text at
+    least): from each text one stretch of 4 windows, at a place drawn by hash. Rows with null text or language, or
     without a letter, teach nothing. None if no row is left.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    tally = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    tally = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not tally:
         return None
     langs = sorted(r["lang"] for r in tally)
-    # Twice the share that is wanted passes by hash; the rest is cut off on the driver's side.
-    share = F.create_map(*[x for r in tally for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * per_lang / r["n"])))])
+    per_lang = max(1, min(per_lang, total // len(langs)))
+    # Some twice the share that is wanted passes by hash; the rest is cut off by rank.
+    share = spark.createDataFrame([(r["lang"], min(1.0, max(2 * per_lang, per_lang + 32) / r["n"])) for r in tally], "lang string, share double")
     rank = F.xxhash64("text", F.lit(seed))
     length = 4 * WINDOW
     start = 1 + F.pmod(F.xxhash64(F.lit(seed), "text"), F.greatest(F.lit(1), F.char_length("text") - length + 1))
-    pick = rows.filter(F.pmod(rank, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    pick = rows.join(F.broadcast(share), "lang").filter(F.pmod(rank, F.lit(1 << 20)) < F.col("share") * (1 << 20))
     pick = keep(pick.select("lang", rank.alias("rank"), F.substring("text", start.cast("int"), F.lit(length)).alias("text")), "langid")
-    parts = [pick.filter(F.col("lang") == name).orderBy("rank", "text").limit(per_lang) for name in langs]
-    sample = parts[0]
-    for p in parts[1:]:
-        sample = sample.union(p)
-    got = sample.toArrow()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))
+    got = pick.withColumn("place", place).filter(F.col("place") <= per_lang).orderBy("lang", "place").toArrow()
+    number = {name: k for k, name in enumerate(langs)}
     rng = np.random.default_rng(11)
     windows, lang = [], []
     for text, name in zip(got["text"].to_pylist(), got["lang"].to_pylist(), strict=True):
@@ -179,7 +178,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
                 row = np.zeros(WINDOW + PAD, np.int64)
                 row[: len(piece)] = piece
                 windows.append(row)
-                lang.append(langs.index(name))
+                lang.append(number[name])
     if not windows:
         return None
     return train(np.array(windows), np.array(lang), langs)
