@@ -160,13 +160,14 @@ def near_rows():
 
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PICKED_ROWS", 5)  # the shuffled way
     import wireloom.llm._blocks as blocks
+    from wireloom.llm import _shared
 
+    monkeypatch.setattr(_shared, "BROADCAST_KEYS", 5)  # the shuffled way
     monkeypatch.setattr(blocks, "BLOCK", 8)  # families of several blocks
     rows = near_rows()
-    for percent in (85, 80):
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent).collect()}
+    for percent, exact in ((85, False), (80, False), (85, True), (60, True)):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent, exact=exact).collect()}
         order = sorted(rows)
         sets = [shingle_set(t) for _, t in order]
         links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
@@ -189,6 +190,14 @@ def test_superminhash_estimates_similarity():
     assert sorted((one[0] >> np.uint64(32)).tolist()) == list(range(50))
 
 
+def tens(large):
+    """Edges between the points of a family that lie in one stretch of ten, the stretches overlapping by five."""
+    at = F.conv(F.concat(*[F.substring(F.hex("items"), i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
+    cells = large.select("node", "root", F.explode(F.array(F.floor(at / 10), F.floor((at + 5) / 10) + 100_000)).alias("cell"))
+    hubs = cells.groupBy("root", "cell").agg(F.min("node").alias("a"))
+    return cells.join(hubs, ["root", "cell"]).filter("node <> a").select("a", F.col("node").alias("b"))
+
+
 def test_family_components_equal_brute_force(spark, monkeypatch):
     import wireloom.llm._blocks as blocks
 
@@ -207,16 +216,17 @@ def test_family_components_equal_brute_force(spark, monkeypatch):
             out.append(np.nonzero(np.triu(np.abs(at[:, None] - at[None, :]) <= 3, 1)))
         return out
 
-    nodes = spark.createDataFrame([(n, f, x // 4) for n, f, x in points], "node long, root long, level int").repartition(5)
-    items = spark.createDataFrame([(n, x.to_bytes(4, "little")) for n, _, x in points], "node long, items binary")
-    got = {r.node: r.root for r in blocks.family_components(nodes, items, linked).collect()}
+    nodes = spark.createDataFrame([(n, f, x // 4, x.to_bytes(4, "little")) for n, f, x in points], "node long, root long, level int, items binary").repartition(5)
+    got = {r.node: r.root for r in blocks.family_components(nodes, linked).collect()}
     want = roots(len(points), [(a[0], b[0]) for a in points for b in points if a[0] > b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 3])
     assert got == {n: r for n, r in enumerate(want) if n != r}
+    # finer families: by tens, and by tens that begin at five
+    finer = {r.node: r.root for r in blocks.family_components(nodes, linked, lambda large: tens(large)).collect()}
+    assert finer == got
     # copies without number: what is read grows with the nodes, not with their square
     read.value = 0
-    nodes = spark.range(2000).selectExpr("id AS node", "0L AS root", "0 AS level")
-    items = spark.range(2000).selectExpr("id AS node", "X'00' AS items")
-    assert blocks.family_components(nodes, items, linked).filter("root = 0").count() == 1999
+    nodes = spark.range(2000).selectExpr("id AS node", "0L AS root", "0 AS level", "X'00' AS items")
+    assert blocks.family_components(nodes, linked).filter("root = 0").count() == 1999
     assert read.value < 3 * 2000
 
 

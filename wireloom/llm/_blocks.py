@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import EDGE, components
-from ._shared import hold
+from ._shared import hinted, hold, join_hot, keep
 
 #: Nodes of a block; a task compares two blocks at a time.
 BLOCK = 256
+Linked = Callable[[list[list[bytes]]], list[tuple[np.ndarray, np.ndarray]]]
 
 
 def keyed_blocks(nodes: DataFrame) -> DataFrame:
-    """Rows (node, root, level, rest) to rows (key, node): every two that may link meet under some key.
+    """Rows (node, root, level, rest, items) to rows (key, node, items): every two that may link meet under some key.
 
     Only nodes of a family (root) on the same or neighbouring levels may link,
     and of two nodes one at least must be marked rest. A family's levels are
@@ -29,7 +30,8 @@ def keyed_blocks(nodes: DataFrame) -> DataFrame:
     levels = nodes.groupBy("root", "level").agg(parts.alias("parts"))
     above = levels.select("root", (F.col("level") - 1).alias("level"), F.col("parts").alias("above"))
     below = levels.select("root", (F.col("level") + 1).alias("level"), F.col("parts").alias("below"))
-    own = nodes.join(levels, ["root", "level"]).join(above, ["root", "level"], "left").join(below, ["root", "level"], "left")
+    around = levels.join(above, ["root", "level"], "left").join(below, ["root", "level"], "left")
+    own = join_hot(nodes, around, ["root", "level"])
     mine = F.struct(F.col("level").alias("l"), F.col("rest").cast("int").alias("r"), F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("parts.rest")).otherwise(F.col("parts.main"))).cast("int").alias("p"))
 
     def keys(step: int, parts: str, side: str) -> Column:
@@ -44,56 +46,83 @@ def keyed_blocks(nodes: DataFrame) -> DataFrame:
         return F.transform(others, key)
 
     met = [keys(step, parts, side) for step, parts in ((0, "parts"), (1, "above"), (-1, "below")) for side in ("rest", "main")]
-    return own.withColumn("mine", mine).select(F.explode(F.array_distinct(F.concat(*met))).alias("key"), "node")
+    return own.withColumn("mine", mine).select(F.explode(F.array_distinct(F.concat(*met))).alias("key"), "node", "items")
 
 
 def _own_blocks(nodes: DataFrame, salt: int) -> DataFrame:
-    """Rows (key, node): each level of each family in blocks that don't meet."""
+    """Rows (key, node, items): each level of each family in blocks that don't meet."""
     parts = nodes.groupBy("root", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     part = F.pmod(F.xxhash64("node", F.lit(salt)), F.col("parts"))
-    return nodes.join(parts, ["root", "level"]).select(F.concat_ws(":", "root", "level", part).alias("key"), "node")
+    return join_hot(nodes, parts, ["root", "level"]).select(F.concat_ws(":", "root", "level", part).alias("key"), "node", "items")
 
 
-def family_components(nodes: DataFrame, items: DataFrame, linked: Callable[[list[list[bytes]]], list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """Rows (node, root, level) and (node, items) to the components of all links inside families, as components gives them.
+def family_components(nodes: DataFrame, linked: Linked, split: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows (node, root, level, items) to the components of all links inside families, as components gives them.
 
-    A family of at most BLOCK nodes is compared whole. In a larger one each node
-    first meets its own block only, then one node of each component does, as
-    long as that halves them: copies of one text, however many, become one
-    component in passes that read each node once. Then all blocks meet but
-    those of the family's largest component among themselves, whose nodes are
-    connected already. So what is read grows with the product of a family's
-    nodes and those outside its largest component.
+    nodes are read several times. A family of at most BLOCK nodes is compared
+    whole. The nodes of larger ones are first split into finer families, if split
+    is given: it gets their rows and gives edges between those that may link. In
+    one that is still larger each node first meets its own block only, then one
+    node of each component does, as long as that halves them: copies of one text,
+    however many, become one component in passes that read each node once. Then
+    all blocks meet but those of the family's largest component among themselves,
+    whose nodes are connected already. So what is read grows with the product of
+    a finer family's nodes and those outside its largest component.
     """
 
     def meet(keyed: DataFrame) -> DataFrame:
-        return spanning_links(keyed.join(items, "node"), linked)
+        return spanning_links(keyed, linked)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("root").cast("string").alias("key"), "node", "items")
 
     def joined(found: DataFrame, edges: DataFrame) -> DataFrame:
         return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges))
 
-    total = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
-    small = nodes.join(total.filter(F.col("total") <= BLOCK), "root", "left_semi").select(F.col("root").cast("string").alias("key"), "node")
-    large = hold(nodes.join(total.filter(F.col("total") > BLOCK), "root", "left_semi").select("node", "root", "level"))
+    def apart(rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+        """Families of up to BLOCK nodes, the larger ones, and whether there are any."""
+        big = hinted(keep(rows.groupBy("root").count().filter(F.col("count") > BLOCK).select("root"), "big"))
+        return rows.join(big, "root", "left_anti"), rows.join(big, "root", "left_semi"), not big.isEmpty()
+
+    small, large, any_ = apart(nodes)
+    edges, freed = meet(whole(small)), []
+    if any_ and split:
+        finer = components(split(large))
+        finer = finer.union(finer.select(F.col("root").alias("node"), "root").distinct())
+        large = hold(large.drop("root").join(finer, "node"))
+        freed.append(large)
+        small, large, any_ = apart(large)
+        edges = edges.union(meet(whole(small)))
+    if not any_:
+        found = components(edges)
+        for x in freed:
+            x.unpersist()
+        return found
+    large = hold(large.select("node", "root", "level", "items"))
+    freed.append(large)
     n = large.count()
-    if not n:
-        return components(meet(small))
-    found = components(meet(small.union(_own_blocks(large, 0))))
+    found = components(edges.union(meet(_own_blocks(large, 0))))
     for salt in itertools.count(1):
-        firsts = hold(large.join(found, "node", "left_anti"))
-        before, n = n, firsts.count()
-        if firsts.groupBy("root", "level").count().filter(F.col("count") > BLOCK).isEmpty():
+        firsts = large.join(found, "node", "left_anti")
+        sizes = firsts.groupBy("root", "level").count().agg(F.sum("count"), F.max("count")).first()
+        before, n = n, sizes[0] or 0
+        if (sizes[1] or 0) <= BLOCK:
             found = joined(found, meet(keyed_blocks(firsts.withColumn("rest", F.lit(True)))))
             break
         if 2 * n > before:
             break
         found = joined(found, meet(_own_blocks(firsts, salt)))
-    of = large.join(found.withColumnRenamed("root", "of"), "node", "left").withColumn("of", F.coalesce("of", "node"))
+    of = large.select("node", "root", "level").join(found.withColumnRenamed("root", "of"), "node", "left").withColumn("of", F.coalesce("of", "node"))
+    of = hold(of)
+    freed.append(of)
     most = of.groupBy("root", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "of")).alias("most"))
-    marked = hold(of.join(most, "root").select("node", "root", "level", (F.col("of") != F.col("most.of")).alias("rest")))
-    if marked.filter("rest").isEmpty():
-        return found
-    return joined(found, meet(keyed_blocks(marked)))
+    rest = keep(join_hot(of, most, ["root"]).filter(F.col("of") != F.col("most.of")).select("node", F.lit(True).alias("rest")), "rest")
+    if not rest.isEmpty():
+        marked = large.join(rest, "node", "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
+        found = joined(found, meet(keyed_blocks(marked)))
+    for x in freed:
+        x.unpersist()
+    return found
 
 
 #: Nodes whose keys a task compares in one go, about.
@@ -119,16 +148,17 @@ def _forest(nodes: list[int], pairs: Iterator[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def spanning_links(keyed: DataFrame, linked: Callable[[list[list[bytes]]], list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+def spanning_links(keyed: DataFrame, linked: Linked) -> DataFrame:
     """Rows (key, node, items) to edges (a, b): a spanning forest of each key's links.
 
-    linked gets the items of many keys and gives all linking pairs of each, by position.
+    linked gets the items of many keys and gives all linking pairs of each, by
+    position. A node that comes several times under a key counts once.
     """
 
-    def decide(groups: list[tuple[list[int], list[bytes]]]) -> pa.RecordBatch:
-        groups = [g for g in groups if len(g[0]) > 1]
-        found = linked([items for _, items in groups]) if groups else []
-        out = [e for (nodes, _), (a, b) in zip(groups, found, strict=True) for e in _forest(nodes, zip(a.tolist(), b.tolist(), strict=True))]
+    def decide(groups: list[dict[int, bytes]]) -> pa.RecordBatch:
+        groups = [g for g in groups if len(g) > 1]
+        found = linked([list(g.values()) for g in groups]) if groups else []
+        out = [e for g, (a, b) in zip(groups, found, strict=True) for e in _forest(list(g), zip(a.tolist(), b.tolist(), strict=True))]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=EDGE.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +171,8 @@ def spanning_links(keyed: DataFrame, linked: Callable[[list[list[bytes]]], list[
                         yield decide(groups)
                         groups, held = [], 0
                     key = k
-                    groups.append(([], []))
-                groups[-1][0].append(node.as_py())
-                groups[-1][1].append(item.as_py())
+                    groups.append({})
+                groups[-1].setdefault(node.as_py(), item.as_py())
                 held += 1
         yield decide(groups)
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import hold, keep, struct_of
+from ._shared import hold, join_hot, keep, struct_of
 
 EDGE = struct_of(a="long", b="long")
 
@@ -47,14 +47,14 @@ def components(edges: DataFrame) -> DataFrame:
     contracts partitions of a bounded number of them by union-find; if that is
     one partition, it is done. Else each node is joined to the least node around
     it (large and small stars), until every node hangs on a root; the number of
-    rounds grows with the logarithm of the longest chain. A hub with very many
-    neighbours stays rows of a skewed join.
+    rounds grows with the logarithm of the longest chain.
     """
     e = edges.filter("a <> b").select("a", "b")
     while True:
-        e = hold(e)
-        parts = max(1, -(-e.count() // EDGES_AT_ONCE))
-        e = keep(e.repartition(parts).mapInArrow(_forest, EDGE), "forest")
+        held = hold(e)
+        parts = max(1, -(-held.count() // EDGES_AT_ONCE))
+        e = keep(held.repartition(parts).mapInArrow(_forest, EDGE), "forest")
+        held.unpersist()
         found = e.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
         if parts == 1:
             return found
@@ -63,9 +63,9 @@ def components(edges: DataFrame) -> DataFrame:
         if not again and not e.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo <> hi").limit(1).count():
             return found
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = join_hot(both, least, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = keep(large.filter("a <> b"), "stars")
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        small = large.join(least, large["a"] == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = small.union(least.select("k", "m")).distinct()
+        least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = join_hot(large, least, ["a"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = small.union(least).distinct()

@@ -105,12 +105,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Keys up to which they are broadcast (8 MB); beyond, the join is shuffled.
+#: Rows up to which a table of keys is broadcast (some 20 MB); beyond, the join is shuffled.
 BROADCAST_KEYS = 500_000
 
 
+def hinted(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it is counted to be small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
+
+
+def join_hot(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to few, a row for each key, where one key may be that of a third of all rows.
+
+    few is written, counted and broadcast up to BROADCAST_KEYS rows, so that rows
+    aren't dealt by key. Beyond, both are shuffled, and adaptive execution splits
+    the hot partitions of rows.
+    """
+    return rows.join(hinted(keep(few, "few")), on, how)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """The rows whose key isn't in gone (a table, one column), in a join fit for its size."""
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    return rows.join(gone, key, "left_anti")
+    return rows.join(hinted(gone), key, "left_anti")

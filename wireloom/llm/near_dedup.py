@@ -8,11 +8,14 @@ it can't lower any component. Classes that share a band of the signature are
 candidates. Candidates reach one another through families: components of the
 graph that joins each class of a bucket to the bucket's least. All links inside
 a family are decided on the full sets, blocks of a bounded number of classes at
-a time, and only a spanning forest of each block's links leaves its task.
+a time, and only a spanning forest of each block's links leaves its task. The
+classes of a large family get a longer signature first, which parts those that
+are merely somewhat alike.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -21,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _buckets, _filter
 from . import _bytes as B
 from ._blocks import family_components
 from ._graph import components
-from ._shared import few_files, fresh, hold, keep, struct_of, without
+from ._shared import few_files, fresh, hinted, hold, join_hot, keep, struct_of, without
 
 SHINGLE = 5
 #: Chance that a pair right at the threshold shares no band; more alike, far less.
@@ -33,20 +37,20 @@ MISS = 3e-5
 COMPONENTS = 256
 #: Items whose permutations a worker holds at once, at a byte per component.
 SIGN_AT_ONCE = 50_000
-#: Rows up to which candidates' texts are picked by a broadcast (8 MB); beyond, by a shuffled join.
-PICKED_ROWS = 500_000
-SIGNED = struct_of(n="long", h1="long", h2="long", bands="[long]")
-SETS = struct_of(h1="long", h2="long", items="binary")
+#: Components of the longer signature of sets in large families at most, and sets that get one at once.
+FINER, FINER_AT_ONCE = 2048, 256
+SIGNED = struct_of(n="long", h1="long", h2="long", keys="[long]")
+SETS = struct_of(h1="long", h2="long", n="long", items="binary")
 
 
-def banding(percent: int) -> tuple[int, int]:
+def banding(percent: int, most: int = COMPONENTS) -> tuple[int, int]:
     """Bands and rows of a band: the longest bands (fewest false candidates) that keep to MISS.
 
-    85 % takes 27 bands of 7, 80 % takes 35 of 6.
+    85 % takes 27 bands of 7, and 114 of 15 in a longer signature; 80 % takes 35 of 6, and 146 of 12.
     """
     for rows in range(16, 0, -1):
         bands = math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** rows)))
-        if bands * rows <= COMPONENTS:
+        if bands * rows <= most:
             return bands, rows
     raise ValueError("the threshold is too low for a signature of this size")
 
@@ -125,32 +129,84 @@ def _set_hashes(items: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def _sign(percent: int):
+def _signatures(items: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band hashes of sets, a row a set; over COMPONENTS, several signatures of salted items stand side by side."""
+    row, n = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), len(bounds) - 1
+    parts = []
+    for lo in range(0, bands * rows, COMPONENTS):
+        salted = items if lo == 0 else B.mix(items ^ B.U(lo * B.BASE & (2**64 - 1)))
+        parts.append(superminhash(salted, row, n, min(COMPONENTS, bands * rows - lo)))
+    return _band_hashes(np.concatenate(parts, axis=1), bands, rows)
+
+
+def prefixes(items: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least items of each set (sorted), so many that sets at the threshold share one: places of them, and their bounds.
+
+    Two sets at percent have an intersection of percent of the larger one at
+    least, so the least common item lies among the first n - need + 1 of both.
+    """
+    n = np.diff(bounds)
+    size = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], size), ends
+
+
+def _sign(percent: int, exact: bool):
     count, rows = banding(percent)
 
     def sign(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             parts = []
             for lo, hi, items, bounds in shingles(column):
-                n = np.diff(bounds)
                 h1, h2 = _set_hashes(items, bounds)
-                signature = superminhash(items, np.repeat(np.arange(hi - lo), n), hi - lo, count * rows)
-                bands = pa.array(_band_hashes(signature, count, rows).view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * count), bands)
-                parts.append(pa.StructArray.from_arrays([pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=SIGNED.names))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+                if exact:
+                    places, ends = prefixes(items, bounds, percent)
+                    keys = items[places]
+                else:
+                    keys, ends = _signatures(items, bounds, count, rows).ravel(), np.arange(hi - lo + 1) * count
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
+                parts.append(pa.StructArray.from_arrays([pa.array(np.diff(bounds)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=SIGNED.names))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))]))
 
     sign.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(sign, SIGNED).asNondeterministic()
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, items, bounds in shingles(batch.column(0)):
-            h1, h2 = _set_hashes(items, bounds)
-            full = np.flatnonzero(np.diff(bounds) > 0)
-            sets = pa.array([items[bounds[r] : bounds[r + 1]].tobytes() for r in full.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(h1[full].view(np.int64)), pa.array(h2[full].view(np.int64)), sets], names=SETS.names)
+def _listed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and nodes of rows (node, keys)."""
+    node, lists = batch.column("node").to_numpy().view(B.U), batch.column("keys")
+    yield lists.flatten().to_numpy().view(B.U), np.repeat(node, lists.value_lengths().to_numpy())
+
+
+def _finer(percent: int):
+    """Edges between sets that share a band of a longer signature, for families that the first one left large."""
+    count, rows = banding(percent, FINER)
+
+    def keyed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        node = batch.column("node").to_numpy().view(B.U)
+        sets = [np.frombuffer(x.as_py(), B.U) for x in batch.column("items")]
+        for lo in range(0, len(sets), FINER_AT_ONCE):
+            part = sets[lo : lo + FINER_AT_ONCE]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in part])])
+            yield _signatures(np.concatenate(part), bounds, count, rows).ravel(), np.repeat(node[lo : lo + FINER_AT_ONCE], count)
+
+    return lambda large: _buckets.edges(large.select("node", "items"), keyed, large.count() * count)
+
+
+def _full_sets(wanted: bytes):
+    """Texts to the sets whose h1 is wanted, each once for a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.frombuffer(wanted, np.uint8), set()
+        for batch in batches:
+            for _, _, items, bounds in shingles(batch.column(0)):
+                h1, h2 = _set_hashes(items, bounds)
+                n = np.diff(bounds)
+                full = [r for r in np.flatnonzero((n > 0) & _filter.passes(bits, h1)).tolist() if (key := (int(h1[r]), int(h2[r]))) not in seen and not seen.add(key)]
+                sets = pa.array([items[bounds[r] : bounds[r + 1]].tobytes() for r in full], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h1[full].view(np.int64)), pa.array(h2[full].view(np.int64)), pa.array(n[full]), sets], names=SETS.names)
+
+    return run
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,43 +234,38 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     return np.nonzero(np.triu(100 * both >= percent * union, 1))
 
 
-def _components(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """docs as a table with _row, _id and _sign, and the component_id of each (h1, h2) of its shingle sets.
+def _components(signed: DataFrame, texts: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """h1, h2, component_id of the shingle sets that several rows have or that link with others.
 
-    Names with an underscore too many are taken where docs has these already.
+    signed is a table of id, n, h1, h2, keys; texts has one column, those that signed was made of.
+    Sets are told apart by 128 bits; a node is a hash of these that no two sets share.
     """
-    row, sign = fresh(docs, "_row"), fresh(docs, "_sign")
-    table = docs.select("*", F.monotonically_increasing_id().alias(row), _sign(percent)(F.coalesce(F.col(text_col), F.lit(""))).alias(sign))
-    table = hold(table)
-    signed = table.select(F.col(row).alias("row"), F.col(id_col).alias("id"), f"{sign}.*")
-    classes = keep(signed.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least")), "classes")
-
-    # One class per equal set from here on: its first row stands for it.
-    reps = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    members = reps.select("row", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "a")
-    star = members.join(hubs, "bucket").filter("row <> a").select("a", F.col("row").alias("b"))
-    joined = components(star)
+    full = signed.filter("n > 0")
+    classes = keep(full.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "classes")
+    for seed in itertools.count():
+        node = F.xxhash64("h1", "h2", F.lit(seed)).alias("node")
+        if classes.groupBy(node).count().filter("count > 1").isEmpty():
+            break
+    n_keys = full.agg(F.sum(F.size("keys"))).first()[0] or 0
+    joined = components(_buckets.edges(full.select(node, "keys"), _listed, n_keys))
     families = joined.union(joined.select(F.col("root").alias("node"), "root").distinct())
-    families = keep(families.join(reps.select(F.col("row").alias("node"), "n", "h1", "h2"), "node"), "candidates")
+    families = keep(classes.select("h1", "h2", node).join(families, "node"), "candidates")
 
-    picked = families.select(F.col("node").alias(row))
-    if families.count() <= PICKED_ROWS:
-        picked = F.broadcast(picked)
-    texts = table.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, row, "left_semi").select("text")
-    ready = families.join(texts.mapInArrow(_full_sets, SETS), ["h1", "h2"]).select("node", "items")
+    sets = texts.mapInArrow(_full_sets(_filter.make(families, "h1")), SETS)
     # Sets that link differ in size by a factor of 100 / percent at most: by one level.
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int")
-    linked = family_components(families.select("node", "root", level.alias("level")), hold(ready), lambda groups: [linked_pairs([np.frombuffer(x, B.U) for x in items], percent) for items in groups])
+    ready = hold(sets.join(hinted(families), ["h1", "h2"]).select("node", "root", level.alias("level"), "items"))
+    linked = family_components(ready, lambda groups: [linked_pairs([np.frombuffer(x, B.U) for x in items], percent) for items in groups], None if exact else _finer(percent))
+    ready.unpersist()
     roots = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
-    grouped = classes.join(roots, "node")
+    grouped = classes.select("h1", "h2", "least", node).join(roots, "node")
     by_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = grouped.join(by_root, "root").select("node", "component_id", F.lit(True).alias("linked"))
-    of_class = classes.join(of_linked, "node", "left")
-    return table, of_class.select("h1", "h2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    of_linked = join_hot(grouped, by_root, ["root"]).select("h1", "h2", "component_id", F.lit(True).alias("linked"))
+    of_class = classes.join(of_linked, ["h1", "h2"], "left").filter("linked or rows > 1")
+    return of_class.select("h1", "h2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.lit(True).alias("shared"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id and kept.
 
     Two documents link where 100 * intersection >= percent * union of their
@@ -223,21 +274,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     with one id are judged by their own texts; equal rows get equal answers.
     A null id counts after all others, so it is a component_id only where no
     member has an id. Other columns are not read.
+
+    Candidates come from bands of signatures, which miss a link right at the
+    threshold with a chance of MISS. exact takes the least items of each set
+    as keys in place of bands, so that no link is missed; candidates are more.
     """
-    mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    table, of_class = _components(mine, percent, "id", "text")
-    signed = table.select("id", "_sign.n", "_sign.h1", "_sign.h2")
-    out = signed.filter("n > 0").join(of_class, ["h1", "h2"]).select("id", "n", "component_id").union(signed.filter("n = 0").select("id", "n", F.col("id")))
+    mine = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    signed = keep(mine.select("id", _sign(percent, exact)("text").alias("s")).select("id", "s.*"), "signed")
+    of_class = _components(signed, mine.select("text"), percent, exact)
+    own = signed.select("id", "n", "h1", "h2")
+    got = join_hot(own.filter("n > 0"), of_class, ["h1", "h2"], "left").select("id", "n", F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = got.union(own.filter("n = 0").select("id", "n", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, one of each component: that of the least id (nulls last), then the first."""
-    place = fresh(docs, "_place")
-    order = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("by"), F.monotonically_increasing_id().alias("at"))
-    placed = docs.withColumn(place, order)
-    table, of_class = _components(placed, percent, place, text_col)
-    row, sign = fresh(placed, "_row"), fresh(placed, "_sign")
-    signed = table.select(F.col(row).alias(row), F.col(place).alias("place"), f"{sign}.n", f"{sign}.h1", f"{sign}.h2").filter("n > 0")
-    gone = signed.join(of_class, ["h1", "h2"]).filter(F.col("place.at") != F.col("component_id.at")).select(row)
+def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """The rows of docs, all columns, one of each component (as in near_duplicates): that of the least id (nulls last), then the first.
+
+    Of repeated rows one stays. Null, empty and wordless texts all stay, each is
+    a component of its own. docs is written with a number for each row, so it
+    need not give the same rows again.
+    """
+    row, sign = fresh(docs, "_row"), fresh(docs, "_sign")
+    numbered = docs.select("*", F.monotonically_increasing_id().alias(row), _sign(percent, exact)(F.coalesce(F.col(text_col), F.lit(""))).alias(sign))
+    table = keep(numbered, "numbered")
+    place = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("by"), F.col(row).alias("at"))
+    signed = table.select(place.alias("id"), f"{sign}.*")
+    of_class = _components(signed, table.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), percent, exact)
+    own = signed.filter("n > 0").select("id", "h1", "h2")
+    gone = join_hot(own, of_class, ["h1", "h2"]).filter(F.col("id.at") != F.col("component_id.at")).select(F.col("id.at").alias(row))
     return few_files(without(table, keep(gone, "gone"), row).select(*docs.columns), docs)
