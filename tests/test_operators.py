@@ -97,9 +97,9 @@ def test_random_edits_equal_a_straight_rewrite(spark):
 
 def test_edit_values(spark):
     df = messages(spark, "F00101 F00102 F80109", "5202 1001 5202 1003", "5203 100180")
-    flat = patch.edit_values(df, [T.tag(30, 0)], lambda f: f["varint"] + 10, ["i"]).orderBy("i").first()
+    flat = patch.edit_values(df, [T.tag(30, 0)], lambda v: v + 10, ["i"]).orderBy("i").first()
     assert bytes(flat.msg).hex() == "f0010bf0010cf80109"
-    rows = patch.edit_values(df, [T.tag(10, 2), T.tag(2, 0)], lambda f: f["varint"] + 100, ["i"]).orderBy("i").collect()
+    rows = patch.edit_values(df, [T.tag(10, 2), T.tag(2, 0)], lambda v: v + 100, ["i"]).orderBy("i").collect()
     assert [bytes(r.msg).hex() for r in rows] == ["f00101f00102f80109", "520210655202 1067".replace(" ", ""), "5203100180"]
     assert bytes(patch.edit_values(df, [], None, ["i"]).filter("i = 0").first().msg).hex() == "f00101f00102f80109"
 

@@ -1,26 +1,41 @@
-"""Edits of messages by an edit log, as joins and groupings of field rows.
+"""Edits of messages by an edit log, and what a message looks like under its edits.
 
 An edit names a field by its path in the message as it was before any edit:
-(number, occurrence) steps, occurrences counted over all wire types. Messages
-along edited paths are decoded, edits joined to their fields, and messages put
-together again from the inside out. Bytes that no edit touches stay as they are,
-and messages without edits are never decoded.
+(number, occurrence) steps, occurrences counted over all wire types. A log is
+grouped by key and joined to the messages once; one Arrow function then edits a
+batch. It decodes only messages that edits reach into, all of a level in step,
+and puts them together again from the inside out. Bytes that no edit touches
+stay as they are, and messages without edits never leave the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.encode import concat_all
-from ..functions.tags import EGROUP, I32, I64, LEN, SGROUP, VARINT
-from ..functions.varint import little_endian, varint_encode
-from ..sources.fields import cursor
+from ..functions.encode import _varint_bytes
+from ..functions.tags import I32, I64, LEN, SGROUP, VARINT
+from ..sources.fields import Units, _Bytes, decode_spans, fresh
+from .paths import values_at, with_values
 
 #: key, seq (order of edits of a key), txn (null: none), path, op, and what it sets.
 #: ops: set, set_bytes, insert, delete, clear. insert's path is that of the message;
 #: target, in place of a path, is the seq of an insert.
 EDIT = "path array<struct<number:int,occurrence:int>>, seq int, txn string, op string, target int, tag bigint, value bigint, payload binary"
+EDIT_NAMES = ("path", "seq", "txn", "op", "target", "tag", "value", "payload")
+#: A field under edits: the path of the message it lies in, what it is, and what has become of it.
+STATE = T.StructType(
+    [T.StructField("parent", T.StringType())] + [T.StructField(n, T.IntegerType()) for n in ("ord", "field_number", "occurrence", "wire_type", "offset", "end")] + [T.StructField("tag", T.LongType())]
+    + [T.StructField(n, T.BooleanType()) for n in ("deleted", "inserted", "edited", "child")] + [T.StructField("varint", T.LongType()), T.StructField("fixed", T.LongType()), T.StructField("bytes", T.BinaryType())]
+)
 
 
 def committed(edits: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -29,138 +44,336 @@ def committed(edits: DataFrame, transactions: DataFrame) -> DataFrame:
     return edits.filter("txn is null").unionByName(edits.filter("txn is not null").join(done, "txn", "left_semi").select(*edits.columns))
 
 
-def _path(steps: Column) -> Column:
-    return F.array_join(F.transform(steps, lambda s: F.concat(F.lit("/"), s["number"].cast("string"), F.lit(":"), s["occurrence"].cast("string"))), "")
+@dataclass
+class Log:
+    """Builds a log of edits. What is put in a transaction that raises, or is rolled back, is left out."""
+
+    rows: list[dict[str, Any]] = field(default_factory=list)
+    seq: int = 0
+
+    def _add(self, op: str, **what: Any) -> int:
+        self.seq += 1
+        self.rows.append({"op": op, "seq": self.seq, **what})
+        return self.seq
+
+    @staticmethod
+    def _where(at: Sequence[tuple[int, int]] | int) -> dict[str, Any]:
+        return {"target": at} if isinstance(at, int) else {"path": list(at)}
+
+    def set(self, at: Sequence[tuple[int, int]] | int, value: int) -> int:
+        """at is a path, or the number of an insert."""
+        return self._add("set", value=value, **self._where(at))
+
+    def set_bytes(self, at: Sequence[tuple[int, int]] | int, payload: bytes) -> int:
+        return self._add("set_bytes", payload=payload, **self._where(at))
+
+    def insert(self, tag: int, value: int | bytes, into: Sequence[tuple[int, int]] = ()) -> int:
+        return self._add("insert", path=list(into), tag=tag, **{"payload" if isinstance(value, bytes) else "value": value})
+
+    def delete(self, at: Sequence[tuple[int, int]] | int) -> int:
+        return self._add("delete", **self._where(at))
+
+    def clear(self, at: Sequence[tuple[int, int]] | int) -> int:
+        return self._add("clear", **self._where(at))
+
+    @contextmanager
+    def transaction(self) -> Iterator[Log]:
+        kept = list(self.rows)
+        try:
+            yield self
+        except BaseException:
+            self.rows = kept
+            raise
+
+    def column(self) -> Column:
+        """The log as a literal array, for the same edits of every message."""
+        rows = [F.struct(*(F.lit(None if n == "path" else e.get(n)).alias(n) if n != "path" or e.get(n) is None else F.array(*(F.struct(F.lit(a).alias("number"), F.lit(b).alias("occurrence")) for a, b in e["path"])).alias(n) for n in EDIT_NAMES)) for e in self.rows]
+        kind = T.ArrayType(T._parse_datatype_string(EDIT))
+        return F.array(*(r.cast(kind.elementType) for r in rows)) if rows else F.array().cast(kind)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        schema = T._parse_datatype_string(EDIT)
+        return spark.createDataFrame([tuple(e.get(f.name) for f in schema) for e in self.rows], schema)
+
+
+# The editor
+
+
+@dataclass
+class _Container:
+    """A message that edits reach into: its row and bytes, the seq that its bytes are from, and the edits inside."""
 
+    row: int
+    body: bytes
+    since: int
+    edits: list[dict[str, Any]]
+    owner: tuple[_Container, int] | None
+    path: str
+    base: int | None
+    bad: bool = False
+    ends: tuple[int, int] = (0, 0)  # its fields' rows in the level's units
+    states: dict[int, _State] = field(default_factory=dict)
+    children: dict[int, _Container] = field(default_factory=dict)
+    built: bytes | None = None
 
-def _value(kind: Column, value: Column, payload: Column) -> Column:
-    """What follows a canonical tag."""
-    return F.when(kind == VARINT, varint_encode(value)).when(kind == I32, little_endian(value, 4)).when(kind == I64, little_endian(value, 8)).when(kind == LEN, F.concat(varint_encode(F.length(payload)), payload))
 
+@dataclass
+class _State:
+    """What stands of the edits of one field: the overlay that set it last, since the last clear; nothing takes back a delete."""
 
-def _states(edits: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """Of each edited field: the overlay that stands, and whether it is deleted.
+    over: dict[str, Any] | None = None
+    dead: bool = False
+    clear: bool = False
 
-    A clear takes back the overlays before it; nothing takes back a delete.
+    def take(self, e: dict[str, Any], kind: int) -> None:
+        """Edits come by seq. Values of the wrong wire type change nothing."""
+        if e["op"] == "delete":
+            self.dead = True
+        elif e["op"] == "clear":
+            self.over, self.clear = None, True
+        elif e["op"] == ("set_bytes" if kind in (LEN, SGROUP) else "set"):
+            self.over = e
+
+
+def _scalar(kind: int, value: int) -> bytes:
+    if kind == VARINT:
+        return _varint_bytes(value & (1 << 64) - 1)
+    width = 4 if kind == I32 else 8
+    return (value & (1 << 8 * width) - 1).to_bytes(width, "little")
+
+
+def _places(u: Units, wanted: np.ndarray) -> np.ndarray:
+    """The fields at (container, number, occurrence), or -1."""
+    key = u.span << 30 | u.tag >> 3
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    goal = wanted[:, 0] << 30 | wanted[:, 1]
+    first = np.searchsorted(key, goal)
+    at = first + wanted[:, 2]
+    ok = (at < len(key)) & (wanted[:, 2] >= 0)
+    at = np.where(ok, at, 0)
+    return np.where(ok & (key[at] == goal), order[at], -1) if len(key) else np.full(len(wanted), -1)
+
+
+def _enter(level: list[_Container], depth: int, groups: bool) -> tuple[Units, bytes, list[_Container]]:
+    """Decodes the containers of a level, finds the fields that edits name, and gives the containers below."""
+    data = b"".join(c.body for c in level)
+    stop = np.cumsum([len(c.body) for c in level])
+    begin = stop - [len(c.body) for c in level]
+    u = decode_spans(_Bytes(np.frombuffer(data, np.uint8)), begin, stop, groups)
+    bounds = np.searchsorted(u.span, np.arange(len(level) + 1)).tolist()
+    named = []
+    for i, c in enumerate(level):
+        c.bad, c.ends = bool(u.bad[i]), (bounds[i], bounds[i + 1])
+        named += [(i, e) for e in c.edits if not c.bad and e["target"] is None and len(e["path"]) > depth]
+    if not named:
+        return u, data, []
+    steps = np.array([(i, e["path"][depth]["number"], e["path"][depth]["occurrence"]) for i, e in named], np.int64)
+    below: dict[tuple[int, int], list[dict[str, Any]]] = {}
+    for (i, e), f in zip(named, _places(u, steps).tolist(), strict=True):
+        if f < 0:
+            continue
+        if len(e["path"]) == depth + 1 and e["op"] != "insert":
+            level[i].states.setdefault(f, _State()).take(e, int(u.tag[f] & 7))
+        else:
+            below.setdefault((i, f), []).append(e)
+    inner = []
+    for (i, f), edits in below.items():
+        c, over = level[i], level[i].states.get(f, _State()).over
+        if int(u.tag[f] & 7) not in (LEN, SGROUP):
+            continue
+        since = c.since if over is None else over["seq"]
+        edits = [e for e in edits if e["seq"] > since]  # earlier ones are lost with the payload that was replaced
+        if edits:
+            body = data[u.start[f] : u.end[f]] if over is None else bytes(over["payload"])
+            base = None if over is not None or c.base is None else c.base + int(u.start[f]) - int(begin[i])
+            c.children[f] = child = _Container(c.row, body, since, edits, (c, f), c.path + f"/{int(u.tag[f]) >> 3}:{_occurrence(u, c, f)}", base)
+            inner.append(child)
+    return u, data, inner
+
+
+def _occurrence(u: Units, c: _Container, f: int) -> int:
+    numbers = u.tag[c.ends[0] : f] >> 3
+    return int((numbers == u.tag[f] >> 3).sum())
+
+
+def _inserted(c: _Container, depth: int) -> list[tuple[dict[str, Any], _State]]:
+    """The inserts into a container, with what later edits of them say."""
+    own = {e["seq"]: (e, _State()) for e in c.edits if e["op"] == "insert" and e["target"] is None and len(e["path"]) == depth}
+    for e in c.edits:
+        if e["target"] in own:
+            own[e["target"]][1].take(e, own[e["target"]][0]["tag"] & 7)
+    return list(own.values())
+
+
+def _new_field(e: dict[str, Any], s: _State) -> bytes:
+    now, kind = s.over or e, e["tag"] & 7
+    if kind == LEN:
+        body = bytes(now["payload"] or b"")
+        return _varint_bytes(e["tag"]) + _varint_bytes(len(body)) + body
+    if kind == SGROUP:
+        return _varint_bytes(e["tag"]) + bytes(now["payload"] or b"") + _varint_bytes(e["tag"] + 1)
+    return _varint_bytes(e["tag"]) + _scalar(kind, now["value"] or 0)
+
+
+def _build(c: _Container, u: Units, data: bytes, depth: int) -> None:
+    if c.bad:
+        return
+    origin = None
+    out = []
+    lo, hi = c.ends
+    at = origin = int(u.at[lo]) if hi > lo else 0
+    for f in sorted(c.states.keys() | c.children.keys()):
+        s, child = c.states.get(f, _State()), c.children.get(f)
+        begin, tag_end, start, end, after, kind = (int(x[f]) for x in (u.at, u.tag_end, u.start, u.end, u.after, u.kind))
+        payload = child.built if child is not None and child.built is not None else bytes(s.over["payload"]) if s.over and kind in (LEN, SGROUP) else None
+        if s.dead:
+            new = b""
+        elif kind == LEN and payload is not None:
+            new = data[begin:tag_end] + (data[tag_end:start] if len(payload) == end - start else _varint_bytes(len(payload))) + payload
+        elif kind == SGROUP and payload is not None:
+            new = data[begin:tag_end] + payload + data[end:after]
+        elif s.over:
+            new = data[begin:tag_end] + _scalar(kind, s.over["value"])
+        else:
+            continue
+        out += [data[at:begin], new]
+        at = after
+    out.append(data[at : origin + len(c.body)] if hi > lo else b"")
+    out += [_new_field(e, s) for e, s in _inserted(c, depth) if not (s.dead or s.clear)]
+    c.built = b"".join(out)
+
+
+def _levels(messages: pa.Array, logs: pa.Array, groups: bool) -> list[tuple[list[_Container], Units, bytes]]:
+    level = []
+    for row, (m, log) in enumerate(zip(messages, logs, strict=True)):
+        if m.is_valid and log.is_valid:
+            edits = sorted((e for e in log.as_py() if e["op"] is not None and e["seq"] is not None and (e["path"] is not None or e["target"] is not None)), key=lambda e: e["seq"])
+            level.append(_Container(row, m.as_py(), -1, edits, None, "", 0))
+    out = []
+    while level:
+        # Edits of an insert go with it wherever it is.
+        u, data, inner = _enter(level, len(out), groups)
+        for c in inner:
+            c.edits = sorted(c.edits + [e for e in c.owner[0].edits if e["target"] is not None], key=lambda e: e["seq"])
+        out.append((level, u, data))
+        level = inner
+    return out
+
+
+def _edit_batch(messages: pa.Array, logs: pa.Array, groups: bool) -> pa.Array:
+    levels = _levels(messages, logs, groups)
+    for depth in range(len(levels) - 1, -1, -1):
+        level, u, data = levels[depth]
+        for c in level:
+            _build(c, u, data, depth)
+    out = messages.to_pylist()
+    for c in levels[0][0] if levels else []:
+        if c.built is not None:
+            out[c.row] = c.built
+    return pa.array(out, pa.binary())
+
+
+def _state_batch(messages: pa.Array, logs: pa.Array, groups: bool) -> pa.Array:
+    """Of each message the fields of all messages that edits reach into, parsed ones first, then inserted ones."""
+    rows: list[list[dict[str, Any]] | None] = [[] if m.is_valid else None for m in messages]
+    for depth, (level, u, data) in enumerate(_levels(messages, logs, groups)):
+        for c in level:
+            if c.bad:
+                continue
+            seen: dict[int, int] = {}
+            for o, f in enumerate(range(*c.ends)):
+                s, kind, number = c.states.get(f, _State()), int(u.kind[f]), int(u.tag[f]) >> 3
+                seen[number] = seen.get(number, -1) + 1
+                at, origin = None if c.base is None else c.base, int(u.at[c.ends[0]])
+                value = s.over["value"] if s.over and kind not in (LEN, SGROUP) else int(u.value[f].astype(np.int64)) if kind == VARINT else int.from_bytes(data[u.start[f] : u.end[f]], "little", signed=kind == I64) if kind in (I32, I64) else None
+                rows[c.row].append({
+                    "parent": c.path, "ord": o, "field_number": number, "occurrence": seen[number], "wire_type": kind, "offset": None if at is None else at + int(u.at[f]) - origin, "end": None if at is None else at + int(u.after[f]) - origin, "tag": int(u.tag[f]),
+                    "deleted": s.dead, "inserted": False, "edited": s.over is not None, "child": f in c.children, "varint": value if kind == VARINT else None, "fixed": value if kind in (I32, I64) else None,
+                    "bytes": None if kind not in (LEN, SGROUP) else bytes(s.over["payload"]) if s.over else data[u.start[f] : u.end[f]],
+                })
+            for e, s in _inserted(c, depth):
+                kind, number, now = e["tag"] & 7, e["tag"] >> 3, s.over or e
+                seen[number] = seen.get(number, -1) + 1
+                rows[c.row].append({
+                    "parent": c.path, "ord": sum(seen.values()) + len(seen) - 1, "field_number": number, "occurrence": seen[number], "wire_type": kind, "offset": None, "end": None, "tag": e["tag"],
+                    "deleted": s.dead or s.clear, "inserted": True, "edited": s.over is not None, "child": False, "varint": now["value"] if kind == VARINT else None, "fixed": now["value"] if kind in (I32, I64) else None, "bytes": now["payload"] if kind in (LEN, SGROUP) else None,
+                })
+    return pa.array(rows, _STATES)
+
+
+_STATES = pa.list_(pa.struct([(f.name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in STATE]))
+
+
+def _over(batch, groups: bool, kind: T.DataType):
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for messages, logs in batches:
+            yield batch(messages, logs, groups)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
+def edited(msg: Column | str, log: Column | str, groups: bool = False) -> Column:
+    """msg with the edits of an array (elements as in EDIT) applied by seq; without edits, msg itself.
+
+    Edits whose field isn't there, or that don't fit its wire type, have no
+    effect. A message, or payload on a path, that doesn't decode stays as it
+    is. A payload that an edit replaced is decoded anew for edits below it that
+    come later; those before it are lost with it.
     """
-    cleared = F.max(F.when(F.col("op") == "clear", F.col("seq"))).over(Window.partitionBy(*keys, by))
-    own = edits.withColumn("_cleared", F.coalesce(cleared, F.lit(-1)))
-    setting = F.col("op").isin("set", "set_bytes") & (F.col("seq") > F.col("_cleared"))
-    return own.groupBy(*keys, by).agg(
-        F.max_by(F.struct(F.col("value"), F.col("payload"), F.col("seq")), F.when(setting, F.col("seq"))).alias("_over"),
-        F.max(setting).alias("_set"),
-        F.max(F.col("op") == "delete").alias("_dead"),
-        F.max(F.col("op") == "clear").alias("_clear"),
-    )
-
-
-def apply_edits(messages: DataFrame, edits: DataFrame, keys: list[str], msg: str = "msg", depth: int | None = None, groups: bool = False) -> DataFrame:
-    """keys and msg with all edits applied by seq; edits whose field isn't there have no effect.
-
-    edits has keys and the columns of EDIT; take committed() first. depth, the
-    number of steps of the longest path, is looked up unless given. A payload
-    that an edit replaced is decoded anew for edits below it that come later;
-    those before it are lost with it.
+    m, e = (F.col(x) if isinstance(x, str) else x for x in (msg, log))
+    some = F.size(e) > 0
+    return F.coalesce(_over(_edit_batch, groups, T.BinaryType())(F.when(some, m), F.when(some, e)), m)
+
+
+def states(msg: Column | str, log: Column | str, groups: bool = False) -> Column:
+    """array of STATE: the fields of the message, and of those in it that edits reach into, deleted and inserted ones among them.
+
+    Values are read through the edits. offset and end are places in the message
+    as it was; inserted fields, and those in replaced payloads, have none.
     """
-    edits = edits.withColumn("_at", F.coalesce(_path("path"), F.lit("")))
-    if depth is None:
-        depth = edits.agg(F.max(F.size("path"))).first()[0] or 0
-    touched = messages.join(edits.select(*keys).distinct(), keys, "left_semi")
-    # A message that doesn't decode stays as it is.
-    level = touched.select(*keys, F.lit("").alias("_in"), F.col(msg).alias("_body"), F.lit(-1).alias("_since"), F.lit(None).cast("int").alias("_owner"))
-    inserts, on_inserts = edits.filter("op = 'insert'"), edits.filter("target is not null")
-    states = _states(edits.filter("op <> 'insert' and target is null"), keys, "_at")
-    added = inserts.join(_states(on_inserts, keys, "target").withColumnRenamed("target", "seq"), [*keys, "seq"], "left")
-    kind = F.col("tag").bitwiseAND(F.lit(7))
-    new_value, new_payload = F.coalesce(F.col("_over.value"), F.col("value")), F.coalesce(F.col("_over.payload"), F.col("payload"))
-    added = added.filter(~F.coalesce("_dead", F.lit(False)) & ~F.coalesce("_clear", F.lit(False)))
-    added = added.select(*keys, F.col("_at").alias("_in"), F.col("seq").alias("_seq"), F.concat(varint_encode("tag"), _value(kind, new_value, new_payload)).alias("_out"))
-
-    # Paths of messages that some edit reaches into.
-    inside = edits.filter("target is null").select(*keys, "seq", F.explode(F.sequence(F.lit(0), F.size("path") - F.when(F.col("op") == "insert", 0).otherwise(1))).alias("_n"), "path").filter("_n >= 0")
-    inside = inside.select(*keys, _path(F.slice("path", F.lit(1), F.col("_n"))).alias("_at"), "seq").groupBy(*keys, "_at").agg(F.max("seq").alias("_latest"))
-
-    levels = []
-    for d in range(depth + 1):
-        got = level.select(*keys, "_in", "_since", "_owner", cursor("_body", groups).alias("d")).filter("d.error is null")
-        rows = got.select(*keys, "_in", "_since", "_owner", F.inline_outer("d.fields"))
-        number = F.row_number().over(Window.partitionBy(*keys, "_in", "field_number").orderBy("ord")) - 1
-        at = F.concat("_in", F.lit("/"), F.col("field_number").cast("string"), F.lit(":"), number.cast("string"))
-        rows = rows.withColumn("_at", at).join(states, [*keys, "_at"], "left").join(inside, [*keys, "_at"], "left")
-        # Edits from before the payload was replaced are none of this message's.
-        rows = rows.withColumn("_set", F.coalesce("_set", F.lit(False)) & (F.col("_over.seq") > F.col("_since")))
-        levels.append(rows)
-        if d < depth:
-            replaced = F.col("_set") & (F.col("wire_type") == LEN)
-            into = rows.filter(F.col("wire_type").isin(LEN, SGROUP) & (F.col("_latest") > F.when(replaced, F.col("_over.seq")).otherwise(F.col("_since"))))
-            level = into.select(
-                *keys, F.col("_at").alias("_in"), F.when(replaced, F.col("_over.payload")).otherwise(F.col("bytes")).alias("_body"), F.when(replaced, F.col("_over.seq")).otherwise(F.col("_since")).alias("_since"), F.col("ord").alias("_owner")
-            )
-
-    child = None
-    for rows in reversed(levels):
-        if child is not None:
-            rows = rows.join(child.withColumnRenamed("_in", "_at").withColumnRenamed("_built", "_child"), [*keys, "_at"], "left")
-        else:
-            rows = rows.withColumn("_child", F.lit(None).cast("binary"))
-        raw, offset = F.col("raw"), F.col("offset")
-        head = F.substring(raw, F.lit(1), F.col("tag_end") - offset)
-        payload = F.coalesce("_child", F.when(F.col("_set"), F.col("_over.payload")))
-        prefix = F.when(F.length(payload) == F.length("bytes"), F.substring(raw, F.col("tag_end") - offset + 1, F.col("value_start") - F.col("tag_end"))).otherwise(varint_encode(F.length(payload)))
-        tail = F.substring(raw, F.col("value_end") - offset + 1, F.col("end") - F.col("value_end"))
-        out = (
-            F.when(F.col("ord").isNull(), F.lit(b""))
-            .when((F.col("wire_type") == LEN) & payload.isNotNull(), F.concat(head, prefix, payload))
-            .when((F.col("wire_type") == SGROUP) & payload.isNotNull(), F.concat(head, payload, tail))
-            .when(F.col("_set") & F.col("wire_type").isin(VARINT, I32, I64), F.concat(head, _value(F.col("wire_type"), F.col("_over.value"), F.lit(None).cast("binary"))))
-            .otherwise(raw)
-        )
-        built = rows.select(*keys, "_in", F.struct(F.lit(0).alias("k"), F.coalesce("ord", F.lit(-1)).alias("o")).alias("_o"), F.when(F.coalesce("_dead", F.lit(False)), F.lit(b"")).otherwise(out).alias("_out"), "_since")
-        since = built.select(*keys, "_in", "_since").distinct()
-        more = added.join(since, [*keys, "_in"]).filter(F.col("_seq") > F.col("_since")).select(*keys, "_in", F.struct(F.lit(1).alias("k"), F.col("_seq").alias("o")).alias("_o"), "_out", "_since")
-        parts = F.array_sort(F.collect_list(F.struct("_o", "_out")))
-        child = built.unionByName(more).groupBy(*keys, "_in").agg(parts.alias("_p")).select(*keys, "_in", concat_all(F.transform("_p", lambda p: p["_out"])).alias("_built"))
-
-    changed = child.filter("_in = ''").select(*keys, F.col("_built").alias("_new"))
-    edited = messages.join(changed, keys, "left")
-    return edited.select(*keys, F.coalesce("_new", msg).alias(msg))
-
-
-def edit_values(messages: DataFrame, path: list[int], change, keys: list[str], msg: str = "msg") -> DataFrame:
-    """Applies change (a function of a field struct to a long) to the varints on a tag path, all of them.
+    m, e = (F.col(x) if isinstance(x, str) else x for x in (msg, log))
+    return _over(_state_batch, groups, T.ArrayType(STATE))(m, F.coalesce(e, F.array().cast(T.ArrayType(T._parse_datatype_string(EDIT)))))
+
+
+def _with_log(messages: DataFrame, edits: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    """messages with the edits of their key as an array; null keys are equal."""
+    name = fresh(messages, "_log")
+    logs = edits.groupBy(*[F.col(k).alias(f"{name}{i}") for i, k in enumerate(keys)]).agg(F.collect_list(F.struct(*EDIT_NAMES)).alias(name))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on &= messages[k].eqNullSafe(logs[f"{name}{i}"])
+    return messages.join(logs, on, "left").drop(*[f"{name}{i}" for i in range(len(keys))]), name
+
+
+def apply_edits(messages: DataFrame, edits: DataFrame, keys: list[str], msg: str = "msg", groups: bool = False) -> DataFrame:
+    """keys and msg with the edits of each key applied, as edited does.
+
+    edits has keys and the columns of EDIT; take committed() first. Null keys are
+    equal to one another; messages of one key all get its edits. A key's edits
+    meet in a task.
+    """
+    got, log = _with_log(messages, edits, keys)
+    return got.select(*keys, edited(msg, log, groups).alias(msg))
+
+
+def edited_fields(messages: DataFrame, edits: DataFrame, keys: list[str], msg: str = "msg", groups: bool = False) -> DataFrame:
+    """keys and the columns of STATE, a row for each field, as states gives them."""
+    got, log = _with_log(messages, edits, keys)
+    return got.select(*keys, states(msg, log, groups).alias(log)).select(*keys, F.inline(log))
+
+
+def edit_values(messages: DataFrame, path: Sequence[int], change, keys: list[str], msg: str = "msg", kind: str = "uint64", strict: bool = False) -> DataFrame:
+    """Applies change (a function of a value Column) to all values of a kind on a tag path; keys and msg.
 
     Every message on the path is re-encoded: its tags become canonical, and the
     length prefixes on the path; other fields stay as they are. An empty path
-    changes nothing; a message that doesn't decode on the path stays as it is.
+    changes nothing; a message that doesn't decode on the path stays as it is. A
+    change to null leaves that value.
     """
     if not path:
         return messages.select(*keys, msg)
-    levels = [messages.select(*keys, F.array().cast("array<int>").alias("_in"), F.col(msg).alias("_body"))]
-    rows = []
-    for d, t in enumerate(path):
-        got = levels[-1].select(*keys, "_in", cursor("_body").alias("d"))
-        rows.append(got.select(*keys, "_in", F.col("d.error").isNotNull().alias("_bad"), F.inline_outer("d.fields")))
-        if d + 1 < len(path):
-            levels.append(rows[-1].filter(F.col("tag") == t).select(*keys, F.concat("_in", F.array("ord")).alias("_in"), F.col("bytes").alias("_body")))
-    bad = rows[0].filter("_bad").select(*keys)
-    for r in rows[1:]:
-        bad = bad.union(r.filter("_bad").select(*keys))
-    child = None
-    for d in range(len(path) - 1, -1, -1):
-        r = rows[d].withColumn("_mine", F.concat("_in", F.array("ord")))
-        hit = F.col("tag") == path[d]
-        rest = F.substring("raw", F.col("tag_end") - F.col("offset") + 1, F.length("raw"))
-        if child is None:
-            body = F.when(hit & (F.col("wire_type") == VARINT), varint_encode(change(F.struct(*[F.col(c) for c in ("varint", "ord", "tag")])))).otherwise(rest)
-        else:
-            r = r.join(child, [*keys, "_mine"], "left")
-            body = F.when(hit & F.col("_built").isNotNull(), F.concat(varint_encode(F.length("_built")), F.col("_built"))).otherwise(rest)
-        out = F.coalesce(F.concat(varint_encode("tag"), body), F.lit(b""))
-        parts = F.array_sort(F.collect_list(F.struct(F.coalesce("ord", F.lit(-1)).alias("o"), out.alias("b"))))
-        child = r.groupBy(*keys, "_in").agg(parts.alias("_p")).select(*keys, F.col("_in").alias("_mine"), concat_all(F.transform("_p", lambda p: p["b"])).alias("_built"))
-    changed = child.select(*keys, F.col("_built").alias("_new")).join(bad.distinct(), keys, "left_anti")
-    return messages.join(changed, keys, "left").select(*keys, F.coalesce("_new", msg).alias(msg))
-
-
-def end_tag(number: int) -> int:
-    return number << 3 | EGROUP
+    name = fresh(messages, "_values")
+    got = messages.select(*keys, msg, values_at(msg, path, kind, strict).alias(name))
+    return got.select(*keys, with_values(msg, path, kind, F.transform(name, change)).alias(msg))

@@ -261,12 +261,7 @@ def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log(df: DataFrame, *edits: dict) -> DataFrame:
     """The same edits for every message of df."""
-    from pyspark.sql import types as P
-
-    schema = P._parse_datatype_string(patch.EDIT)
-    rows = [tuple(e.get(f.name) for f in schema) for e in edits]
-    log = df.sparkSession.createDataFrame(rows, schema)
-    return df.select("c_custkey").crossJoin(F.broadcast(log))  # some literal rows
+    return df.select("c_custkey", F.inline(patch.Log(list(edits)).column()))
 
 
 def _at(*steps: tuple[int, int]) -> list[tuple[int, int]]:
@@ -291,8 +286,8 @@ def patch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"seq": 7, "op": "set", "path": _at((9, 0)), "value": 1},
     )
     states = spark.createDataFrame([("t", "rolled back")], "txn string, state string")
-    edited = patch.apply_edits(m, patch.committed(log, states), ["c_custkey"], depth=1).select("c_custkey", F.hex("msg").alias("edited"))
-    same = patch.apply_edits(m, patch.committed(log.filter("txn = 't'"), states), ["c_custkey"], depth=1).select("c_custkey", F.hex("msg").alias("untouched"))
+    edited = patch.apply_edits(m, patch.committed(log, states), ["c_custkey"]).select("c_custkey", F.hex("msg").alias("edited"))
+    same = patch.apply_edits(m, patch.committed(log.filter("txn = 't'"), states), ["c_custkey"]).select("c_custkey", F.hex("msg").alias("untouched"))
     return edited.join(same, "c_custkey")
 
 
@@ -313,7 +308,7 @@ def patch_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edit_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adds 100 to a field of every line item inside its order."""
     m = M.orders(spark, sf_dir)
-    got = patch.edit_values(m, list(M.LINE_PART), lambda f: f["varint"] + 100, ["o_orderkey"])
+    got = patch.edit_values(m, list(M.LINE_PART), lambda v: v + 100, ["o_orderkey"])
     inner = paths.extract(got, M.LINE, ["o_orderkey"]).select("o_orderkey", fields.cursor("payload").alias("d"))
     return inner.select("o_orderkey", document.first(F.col("d.fields"), T.tag(1, "varint"))["varint"].cast("int").alias("l_linenumber"), document.first(F.col("d.fields"), T.tag(2, "varint"))["varint"].alias("part"))
 

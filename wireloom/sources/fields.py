@@ -8,7 +8,8 @@ joins and groupings of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,49 +56,64 @@ class _Bytes:
         return value, size, np.where(ok, 0, np.where(room < most, CUT, BAD_VARINT))
 
 
-def _group_end(b: _Bytes, at: int, end: int, number: int) -> tuple[int, int] | None:
-    """Where the end tag of a group begins and ends; nested groups are kept on a stack."""
-    stack = [number]
-    while at < end:
-        one = np.array([at]), np.array([end])
-        value, size, bad = (int(x[0]) for x in b.varint(*one, 5, 0x0F))
-        kind, n, start = value & 7, value >> 3, at
-        if bad or not n or kind > I32:
-            return None
-        at += size
-        if kind == SGROUP:
-            stack.append(n)
-        elif kind == EGROUP:
-            if stack.pop() != n:
-                return None
-            if not stack:
-                return start, at
-        elif kind in SIZE:
-            at += SIZE[kind]
-        else:
-            value, size, bad = (int(x[0]) for x in b.varint(np.array([at]), np.array([end]), *((10, 1) if kind == VARINT else (5, 0x0F))))
-            if bad:
-                return None
-            at += size + (value if kind == LEN else 0)
-        if at > end:
-            return None
-    return None
-
-
-def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, absent: np.ndarray | None = None) -> pa.Array:
-    """Slices of data as a binary column; null where absent."""
+def _group_ends(b: _Bytes, at: np.ndarray, stop: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the end tags of groups begin and end, or -1; groups go on in step, those open inside each on a stack."""
+    begin, after = np.full(len(at), -1), np.full(len(at), -1)
+    open_, depth, at = number[:, None].copy(), np.ones(len(at), np.int64), at.copy()
+    live = np.flatnonzero(at < stop)
+    while len(live):
+        here, end = at[live], stop[live]
+        tag, size, bad = b.varint(here, end, 5, 0x0F)
+        kind, n, to = (tag & np.uint64(7)).astype(np.int64), (tag >> np.uint64(3)).astype(np.int64), here + size
+        ok = (bad == 0) & (n > 0) & (kind <= I32)
+        inner = live[on := ok & (kind == SGROUP)]
+        if len(inner) and depth[inner].max() == open_.shape[1]:
+            open_ = np.pad(open_, ((0, 0), (0, open_.shape[1])))
+        open_[inner, depth[inner]] = n[on]
+        depth[inner] += 1
+        inner = live[on := ok & (kind == EGROUP)]
+        depth[inner] -= 1
+        ok[on] = open_[inner, depth[inner]] == n[on]
+        done = ok & (kind == EGROUP)
+        done[done] = depth[live[done]] == 0
+        begin[live[done]], after[live[done]] = here[done], to[done]
+        for k, width in SIZE.items():
+            to[kind == k] += width
+        for k, most, top in ((VARINT, 10, 0x01), (LEN, 5, 0x0F)):
+            on = np.flatnonzero(ok & (kind == k))
+            value, size, bad = b.varint(to[on], end[on], most, top)
+            ok[on] = bad == 0
+            to[on] += size + (value.astype(np.int64) if k == LEN else 0)
+        at[live] = to
+        live = live[ok & ~done & (to < end)]
+    return begin, after
+
+
+def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, absent: np.ndarray | None = None, apart: bool = True) -> pa.Array:
+    """Slices of data as a binary column; null where absent. apart: sorted slices that don't overlap."""
     size = np.maximum(ends - starts, 0)
     if absent is not None:
         size = np.where(absent, 0, size)
     offsets = np.concatenate([[0], np.cumsum(size)])
     if offsets[-1] > 2**31 - 1:
         raise ValueError("a batch decodes to over 2 GB; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-    picked = data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)]
+    full = size > 0
+    if apart and full.any():
+        lo, hi = int(starts[full][0]), int((starts + size)[full][-1])
+        if offsets[-1] == hi - lo:
+            picked = data[lo:hi]
+        else:
+            edge = np.zeros(hi - lo + 1, np.int8)
+            edge[starts[full] - lo] += 1
+            edge[(starts + size)[full] - lo] -= 1
+            picked = data[lo:hi][np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    else:
+        picked = data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)]
     mask = None if absent is None else pa.py_buffer(np.packbits(~absent, bitorder="little").tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(starts), [mask, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(picked)])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [mask, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(picked))])
 
 
-def _fixed(data: np.ndarray, at: np.ndarray, on: np.ndarray, size: int) -> pa.Array:
+def fixed(data: np.ndarray, at: np.ndarray, on: np.ndarray, size: int) -> pa.Array:
     out = np.zeros(len(at), np.int64)
     if on.any():
         raw = data[at[on][:, None] + np.arange(size)].copy()
@@ -105,16 +121,42 @@ def _fixed(data: np.ndarray, at: np.ndarray, on: np.ndarray, size: int) -> pa.Ar
     return pa.array(out, mask=~on)
 
 
-def decode_batch(column: pa.Array, groups: bool = False) -> pa.Array:
-    """The DECODED struct of each message; null messages give null."""
-    null = np.asarray(column.is_null())
-    n_rows = len(column)
-    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n_rows + 1].astype(np.int64) if n_rows else np.zeros(1, np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if n_rows and column.buffers()[2] else np.zeros(0, np.uint8)
-    bounds = bounds - bounds[0]
-    b = _Bytes(data)
-    row = np.flatnonzero((np.diff(bounds) > 0) & ~null)
-    at, stop = bounds[row], bounds[row + 1]
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a binary column, bounds of its rows in them, and which rows are null."""
+    n = len(column)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]] if n and column.buffers()[2] else np.zeros(0, np.uint8)
+    return data, at - at[0], np.asarray(column.is_null(), bool).reshape(n)
+
+
+@dataclass(frozen=True)
+class Units:
+    """Fields of stretches of bytes, sorted by stretch, and what is wrong in each stretch (0: nothing), where, from which unit's start, in which part."""
+
+    span: np.ndarray
+    ord: np.ndarray
+    at: np.ndarray
+    tag: np.ndarray
+    value: np.ndarray
+    tag_end: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    after: np.ndarray
+    bad: np.ndarray
+    bad_at: np.ndarray
+    bad_start: np.ndarray
+    bad_part: np.ndarray
+
+    @property
+    def kind(self) -> np.ndarray:
+        return self.tag & 7
+
+
+def decode_spans(b: _Bytes, begin: np.ndarray, end_: np.ndarray, groups: bool = False) -> Units:
+    """The fields of each stretch of the bytes, all stretches in step."""
+    n_rows = len(begin)
+    row = np.flatnonzero(end_ > begin)
+    at, stop = begin[row], end_[row]
     kind_of, where_of, start_of, part_of = (np.zeros(n_rows, np.int64) for _ in range(4))
     found: list[tuple[np.ndarray, ...]] = []
     step = 0
@@ -122,13 +164,15 @@ def decode_batch(column: pa.Array, groups: bool = False) -> pa.Array:
         raw_tag, size, bad = b.varint(at, stop, 5, 0x0F)
         part, where = np.full(len(row), 1), at.copy()
         kind, number = (raw_tag & np.uint64(7)).astype(np.int64), (raw_tag >> np.uint64(3)).astype(np.int64)
-        known = np.isin(kind, [0, 1, 2, 5, *((3, 4) if groups else ())])
+        known = (kind == VARINT) | (kind == I64) | (kind == LEN) | (kind == I32) | (groups & ((kind == SGROUP) | (kind == EGROUP)))
         bad = np.where((bad == 0) & ((number == 0) | ~known), BAD_TAG, bad)
         tag_end = at + size
         value, start, end = np.zeros(len(row), np.uint64), tag_end.copy(), tag_end.copy()
         after = tag_end.copy()
         for k, name, most, top in ((VARINT, 2, 10, 0x01), (LEN, 4, 5, 0x0F)):
             on = np.flatnonzero((bad == 0) & (kind == k))
+            if not len(on):
+                continue
             v, s, wrong = b.varint(tag_end[on], stop[on], most, top)
             bad[on], part[on], where[on] = wrong, name, tag_end[on]
             value[on], start[on] = v, tag_end[on] + (s if k == LEN else 0)
@@ -145,52 +189,70 @@ def decode_batch(column: pa.Array, groups: bool = False) -> pa.Array:
         if groups:
             on = np.flatnonzero((bad == 0) & (kind == EGROUP))
             bad[on], part[on], where[on] = BAD_GROUP, 6, at[on]
-            for i in np.flatnonzero((bad == 0) & (kind == SGROUP)):
-                got = _group_end(b, int(tag_end[i]), int(stop[i]), int(number[i]))
-                if got is None:
-                    bad[i], part[i], where[i] = BAD_GROUP, 6, tag_end[i]
-                else:
-                    end[i], after[i] = got
+            on = np.flatnonzero((bad == 0) & (kind == SGROUP))
+            if len(on):
+                end[on], after[on] = _group_ends(b, tag_end[on], stop[on], number[on])
+                on = on[end[on] < 0]
+                bad[on], part[on], where[on] = BAD_GROUP, 6, tag_end[on]
         wrong, good = np.flatnonzero(bad), np.flatnonzero(bad == 0)
-        r, base = row[wrong], bounds[row[wrong]]
-        kind_of[r], where_of[r], start_of[r], part_of[r] = bad[wrong], where[wrong] - base, at[wrong] - base, part[wrong]
+        r = row[wrong]
+        kind_of[r], where_of[r], start_of[r], part_of[r] = bad[wrong], where[wrong], at[wrong], part[wrong]
         if len(good):
             found.append(tuple(x[good] for x in (row, np.full(len(row), step), at, raw_tag.astype(np.int64), value, tag_end, start, end, after)))
         more = good[after[good] < stop[good]]
         row, at, stop = row[more], after[more], stop[more]
         step += 1
-
-    row, ord_, at, tag, value, tag_end, start, end, after = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 4
-    order = np.lexsort((ord_, row))
-    row, ord_, at, tag, value, tag_end, start, end, after = (x[order] for x in (row, ord_, at, tag, value, tag_end, start, end, after))
-    kind, base = tag & 7, bounds[row]
-    ints = [ord_, at - base, None, tag >> 3, kind, None, None, None, tag_end - base, start - base, end - base, after - base]
-    columns = [pa.array(x.astype(np.int32)) if x is not None else None for x in ints]
-    columns[2] = pa.array(tag)
-    columns[5] = pa.array(value.view(np.int64), mask=kind != VARINT)
-    columns[6], columns[7] = _fixed(data, start, kind == I32, 4), _fixed(data, start, kind == I64, 8)
-    columns += [_gather(data, start, end, ~np.isin(kind, [LEN, SGROUP])), _gather(data, at, after)]
-    fields = pa.StructArray.from_arrays(columns, names=FIELD.names)
-    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n_rows + 1)).astype(np.int32)), fields)
-    failed = kind_of > 0
+    cells = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.uint64 if i == 4 else np.int64) for i in range(9)]
+    order = np.lexsort((cells[1], cells[0]))
+    return Units(*(x[order] for x in cells), kind_of, where_of, start_of, part_of)
+
+
+def decode_batch(column: pa.Array, groups: bool = False, members: Sequence[str] = tuple(FIELD.names)) -> pa.Array:
+    """The DECODED struct of each message, its fields with the members asked for; null messages give null."""
+    data, bounds, null = buffers(column)
+    u = decode_spans(_Bytes(data), bounds[:-1], np.where(null, bounds[:-1], bounds[1:]), groups)
+    base, kind = bounds[:-1][u.span], u.kind
+
+    def int_(x: np.ndarray) -> pa.Array:
+        return pa.array(x.astype(np.int32))
+
+    build = {
+        "ord": lambda: int_(u.ord), "offset": lambda: int_(u.at - base), "tag": lambda: pa.array(u.tag), "field_number": lambda: int_(u.tag >> 3), "wire_type": lambda: int_(kind),
+        "varint": lambda: pa.array(u.value.view(np.int64), mask=kind != VARINT), "fixed32": lambda: fixed(data, u.start, kind == I32, 4), "fixed64": lambda: fixed(data, u.start, kind == I64, 8),
+        "tag_end": lambda: int_(u.tag_end - base), "value_start": lambda: int_(u.start - base), "value_end": lambda: int_(u.end - base), "end": lambda: int_(u.after - base),
+        "bytes": lambda: gather(data, u.start, u.end, ~np.isin(kind, [LEN, SGROUP])), "raw": lambda: gather(data, u.at, u.after),
+    }
+    fields = pa.StructArray.from_arrays([build[m]() for m in members], names=list(members))
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(u.span, np.arange(len(column) + 1)).astype(np.int32)), fields)
     error = pa.StructArray.from_arrays(
-        [pa.array(KINDS[kind_of]), pa.array(where_of.astype(np.int32)), pa.array(start_of.astype(np.int32)), pa.array(PARTS[part_of])], names=ERROR.names, mask=pa.array(~failed)
-    )
+        [pa.array(KINDS[u.bad]), int_(np.where(u.bad > 0, u.bad_at - bounds[:-1], 0)), int_(np.where(u.bad > 0, u.bad_start - bounds[:-1], 0)), pa.array(PARTS[u.bad_part])], names=ERROR.names, mask=pa.array(u.bad == 0)
+    )
     return pa.StructArray.from_arrays([lists, error], names=DECODED.names, mask=pa.array(null))
 
 
-def _decoder(groups: bool):
+def decoded(members: Sequence[str]) -> T.StructType:
+    """The type of a cursor whose fields have these members of FIELD, in their order there."""
+    return T.StructType([T.StructField("fields", T.ArrayType(T.StructType([f for f in FIELD if f.name in members]))), T.StructField("error", ERROR)])
+
+
+def _decoder(groups: bool, members: Sequence[str] | None):
+    wanted = [m for m in FIELD.names if members is None or m in members]
+
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield decode_batch(column, groups)
+            yield decode_batch(column, groups, wanted)
 
     decode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(decode, DECODED).asNondeterministic()  # else a later filter makes Spark run it twice
+    return F.arrow_udf(decode, decoded(wanted)).asNondeterministic()  # else a later filter makes Spark run it twice
 
 
-def cursor(msg: Column | str, groups: bool = False) -> Column:
-    """struct<fields, error>: the fields before the first bad one, and what is wrong there."""
-    return _decoder(groups)(F.col(msg) if isinstance(msg, str) else msg)
+def cursor(msg: Column | str, groups: bool = False, members: Sequence[str] | None = None) -> Column:
+    """struct<fields, error>: the fields before the first bad one, and what is wrong there.
+
+    members are those of FIELD that are wanted; a struct from Python isn't pruned
+    by Spark, so what isn't read later is better left out here.
+    """
+    return _decoder(groups, members)(F.col(msg) if isinstance(msg, str) else msg)
 
 
 def malformed(error: Column) -> Column:
@@ -215,30 +277,32 @@ def walk_error(error: Column) -> Column:
 MAX_FIELDS = 65535
 
 
-def scan(df: DataFrame, msg: str = "msg", keep: list[str] | None = None, mode: str = "document", groups: bool = False) -> DataFrame:
-    """One row per field: the kept columns and the columns of FIELD.
+def scan(df: DataFrame, msg: str = "msg", keep: list[str] | None = None, mode: str = "document", groups: bool = False, members: Sequence[str] | None = None) -> DataFrame:
+    """One row per field: the kept columns and the columns of FIELD (or those in members).
 
     mode "cursor" gives the fields before an error, "document" none of a bad
-    message (or one of over 65,535 fields), "strict" fails the query.
+    message (or one of over 65,535 fields), "strict" fails the query. A column of
+    FIELD whose name a kept column has gets underscores at its end.
     """
     keep = [c for c in df.columns if c != msg] if keep is None else keep
-    got = df.select(*keep, cursor(msg, groups).alias("_decoded"))
-    bad = F.col("_decoded.error.kind").isNotNull() | (F.size("_decoded.fields") > MAX_FIELDS)
+    got = df.select(*keep, cursor(msg, groups, members).alias(d := fresh(df, "_decoded")))
+    error, fields = F.col(d)["error"], F.col(d)["fields"]
+    bad = error["kind"].isNotNull() | (F.size(fields) > MAX_FIELDS)
     if mode == "document":
         got = got.filter(~bad)
     elif mode == "strict":
-        text = F.concat(F.lit("bad message: "), F.coalesce("_decoded.error.kind", F.lit("CapacityExceeded")), F.lit(" at "), F.coalesce(F.col("_decoded.error.offset").cast("string"), F.lit("?")))
-        got = got.withColumn("_decoded", F.when(bad, F.raise_error(text).cast(DECODED)).otherwise(F.col("_decoded")))
-    return got.select(*keep, F.inline("_decoded.fields"))
+        text = F.concat(F.lit("bad message: "), F.coalesce(error["kind"], F.lit("CapacityExceeded")), F.lit(" at "), F.coalesce(error["offset"].cast("string"), F.lit("?")))
+        got = got.withColumn(d, F.when(bad, F.raise_error(text).cast(got.schema[d].dataType)).otherwise(F.col(d)))
+    return got.select(*keep, F.inline(fields).alias(*(fresh_in(keep, m) for m in FIELD.names if members is None or m in members)))
 
 
 def errors(df: DataFrame, msg: str = "msg", keep: list[str] | None = None, groups: bool = False) -> DataFrame:
     """One row per message: the kept columns, n_fields before an error, and the error in three taxonomies."""
     keep = [c for c in df.columns if c != msg] if keep is None else keep
-    got = df.select(*keep, cursor(msg, groups).alias("d"))
-    many = F.size("d.fields") > MAX_FIELDS
-    document = F.coalesce(malformed(F.col("d.error")), F.when(many, F.struct(F.lit("CapacityExceeded").alias("kind"), F.lit(None).cast("int").alias("offset"))))
-    return got.select(*keep, F.size("d.fields").alias("n_fields"), F.col("d.error").alias("cursor"), document.alias("document"), walk_error(F.col("d.error")).alias("walk"))
+    got = df.select(*keep, cursor(msg, groups, ["ord"]).alias(d := fresh(df, "_decoded")))
+    error, n = F.col(d)["error"], F.size(F.col(d)["fields"])
+    document = F.coalesce(malformed(error), F.when(n > MAX_FIELDS, F.struct(F.lit("CapacityExceeded").alias("kind"), F.lit(None).cast("int").alias("offset"))))
+    return got.select(*keep, n.alias("n_fields"), error.alias("cursor"), document.alias("document"), walk_error(error).alias("walk"))
 
 
 def remaining(msg: Column | str, field: Column) -> Column:
@@ -252,5 +316,17 @@ def descend(rows: DataFrame, tag: int, keep: list[str], groups: bool = False, mo
 
     Only the payloads of matching fields are decoded.
     """
-    inner = rows.filter(F.col("tag") == tag).select(*keep, F.col("ord").alias("parent"), F.col("bytes").alias("_inner"))
-    return scan(inner, "_inner", [*keep, "parent"], mode, groups)
+    inner = rows.filter(F.col("tag") == tag).select(*keep, F.col("ord").alias("parent"), F.col("bytes").alias(b := fresh(rows, "_inner")))
+    return scan(inner, b, [*keep, "parent"], mode, groups)
+
+
+def fresh_in(have: Sequence[str], name: str) -> str:
+    """name, with underscores added until none of have is the same."""
+    taken = {c.lower() for c in have}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    return fresh_in(df.columns, name)
