@@ -22,23 +22,35 @@ def varint_len(v: Column | str) -> Column:
     return F.shiftright(bits * 9, 6) + 1
 
 
-def _byte(x: Column) -> Column:
-    """A number of 0 to 255 as one byte."""
-    return F.unhex(F.lpad(F.hex(x), 2, "0"))
+def _groups(x: Column, first: int, n: int) -> Column:
+    """n groups of seven bits from group first on, a byte each, the first in the highest of n bytes; no flags."""
+    out = None
+    for i in range(n):
+        part = F.shiftleft(F.shiftrightunsigned(x, 7 * (first + i)).bitwiseAND(F.lit(127).cast("long")), 8 * (n - 1 - i))
+        out = part if out is None else out.bitwiseOR(part)
+    return out
 
 
-def varint_encode(v: Column | str) -> Column:
-    """Canonical varint bytes of a 64-bit value; null for null."""
+def _bytes_of(x: Column, n: int) -> Column:
+    """The low n bytes of a long, highest first."""
+    return F.unhex(F.lpad(F.hex(x), 2 * n, "0"))
 
-    def build(x: Column) -> Column:
-        out = None
-        for n in range(U64_BYTES, 0, -1):
-            parts = [F.shiftrightunsigned(x, 7 * i).bitwiseAND(F.lit(127)) + (128 if i < n - 1 else 0) for i in range(n)]
-            got = F.unhex(F.concat(*[F.lpad(F.hex(p), 2, "0") for p in parts]))
-            out = got if out is None else F.when(F.shiftrightunsigned(x, 7 * n) == 0, got).otherwise(out)
-        return out
 
-    return bound(col(v).cast("long"), build)
+def varint_encode(v: Column | str) -> Column:
+    """Canonical varint bytes of a 64-bit value; null for null."""
+    x = col(v).cast("long")
+    out = None
+    for n in range(U64_BYTES, 8, -1):
+        head = _bytes_of(_groups(x, 0, 8).bitwiseOR(F.lit(-0x7F7F7F7F7F7F7F80)), 8)
+        tail = _bytes_of(_groups(x, 8, n - 8).bitwiseOR(F.lit(0x8000 if n == 10 else 0).cast("long")), n - 8)
+        got = F.concat(head, tail)
+        out = got if out is None else F.when(F.shiftrightunsigned(x, 7 * n) == 0, got).otherwise(out)
+    for n in range(8, 0, -1):
+        flags = sum(0x80 << 8 * i for i in range(1, n))
+        flags -= (1 << 64) if flags >= 1 << 63 else 0
+        got = _bytes_of(_groups(x, 0, n).bitwiseOR(F.lit(flags).cast("long")), n)
+        out = F.when(F.shiftrightunsigned(x, 7 * n) == 0, got).otherwise(out)
+    return out
 
 
 def bound(value: Column, build) -> Column:
@@ -100,4 +112,8 @@ def low32(v: Column | str, signed: bool = False) -> Column:
 def little_endian(v: Column | str, size: int) -> Column:
     """The low bytes of a long, least first."""
     v = col(v).cast("long")
-    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(v, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(size)]))
+    out = None
+    for i in range(size):
+        part = F.shiftleft(F.shiftrightunsigned(v, 8 * i).bitwiseAND(F.lit(255).cast("long")), 8 * (size - 1 - i))
+        out = part if out is None else out.bitwiseOR(part)
+    return _bytes_of(out, size)

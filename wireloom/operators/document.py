@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.tags import tag
+from ..functions.tags import LEN, SGROUP, tag
+from ..sources.fields import _Bytes, buffers, decode_spans
 
 
 def all_of(fields: Column, t: int) -> Column:
@@ -82,8 +88,61 @@ def assemble(rows: DataFrame, keys: list[str], data: str = "raw", order: str = "
     return rows.groupBy(*keys).agg(parts.alias("_parts")).select(*keys, concat_all(F.transform("_parts", lambda p: p["d"])).alias("msg"))
 
 
+#: What lies at a byte: places in the message; path has the ords of the fields from the root down.
+PLACE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("byte", "depth", "field_number", "wire_type", "begin", "end")] + [T.StructField("path", T.ArrayType(T.IntegerType()))])
+
+
+def _deepest(column: pa.Array, places: pa.Array, tags: Sequence[int] | None, groups: bool) -> pa.Array:
+    """For each place of each message: the deepest field there; payloads are entered where places lead, all in step."""
+    data, bounds, null = buffers(column)
+    lists = [[] if x is None or null[i] else [p for p in x if p is not None] for i, x in enumerate(places.to_pylist())]
+    size = [len(x) for x in lists]
+    row, byte = np.repeat(np.arange(len(column)), size), np.array([p for x in lists for p in x], np.int64)
+    begin, stop = bounds[:-1][row], bounds[1:][row]
+    at, width = byte + begin, len(data) + 1
+    live = np.flatnonzero((byte >= 0) & (at < stop))
+    best, paths, b = np.full((4, len(row)), -1), [[] for _ in row], _Bytes(data)
+    depth = 0
+    while len(live):
+        spans, own = np.unique(np.stack([begin[live], stop[live]], 1), axis=0, return_inverse=True)
+        u = decode_spans(b, spans[:, 0], spans[:, 1], groups)
+        good = u.bad[own] == 0  # what doesn't decode is no message
+        live, own = live[good], own[good]
+        f = np.searchsorted(u.span * width + u.at, own * width + at[live], "right") - 1
+        best[:, live] = np.stack([np.full(len(f), depth), u.tag[f], u.at[f], u.after[f]])
+        for i, o in zip(live.tolist(), u.ord[f].tolist(), strict=True):
+            paths[i].append(o)
+        go = ((u.kind[f] == LEN) | (u.kind[f] == SGROUP)) & (at[live] >= u.start[f]) & (at[live] < u.end[f])
+        if tags is not None:
+            go &= np.isin(u.tag[f], tags)
+        live, f = live[go], f[go]
+        begin[live], stop[live], depth = u.start[f], u.end[f], depth + 1
+    some, base = best[0] >= 0, bounds[:-1][row]
+    cells = [byte, best[0], best[1] >> 3, best[1] & 7, best[2] - base, best[3] - base]
+    found = pa.StructArray.from_arrays([*(pa.array(c[some].astype(np.int32)) for c in cells), pa.array([p for p, s in zip(paths, some, strict=True) if s], pa.list_(pa.int32()))], names=PLACE.names)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[some], np.arange(len(column) + 1)).astype(np.int32)), found)
+
+
+def drilldown(msg: Column | str, places: Column | str, tags: Sequence[int] | None = None, groups: bool = False) -> Column:
+    """array of PLACE: for each byte of an array of places, the deepest field that covers it.
+
+    A payload that the byte lies in is entered if it decodes as a message, and if
+    its tag is one of tags (any, if that is None). Places outside the message,
+    and in messages that don't decode, give nothing.
+    """
+    wanted = None if tags is None else list(tags)
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for column, at in batches:
+            yield _deepest(column, at, wanted, groups)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    m, p = (F.col(x) if isinstance(x, str) else x for x in (msg, places))
+    return F.arrow_udf(run, T.ArrayType(PLACE)).asNondeterministic()(m, p.cast("array<int>"))
+
+
 def at_byte(rows: DataFrame, places: DataFrame, keys: list[str], place: str = "byte", base: str = "root_base", depth: str = "depth") -> DataFrame:
-    """For each (keys, byte): the deepest field that covers it, from rows with root_base and depth."""
+    """For each (keys, byte): the deepest field that covers it, from rows with root_base and depth (as tree gives them)."""
     start = F.col(base) + F.col("offset")
     spans = rows.withColumn("_start", start).withColumn("_stop", F.col(base) + F.col("end"))
     met = places.join(spans, keys).filter((F.col("_start") <= F.col(place)) & (F.col(place) < F.col("_stop")))

@@ -123,7 +123,7 @@ def encode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderstatus AS status, count(*) AS n, sum(o_custkey)::BIGINT AS customers FROM orders GROUP BY o_orderstatus")
 def order_totals_from_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as messages, decoded and pivoted back, totalled by status."""
-    rows = fields.scan(M.order_heads(spark, sf_dir))
+    rows = fields.scan(M.order_heads(spark, sf_dir), members=["field_number", "varint", "bytes"])
     wide = rows.groupBy("o_orderkey").agg(
         F.max(F.when(F.col("field_number") == 2, F.col("varint"))).alias("customer"),
         F.max(F.when(F.col("field_number") == 3, F.col("bytes").cast("string"))).alias("status"),
@@ -170,8 +170,7 @@ def scalar_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey AS o_orderkey, l_linenumber, l_quantity AS quantity, (l_linenumber * 7)::BIGINT AS seven, l_returnflag AS flag FROM lineitem""")
 def nested_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fields.scan(M.orders(spark, sf_dir))
-    inner = rows.filter(F.col("tag") == T.tag(10, "len")).select("o_orderkey", fields.cursor("bytes").alias("d"))
+    inner = paths.extract(M.orders(spark, sf_dir), M.LINE, ["o_orderkey"], members=["payload"]).select("o_orderkey", fields.cursor("payload", members=["tag", "wire_type", "varint", "fixed32", "fixed64", "bytes"]).alias("d"))
     f = F.col("d.fields")
     return inner.select(
         "o_orderkey", reading("int32", document.first(f, T.tag(1, "varint"))).alias("l_linenumber"), reading("double", document.first(f, T.tag(4, "i64"))).alias("quantity"),
@@ -182,7 +181,7 @@ def nested_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, count(l_orderkey)::INTEGER AS n_lines, CASE WHEN count(l_orderkey) > 0 THEN 3 END AS head, CASE WHEN count(l_orderkey) > 0 THEN (2 + count(l_orderkey))::INTEGER END AS tail,
  (3 + count(l_orderkey))::INTEGER AS n_fields, 2 AS varints, (1 + count(l_orderkey))::INTEGER AS lendels, count(l_orderkey) > 0 AS any_line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def document_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = M.orders(spark, sf_dir).select("o_orderkey", fields.cursor("msg").alias("d"))
+    d = M.orders(spark, sf_dir).select("o_orderkey", fields.cursor("msg", members=["ord", "tag", "wire_type"]).alias("d"))
     f, line = F.col("d.fields"), T.tag(10, "len")
     stats, b = document.wire_stats(f), document.bucket(f, line)
     return d.select("o_orderkey", F.size(document.all_of(f, line)).alias("n_lines"), b["head"].alias("head"), b["tail"].alias("tail"), stats["fields"].alias("n_fields"), stats["varints"].alias("varints"), stats["lendels"].alias("lendels"), document.has(f, line).alias("any_line"))
@@ -222,7 +221,7 @@ def packed_varints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey AS o_orderkey, 2 AS depth, l_partkey AS varint, NULL::VARCHAR AS text FROM lineitem UNION ALL SELECT o_orderkey, 1, NULL, o_orderstatus FROM orders
 UNION ALL SELECT l_orderkey, 2, l_linenumber, NULL FROM lineitem""")
 def scan_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = paths.scan_paths(M.orders(spark, sf_dir), [M.LINE_PART, M.ORDER_STATUS, M.LINE_NUMBER], ["o_orderkey"])
+    got = paths.scan_paths(M.orders(spark, sf_dir), [M.LINE_PART, M.ORDER_STATUS, M.LINE_NUMBER], ["o_orderkey"], members=["depth", "varint", "payload"])
     return got.select("o_orderkey", "depth", "varint", F.col("payload").cast("string").alias("text"))
 
 
@@ -232,7 +231,7 @@ def scan_emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items are wanted, and a field inside: each comes after what is in it."""
     from pyspark.sql import Window
 
-    got = paths.scan_paths(M.orders(spark, sf_dir), [M.LINE, M.LINE_PART], ["o_orderkey"])
+    got = paths.scan_paths(M.orders(spark, sf_dir), [M.LINE, M.LINE_PART], ["o_orderkey"], members=["depth", "varint", "end"])
     place = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("end", F.desc("depth")))
     return got.select("o_orderkey", place.alias("place"), "depth", F.col("varint").alias("part"))
 
@@ -246,14 +245,11 @@ def well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey AS o_orderkey, size, l_partkey AS varint FROM lineitem, (SELECT unnest([7, 64])::INTEGER AS size)""")
 def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages cut into chunks and put together again give the same matches."""
-    m = M.orders(spark, sf_dir)
-    out = None
-    for size in (7, 64):
-        whole = chunks.whole_messages(chunks.cut(m, size, key="o_orderkey")).withColumnRenamed("stream_id", "o_orderkey")
-        got = paths.extract(whole, M.LINE_PART, ["o_orderkey"]).select("o_orderkey", F.lit(size).alias("size"), "varint")
-        out = got if out is None else out.union(got)
-    return out
+    """Messages in chunks of 7 and 64 bytes, walked chunk by chunk."""
+    m = M.orders(spark, sf_dir).withColumn("size", F.explode(F.array(F.lit(7), F.lit(64))))
+    got = chunks.paths_of_chunks(chunks.cut(m.withColumn("stream_id", F.concat_ws(":", "o_orderkey", "size")), F.col("size")), [M.LINE_PART])
+    at = F.split("stream_id", ":")
+    return got.select(at[0].cast("long").alias("o_orderkey"), at[1].cast("int").alias("size"), "varint")
 
 
 # Edits
@@ -309,7 +305,7 @@ def edit_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adds 100 to a field of every line item inside its order."""
     m = M.orders(spark, sf_dir)
     got = patch.edit_values(m, list(M.LINE_PART), lambda v: v + 100, ["o_orderkey"])
-    inner = paths.extract(got, M.LINE, ["o_orderkey"]).select("o_orderkey", fields.cursor("payload").alias("d"))
+    inner = paths.extract(got, M.LINE, ["o_orderkey"], members=["payload"]).select("o_orderkey", fields.cursor("payload", members=["tag", "varint"]).alias("d"))
     return inner.select("o_orderkey", document.first(F.col("d.fields"), T.tag(1, "varint"))["varint"].cast("int").alias("l_linenumber"), document.first(F.col("d.fields"), T.tag(2, "varint"))["varint"].alias("part"))
 
 
@@ -324,17 +320,16 @@ def field_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey AS o_orderkey, (3 + i)::INTEGER AS line, 1 AS depth, 1 AS field_number FROM l""")
 def byte_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deepest field at the third byte of every line item: its own first field."""
-    rows = fields.scan(M.orders(spark, sf_dir))
-    whole = document.tree(rows, ["o_orderkey"], [T.tag(10, "len")])
-    places = rows.filter("field_number = 10").select("o_orderkey", (F.col("value_start") + 1).alias("byte"))
-    got = document.at_byte(whole, places, ["o_orderkey"])
+    lines = F.filter(fields.cursor("msg", members=["field_number", "value_start"])["fields"], lambda f: f["field_number"] == 10)
+    got = M.orders(spark, sf_dir).select("o_orderkey", "msg", F.transform(lines, lambda f: f["value_start"] + 1).alias("at"))
+    got = got.select("o_orderkey", F.inline(document.drilldown("msg", "at", [T.tag(10, "len")])))
     return got.select("o_orderkey", F.element_at("path", 1).alias("line"), "depth", "field_number")
 
 
 @query("""SELECT l_orderkey AS o_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INTEGER AS occurrence,
  '.10' || CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) > 1 THEN ':' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1) ELSE '' END || '.2' AS path FROM lineitem""")
 def occurrence_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = document.with_occurrence(fields.scan(M.orders(spark, sf_dir)).select("o_orderkey", "ord", "field_number"), ["o_orderkey"]).filter("field_number = 10")
+    rows = document.with_occurrence(fields.scan(M.orders(spark, sf_dir), members=["ord", "field_number"]), ["o_orderkey"]).filter("field_number = 10")
     step = F.array(F.struct(F.lit(10).alias("number"), F.col("occurrence")), F.struct(F.lit(2).alias("number"), F.lit(0).alias("occurrence")))
     parsed = X.parse_user_path(X.user_path(step))
     return rows.select("o_orderkey", F.element_at(parsed, 1)["occurrence"].alias("occurrence"), X.user_path(step).alias("path"))

@@ -1,23 +1,26 @@
-"""Messages that arrive in chunks: whole fields out, the unfinished rest in state."""
+"""Messages that arrive in chunks: matches and fields out as soon as they are whole, the open rest in state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.fields import decode_batch
+from ..functions.tags import EGROUP, I32, I64, LEN, SGROUP, VARINT
+from ..operators.paths import Path, steps
 
 OUT = T.StructType(
-    [T.StructField("stream_id", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("raw", T.BinaryType()), T.StructField("payload", T.BinaryType())]
-    + [T.StructField("length", T.LongType()), T.StructField("is_last", T.BooleanType()), T.StructField("error", T.StringType())]
+    [T.StructField("stream_id", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("path", T.ArrayType(T.LongType())), T.StructField("tag", T.LongType()), T.StructField("varint", T.LongType()), T.StructField("raw", T.BinaryType())]
+    + [T.StructField("payload", T.BinaryType()), T.StructField("length", T.LongType()), T.StructField("is_last", T.BooleanType()), T.StructField("error", T.StringType())]
 )
-STATE = "tail binary, fed long, failed boolean"
+STATE = "tail binary, base long, pos long, frames string, failed boolean"
+CHUNK_NAMES = ["stream_id", "seq", "chunk", "last"]
 
 
 def whole_messages(chunks: DataFrame) -> DataFrame:
@@ -28,80 +31,226 @@ def whole_messages(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("stream_id").agg(parts.alias("_p")).select("stream_id", concat_all(F.transform("_p", lambda p: p["chunk"])).alias("msg"))
 
 
-def _take(data: bytes, groups: bool) -> tuple[list[dict[str, Any]], int, str | None]:
-    """The whole fields that data begins with, where the rest begins, and an error that more bytes can't mend."""
-    got = decode_batch(pa.array([data], pa.binary()), groups)[0].as_py()
-    fields, error = got["fields"], got["error"]
-    end = fields[-1]["end"] if fields else 0
-    if error is None or error["kind"] == "Truncated" or error["kind"] == "MalformedGroup" and error["offset"] > error["start"]:
-        return fields, end, None
-    return fields, end, f"{error['kind']} at "
-
-
-def _open_payload(rest: bytes) -> tuple[int, bytes, int] | None:
-    """Tag, payload so far and full length of a delimited field that isn't whole."""
-    values, at = [], 0
-    for _ in range(2):
-        value = shift = 0
-        while True:
-            if at >= len(rest):
-                return None
-            byte = rest[at]
+class _Bad(Exception):
+    """What is wrong, and where."""
+
+
+class _More(Exception):
+    """The unit isn't whole yet."""
+
+
+class Walker:
+    """A walk that stops wherever the bytes end, and goes on with the next ones.
+
+    A frame is an open payload: [node, stop, tag, unit, start, ends, told]: the
+    tree's node (-1: off the paths), where it stops (-1: a group), its tag, where
+    its unit and its payload start, whether a path ends with it, and how much of
+    it was told. Bytes are kept from the first open payload that is wanted.
+    """
+
+    def __init__(self, paths: Sequence[Path] | None, groups: bool, partial: bool):
+        rows = steps(paths) if paths is not None else []
+        self.edges = {(node, tag): (to, ends, more) for node, tag, to, ends, more in rows} if paths is not None else None
+        self.groups, self.partial = groups, partial
+        self.reset()
+
+    def reset(self) -> None:
+        self.data, self.base, self.pos, self.frames, self.failed = b"", 0, 0, [], False
+
+    def _varint(self, at: int, end: int, most: int, top: int, unit: int) -> tuple[int, int]:
+        value, i, shift = 0, at - self.base, 0
+        limit = min(i + most, len(self.data), end - self.base)
+        while i < limit:
+            byte = self.data[i]
             value |= (byte & 127) << shift
-            at, shift = at + 1, shift + 7
+            i, shift = i + 1, shift + 7
             if byte < 128:
-                break
-        values.append(value)
-        if len(values) == 1 and value & 7 != 2:
-            return None
-    return values[0], rest[at:], values[1]
+                if shift == 7 * most and byte > top:
+                    raise _Bad("InvalidVarint", at)
+                return value, i + self.base
+        if shift == 7 * most:
+            raise _Bad("InvalidVarint", at)
+        if i + self.base >= end:
+            raise _Bad("Malformed", unit)
+        raise _More
 
+    def feed(self, chunk: bytes) -> list[tuple]:
+        """Rows (offset, path, tag, varint, raw, payload, length, is_last, error) that the chunk makes whole."""
+        rows: list[tuple] = []
+        if self.failed or not chunk:
+            return rows
+        self.data += chunk
+        try:
+            while self._step(rows):
+                pass
+        except _More:
+            pass
+        except _Bad as e:
+            kind, at = e.args
+            kind = kind if kind == "InvalidTag" or self.edges is None else "Malformed"
+            self.failed = True
+            rows.append((at, None, None, None, None, None, None, None, f"{kind} at {at}"))
+            self.data, self.base, self.frames = b"", self.base + len(self.data), []
+            return rows
+        fed = self.base + len(self.data)
+        for k, frame in enumerate(self.frames if self.partial else []):
+            _, stop, tag, unit, start, ends, told = frame
+            upto = self.pos if stop < 0 else min(stop, fed)
+            if ends and upto > max(told, start):
+                frame[6] = upto
+                rows.append((unit, self._path(k + 1), tag, None, None, self._cut(start, upto), None if stop < 0 else stop - start, False, None))
+        first = min([self.pos, *(f[3] for f in self.frames if f[5])])
+        self.data, self.base = self.data[first - self.base :], first
+        return rows
 
-def fields_of_chunks(chunks: DataFrame, partial: bool = False, groups: bool = False) -> DataFrame:
-    """Rows of OUT from a stream of stream_id, seq, chunk, last (append mode).
-
-    A whole field comes with is_last; with partial, a delimited field that grew
-    in a micro-batch comes with its payload so far, is_last false and its full
-    length. last ends a stream: an unfinished field is then an error row,
-    Truncated, and the state is dropped. After a bad field a stream gives one
-    error row and nothing more until its last. Chunks of one micro-batch are
-    taken by seq; a stream's micro-batches must come in order. State is the
-    unfinished field, so at most one message limit per stream.
-    """
+    def finish(self) -> list[tuple]:
+        open_ = not self.failed and (self.frames or self.base + len(self.data) > self.pos)
+        return [(self.pos, None, None, None, None, None, None, None, "Truncated")] if open_ else []
 
-    def feed(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        (name,) = key
-        rest, fed, failed = state.get if state.exists else (b"", 0, False)
-        rest = bytes(rest)
-        got = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        grew = bool(got["chunk"].map(lambda c: len(c) if c is not None else 0).sum())
-        data = rest + b"".join(bytes(c) for c in got["chunk"] if c is not None)
+    def _cut(self, a: int, b: int) -> bytes:
+        return self.data[a - self.base : b - self.base]
+
+    def _path(self, depth: int) -> list[int]:
+        return [f[2] for f in self.frames[:depth]]
+
+    def _close(self, rows: list[tuple], end: int, after: int) -> None:
+        _, stop, tag, unit, start, ends, _ = self.frames[-1]
+        if ends:
+            rows.append((unit, self._path(len(self.frames)), tag, None, self._cut(unit, after), self._cut(start, end), end - start, True, None))
+        self.frames.pop()
+
+    def _step(self, rows: list[tuple]) -> bool:
+        """Takes one unit, or what there is of a payload that isn't looked into; false where bytes have run out."""
+        fed = self.base + len(self.data)
+        node, stop, *_ = frame = self.frames[-1] if self.frames else [0, 1 << 62, 0, 0, 0, False, 0]
+        if self.frames and self.pos == stop:
+            self._close(rows, stop, stop)
+            return True
+        if self.pos == fed:
+            return False
+        if node < 0 and stop >= 0:
+            self.pos = min(stop, fed)
+            return True
+        # A group goes as far as the payload around it.
+        limit = min([f[1] for f in self.frames if f[1] >= 0], default=1 << 62)
+        unit = self.pos
+        tag, at = self._varint(unit, limit, 5, 15, unit)
+        kind, number = tag & 7, tag >> 3
+        if not number or kind > I32 or kind in (SGROUP, EGROUP) and not self.groups:
+            raise _Bad("InvalidTag", unit)
+        if kind == EGROUP:
+            if not self.frames or frame[1] >= 0 or frame[2] >> 3 != number:
+                raise _Bad("MalformedGroup", unit)
+            self._close(rows, unit, at)
+            self.pos = at
+            return True
+        if self.edges is None:
+            to, ends, more = -1, not self.frames, False
+        else:
+            to, ends, more = self.edges.get((node, tag), (-1, False, False))
+        if kind == SGROUP:
+            self.frames.append([to if more else -1, -1, tag, unit, at, ends, at])
+            self.pos = at
+            return True
+        if kind == LEN:
+            size, at = self._varint(at, limit, 5, 15, unit)
+            if at + size > limit:
+                raise _Bad("Malformed", unit)
+            self.frames.append([to if more else -1, at + size, tag, unit, at, ends, at])
+            self.pos = at
+            return True
+        value = None
+        if kind == VARINT:
+            value, at = self._varint(at, limit, 10, 1, unit)
+        else:
+            width = 8 if kind == I64 else 4
+            if at + width > limit:
+                raise _Bad("Malformed", unit)
+            if at + width > fed:
+                raise _More
+            value, at = int.from_bytes(self._cut(at, at + width), "little"), at + width
+        if ends:
+            value = value - (1 << 64) if value >= 1 << 63 else value
+            rows.append((unit, [*self._path(len(self.frames)), tag], tag, value, self._cut(unit, at), None, None, True, None))
+        self.pos = at
+        return True
+
+
+def _of_chunks(chunks: DataFrame, paths: Sequence[Path] | None, partial: bool, groups: bool) -> DataFrame:
+    def take(walker: Walker, name: str, got: pd.DataFrame) -> tuple[list[tuple], bool]:
+        got = got.sort_values("seq", kind="stable")
+        rows = [(name, *r) for c in got["chunk"] if c is not None for r in walker.feed(bytes(c))]
         ended = bool(got["last"].fillna(False).any())
-        rows: list[tuple] = []
-        if not failed:
-            fields, used, error = _take(data, groups)
-            for f in fields:
-                body = f["bytes"]
-                rows.append((name, fed + f["offset"], f["tag"], f["raw"], body, None if body is None else len(body), True, None))
-            rest, fed = data[used:], fed + used
-            if error:
-                failed = True
-                rows.append((name, fed, None, None, None, None, None, error + str(fed)))
-            elif ended and rest:
-                rows.append((name, fed, None, None, None, None, None, "Truncated"))
-            elif partial and grew and rest and (part := _open_payload(rest)):
-                rows.append((name, fed, part[0], None, part[1], part[2], False, None))
+        return rows + [(name, *r) for r in (walker.finish() if ended else [])], ended
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=OUT.names).astype({"offset": "Int64", "tag": "Int64", "varint": "Int64", "length": "Int64", "is_last": "boolean"})
+
+    def feed(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        walker = Walker(paths, groups, partial)
+        if state.exists:
+            tail, walker.base, walker.pos, frames, walker.failed = state.get
+            walker.data, walker.frames = bytes(tail), json.loads(frames)
+        rows, ended = take(walker, key[0], pd.concat(list(batches)))
         if ended:
             state.remove()
         else:
-            state.update((b"" if failed else rest, fed, failed))
-        yield pd.DataFrame(rows, columns=OUT.names).astype({"offset": "Int64", "tag": "Int64", "length": "Int64", "is_last": "boolean"})
+            state.update((walker.data, walker.base, walker.pos, json.dumps(walker.frames), walker.failed))
+        yield frame(rows)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Streams one behind another, each in the order of seq."""
+        walker, name, ended, some = Walker(paths, groups, partial), None, False, False
+        rows: list[tuple] = []
+        for batch in batches:
+            for stream, chunk, last in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "chunk", "last")), strict=True):
+                if not some or stream != name:
+                    rows += [(name, *r) for r in walker.finish()] if ended else []
+                    walker.reset()
+                    name, ended, some = stream, False, True
+                rows += [(name, *r) for r in walker.feed(chunk or b"")]
+                ended |= bool(last)
+            yield arrow(rows)
+            rows = []
+        yield arrow([(name, *r) for r in walker.finish()] if ended else [])
+
+    def arrow(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=OUT.names)
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(feed, OUT, STATE, "append", "NoTimeout")
+    named = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), *CHUNK_NAMES[1:])
+    if chunks.isStreaming:
+        return named.groupBy("stream_id").applyInPandasWithState(feed, OUT, STATE, "append", "NoTimeout")
+    return named.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInArrow(whole, OUT)
+
+
+def fields_of_chunks(chunks: DataFrame, partial: bool = False, groups: bool = False) -> DataFrame:
+    """Rows of OUT, one for each top-level field, from stream_id, seq, chunk, last (a stream, append mode, or a table).
+
+    A whole field comes with is_last; with partial, a delimited field or a group
+    that a chunk leaves open comes with its payload so far, is_last false, and
+    its full length if that is known. last ends a stream: an unfinished field is
+    then an error row, Truncated, and the state is dropped. After a bad field a
+    stream gives one error row and nothing more until its last. Chunks of one
+    micro-batch are taken by seq; a stream's micro-batches must come in order.
+    Null chunks have no bytes. State is the open field, so at most one message
+    limit per stream; what was parsed isn't parsed again.
+    """
+    return _of_chunks(chunks, None, partial, groups)
+
+
+def paths_of_chunks(chunks: DataFrame, paths: Sequence[Path], partial: bool = False, groups: bool = False) -> DataFrame:
+    """Rows of OUT, one for each match of a path, as fields_of_chunks; matches inside a payload come while it is open.
+
+    Payloads off the paths are skipped as they come, and not kept. An error
+    inside a payload is Malformed, where its unit starts.
+    """
+    return _of_chunks(chunks, list(paths), partial, groups)
 
 
-def cut(messages: DataFrame, size: int, msg: str = "msg", key: str = "stream_id") -> DataFrame:
+def cut(messages: DataFrame, size: Column | int, msg: str = "msg", key: str = "stream_id") -> DataFrame:
     """Messages as chunks of a size: stream_id, seq, chunk, last."""
-    n = F.greatest(F.ceil(F.length(msg) / size).cast("int"), F.lit(1))
-    rows = messages.select(F.col(key).alias("stream_id"), F.col(msg).alias("_m"), n.alias("_n")).withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return rows.select("stream_id", F.col("seq").cast("long").alias("seq"), F.substring("_m", F.col("seq") * size + 1, F.lit(size)).alias("chunk"), (F.col("seq") == F.col("_n") - 1).alias("last"))
+    step = F.lit(size) if isinstance(size, int) else size
+    n = F.greatest(F.ceil(F.length(msg) / step).cast("int"), F.lit(1))
+    rows = messages.select(F.col(key).alias("stream_id"), F.col(msg).alias("_m"), step.alias("_s"), n.alias("_n")).withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return rows.select("stream_id", F.col("seq").cast("long").alias("seq"), F.substring("_m", F.col("seq") * F.col("_s") + 1, F.col("_s")).alias("chunk"), (F.col("seq") == F.col("_n") - 1).alias("last"))
