@@ -55,4 +55,4 @@ def test_all_events_are_framed(spark):
 
 def test_registered_envelopes_cover_every_event(spark):
     data = "/root/testdata/sf0.01"
-    assert entry.queries()["envelope_frames_whole"](spark, data).count() == spark.read.parquet(f"{data}/events.parquet").count()
+    assert entry.queries()["envelope_frames"](spark, data).count() == spark.read.parquet(f"{data}/events.parquet").count()

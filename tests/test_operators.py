@@ -219,3 +219,150 @@ def test_spans_cells_and_selection_paths(spark):
     step = X.parse_selection_path(F.lit("3:2:0/1:0:4"))
     got = spark.range(1).select(X.selection_path(step), X.parse_selection_path(F.lit("3:9:0")), X.byte_cells(F.lit(b"A\x00"))).first()
     assert got[0] == "3:2:0/1:0:4" and got[1] is None and [tuple(c) for c in got[2]] == [(0, "41", "A"), (1, "00", ".")]
+
+
+# Walks, edits and chunks as one pass
+
+
+def odd_keys(spark):
+    """Null and repeated keys, and columns whose names operators use themselves."""
+    rows = [(1, "1A0108 0801"), (None, "1A0108 0801"), (None, "0805"), (7, "0807"), (7, "0808"), (8, None)]
+    df = spark.createDataFrame([(k, t and bytes.fromhex(t.replace(" ", ""))) for k, t in rows], "k int, msg binary")
+    for name in ("tag", "offset", "ord", "bytes", "path", "node", "base", "_walk", "_decoded", "_log", "end", "_values", "root_base", "_body"):
+        df = df.withColumn(name, F.lit(name))
+    return df
+
+
+def test_null_and_repeated_keys_and_clashing_names(spark):
+    df = odd_keys(spark)
+    tags = [T.path((3, 2), (1, 0)), T.path((1, 0))]
+    # the error in the payload of 3 stops the walk before the field 1 behind it
+    got = sorted((r.k or 0, r.varint) for r in paths.scan_paths(df, tags, ["k", "path"]).collect())
+    assert got == [(0, 5), (7, 7), (7, 8)]
+    assert sorted((r.k or 0, r.error.kind, r.at) for r in paths.scan_errors(df, ["k", "tag"], tags).collect()) == [(0, "Malformed", 2), (1, "Malformed", 2)]
+    rows = fields.scan(df)
+    assert rows.filter("tag_ = 8").count() == 5 and rows.filter("tag = 'tag'").count() == 7
+    assert sorted((r.k or 0, r.varint) for r in paths.by_user_path(df, [(1, 0)], ["k", "root_base"]).collect()) == [(0, 1), (0, 5), (1, 1), (7, 7), (7, 8)]
+    log = spark.createDataFrame([(None, [(1, 0)], 1, None, "set", None, None, 9, None), (7, [(1, 0)], 1, None, "set", None, None, 3, None)], EDIT.replace("i int", "k int"))
+    out = sorted((r.k or 0, bytes(r.msg).hex() if r.msg is not None else None) for r in patch.apply_edits(df, log, ["k"]).collect())
+    assert out == [(0, "0809"), (0, "1a01080809"), (1, "1a01080801"), (7, "0803"), (7, "0803"), (8, None)]
+    out = sorted((r.k or 0, bytes(r.msg).hex() if r.msg is not None else None) for r in patch.edit_values(df, [8], lambda v: v + 1, ["k"]).collect())
+    assert out == [(0, "0806"), (0, "1a01080802"), (1, "1a01080802"), (7, "0808"), (7, "0809"), (8, None)]
+
+
+def test_one_python_pass_at_any_depth(spark):
+    df = messages(spark, "0801")
+    deep = [T.path(*[(3, 2)] * n, (1, 0)) for n in range(12)]
+    plan = paths.scan_paths(df, deep, ["i"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan
+    with pytest.raises(ValueError, match="100"):
+        paths.steps([T.path(*[(3, 2)] * 101)])
+
+
+def nested(rnd, depth):
+    out = b""
+    for _ in range(rnd.randint(0, 4)):
+        kind = rnd.choice([0, 0, 1, 5, 2, 2, 3] if depth else [0, 1, 5])
+        head = E._varint_bytes(rnd.randint(1, 3) << 3 | kind)
+        if kind == 0:
+            out += head + E._varint_bytes(rnd.randrange(1 << rnd.choice([3, 20, 64])))
+        elif kind in (1, 5):
+            out += head + rnd.randbytes(8 if kind == 1 else 4)
+        elif kind == 2:
+            body = nested(rnd, depth - 1)
+            out += head + E._varint_bytes(len(body)) + body
+        else:
+            out += head + nested(rnd, depth - 1) + bytes([head[0] + 1])
+    return out
+
+
+def naive_walk(b, tags, groups=True, base=0, path=()):
+    """Matches of a good message in the order of the walk."""
+    out = []
+    for at, tag, value, end in naive_decode(b, groups)[0]:
+        here = (*path, tag)
+        if tag & 7 in (2, 3) and any(t[: len(here)] == here and len(t) > len(here) for t in tags):
+            out += naive_walk(value, tags, groups, 0, here)
+        if here in tags:
+            out.append((here, value))
+    return out
+
+
+def test_walks_and_chunks_equal_a_straight_walk(spark):
+    rnd = random.Random(3)
+    texts = [nested(rnd, 3) for _ in range(60)]
+    tags = [tuple(T.tag(n, k) for n, k in p) for p in ([(1, 0)], [(2, 2)], [(2, 2), (1, 0)], [(1, 2), (2, 3), (1, 0)], [(3, 3)], [(3, 3), (2, 2)], [(2, 2), (2, 2), (3, 5)], [(1, 2), (1, 1)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, msg binary").repartition(3)
+    want = {i: [(list(p), v) for p, v in naive_walk(t, tags)] for i, t in enumerate(texts)}
+
+    def value(r):
+        return signed_free(r)
+
+    def signed_free(r):
+        if r.varint is not None:
+            return r.varint & (1 << 64) - 1
+        raw = r.fixed32 if r.fixed32 is not None else r.fixed64
+        return raw & (1 << (32 if r.fixed32 is not None else 64)) - 1 if raw is not None else bytes(r.payload)
+
+    got = {r.i: [(list(m.path), value(m)) for m in r.w.matches] for r in df.select("i", paths.walk("msg", tags, groups=True).alias("w")).collect()}
+    assert got == want
+    for size in (1, 7, 64):
+        pieces = chunks.cut(df.withColumn("stream_id", F.col("i").cast("string")), size)
+        rows = chunks.paths_of_chunks(pieces, tags, groups=True).collect()
+        assert all(r.error is None for r in rows)
+        by = {i: [] for i in want}
+        for r in rows:
+            by[int(r.stream_id)].append((list(r.path), r.varint & (1 << (32 if r.tag & 7 == 5 else 64)) - 1 if r.varint is not None else bytes(r.payload)))
+        assert by == want
+
+
+def test_strict_reads_and_kinds(spark):
+    df = messages(spark, "0A02 1009", "0A02 1009 0807", "0A02 1009 80", "0A02 1080")
+    path = T.path((1, 2), (2, 0))
+    got = df.select("i", paths.values_at("msg", path, "uint64", strict=True).alias("s"), paths.values_at("msg", path, "uint64").alias("l")).orderBy("i").collect()
+    assert [(r.s, r.l) for r in got] == [([9], [9]), ([9], [9]), (None, [9]), (None, [])]
+    # a step that leads on but is no message
+    w = messages(spark, "0807").select(paths.walk("msg", [T.path((1, 0), (2, 0))], strict=True).alias("w")).first().w
+    assert w.matches == [] and w.error.kind == "WireTypeMismatch"
+    with pytest.raises(ValueError, match="double"):
+        paths.values_at("msg", path, "double")
+    # tags on the path become canonical, a null changes nothing, other fields keep their bytes
+    odd = messages(spark, "8A0006 900009 188500")
+    out = patch.edit_values(odd, list(path), lambda v: F.when(v > 100, v), ["i"]).first()
+    assert bytes(out.msg).hex() == "0a051009188500"
+    text = messages(spark, "1203616263 1D01000000 21000000000000F03F 2B0801 2C".replace(" ", ""))
+    for p, kind, change, want in (
+        ((2, 2), "bytes", lambda v: F.concat(v, F.lit(b"!")), "12046162632 11d0100000021000000000000f03f2b08012c"), ((3, 5), "sfixed32", lambda v: -v, "12036162631dffffffff21000000000000f03f2b08012c"),
+        ((4, 1), "double", lambda v: v / 2, "12036162631d0100000021000000000000e03f2b08012c"), ((5, 3), "group", lambda v: F.lit(b""), "12036162631d0100000021000000000000f03f2b2c"),
+    ):
+        got = patch.edit_values(text, list(T.path(p)), change, ["i"], kind=kind, groups=True).first()
+        assert bytes(got.msg).hex() == want.replace(" ", "")
+
+
+def test_group_payloads_grow_in_a_stream(spark, tmp_path):
+    body = bytes.fromhex("0B10070C")
+    got = run_stream(spark, tmp_path, [[("g", 0, body[:3], False)], [("g", 1, body[3:], True)]], partial=True, groups=True)
+    assert [(r[2], r[3]) for r in got] == [("1007", False), (body.hex(), True)]
+
+
+def test_states_of_fields_under_edits(spark):
+    df = messages(spark, "1A03 089601 2007")
+    log = patch.Log()
+    log.set([(3, 0), (1, 0)], 5)
+    log.delete([(4, 0)])
+    gone = log.insert(T.tag(9, "len"), b"x")
+    log.clear(gone)
+    rows = df.select(F.inline(patch.states("msg", log.column()))).collect()
+    assert [(r.parent, r.field_number, r.deleted, r.inserted, r.edited, r.child, r.varint, r.offset) for r in rows] == [
+        ("", 3, False, False, False, True, None, 0), ("", 4, True, False, False, False, 7, 5), ("", 9, True, True, False, False, None, None), ("/3:0", 1, False, False, True, False, 5, 2),
+    ]
+    assert bytes(df.select(patch.edited("msg", log.column())).first()[0]).hex() == "1a020805"
+    assert bytes(df.select(patch.edited("msg", patch.Log().column())).first()[0]).hex() == "1a030896012007"
+
+
+def test_encoding_guards(spark):
+    big = E.Field(F.lit(b""), F.lit(1 << 30), 0)
+    assert spark.range(1).select(E.encoded_len([big])).first()[0] == 1 << 30
+    for c in (E.encoded_len([big, big]), E.encode_message([big, big], guard=True)):
+        with pytest.raises(Exception, match="LengthOverflow"):
+            spark.range(1).select(c).collect()

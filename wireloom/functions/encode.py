@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tags import I32, I64, LEN, SGROUP, VARINT, tag
+from .tags import I32, I64, LEN, MAX_MESSAGE, SGROUP, VARINT, tag
 from .varint import bound, col, little_endian, varint_encode, varint_len, zigzag_encode
 
 MAX_DEPTH = 100
@@ -84,7 +84,7 @@ def string(number: int, v: Column | str) -> Field:
 def _body(fields: Sequence[Field]) -> tuple[Column, Column]:
     empty = F.lit(b"")
     data = F.concat(*[F.coalesce(f.data, empty) for f in fields]) if fields else empty
-    size = F.lit(0)
+    size = F.lit(0).cast("long")
     for f in fields:
         size = size + F.coalesce(f.size, F.lit(0))
     return data, size
@@ -123,9 +123,18 @@ def repeated_messages(number: int, bodies: Column | str) -> Field:
     return Field(data, F.length(data))
 
 
-def encode_message(fields: Sequence[Field]) -> Column:
-    """The bytes of a message; fields whose value is null are left out."""
-    return _body(fields)[0]
+def encode_message(fields: Sequence[Field], guard: bool = False) -> Column:
+    """The bytes of a message; fields whose value is null are left out.
+
+    guard computes the length first and fails with LengthOverflow over 2**31 - 1 bytes.
+    """
+    data, size = _body(fields)
+    return F.when(_guarded(size) >= 0, data) if guard else data
+
+
+def _guarded(size: Column) -> Column:
+    size = size.cast("long")
+    return F.when(size > MAX_MESSAGE, F.raise_error(F.concat(F.lit("LengthOverflow: "), size.cast("string"))).cast("long")).otherwise(size)
 
 
 def encode_into(prefix: Column | str, fields: Sequence[Field]) -> Column:
@@ -133,5 +142,5 @@ def encode_into(prefix: Column | str, fields: Sequence[Field]) -> Column:
 
 
 def encoded_len(fields: Sequence[Field]) -> Column:
-    """The length of encode_message(fields), without building it."""
-    return _body(fields)[1]
+    """The length of encode_message(fields), without building it; over 2**31 - 1 it fails with LengthOverflow."""
+    return _guarded(_body(fields)[1]).cast("int")

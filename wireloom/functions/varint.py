@@ -16,9 +16,15 @@ def byte_lit(x: int) -> Column:
     return F.lit(bytes([x]))
 
 
-def varint_len(v: Column | str) -> Column:
-    """Bytes of the varint of a 64-bit value: 1 to 10."""
-    bits = F.length(F.bin(col(v).cast("long")))
+def in_range(v: Column | str, width: int) -> Column:
+    """v, or null where it is no unsigned number of 32 bits; all 64-bit patterns are fine."""
+    v = col(v).cast("long")
+    return F.when(v.between(0, 0xFFFFFFFF), v) if width == 32 else v
+
+
+def varint_len(v: Column | str, width: int = 64) -> Column:
+    """Bytes of the varint of a value: 1 to 10, or 1 to 5 for 32 bits, and null beyond these."""
+    bits = F.length(F.bin(in_range(v, width)))
     return F.shiftright(bits * 9, 6) + 1
 
 
@@ -36,9 +42,9 @@ def _bytes_of(x: Column, n: int) -> Column:
     return F.unhex(F.lpad(F.hex(x), 2 * n, "0"))
 
 
-def varint_encode(v: Column | str) -> Column:
-    """Canonical varint bytes of a 64-bit value; null for null."""
-    x = col(v).cast("long")
+def varint_encode(v: Column | str, width: int = 64) -> Column:
+    """Canonical varint bytes of a value; null for null, and for what isn't of 32 bits if width says so."""
+    x = in_range(v, width)
     out = None
     for n in range(U64_BYTES, 8, -1):
         head = _bytes_of(_groups(x, 0, 8).bitwiseOR(F.lit(-0x7F7F7F7F7F7F7F80)), 8)

@@ -29,6 +29,19 @@ def delete(messages: DataFrame, classes: DataFrame, ids: DataFrame) -> tuple[Dat
     return left, classes.join(lost, "class_id", "left_anti")
 
 
+def create(messages: DataFrame, classes: DataFrame, new: DataFrame, now: Column, default: int = 0) -> DataFrame:
+    """Messages with those of new (class_id, name, msg) added: ids that follow the largest, made now.
+
+    A class that isn't there becomes the default. Ids are given in no order, in one
+    pass: each partition of new takes a stretch of them, so they have gaps.
+    """
+    top = messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    known = classes.select("class_id", F.lit(True).alias("_known")).dropDuplicates(["class_id"])
+    got = new.join(known, "class_id", "left").join(F.broadcast(top))  # one row
+    made = got.select((F.col("_top") + 1 + F.monotonically_increasing_id()).alias("id"), F.when(F.col("_known"), F.col("class_id")).otherwise(F.lit(default)).cast(messages.schema["class_id"].dataType).alias("class_id"), "name", now.alias("modified_ms"), "msg")
+    return messages.unionByName(made.select(*[F.col(c).cast(messages.schema[c].dataType).alias(c) for c in messages.columns]))
+
+
 def rename(table: DataFrame, key: str, value, column: str, name: str, now: Column | None = None) -> DataFrame:
     """A new name in the row with a key; modified_ms follows if now is given."""
     hit = F.col(key) == F.lit(value)

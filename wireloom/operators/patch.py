@@ -87,9 +87,15 @@ class Log:
 
     def column(self) -> Column:
         """The log as a literal array, for the same edits of every message."""
-        rows = [F.struct(*(F.lit(None if n == "path" else e.get(n)).alias(n) if n != "path" or e.get(n) is None else F.array(*(F.struct(F.lit(a).alias("number"), F.lit(b).alias("occurrence")) for a, b in e["path"])).alias(n) for n in EDIT_NAMES)) for e in self.rows]
         kind = T.ArrayType(T._parse_datatype_string(EDIT))
-        return F.array(*(r.cast(kind.elementType) for r in rows)) if rows else F.array().cast(kind)
+
+        def cell(e: dict[str, Any], n: str) -> Column:
+            if n == "path" and e.get(n) is not None:
+                return F.array(*(F.struct(F.lit(a), F.lit(b)) for a, b in e[n])).cast(kind.elementType[n].dataType)
+            return F.lit(e.get(n)).cast(kind.elementType[n].dataType)
+
+        rows = [F.struct(*(cell(e, n) for n in EDIT_NAMES)).cast(kind.elementType) for e in self.rows]
+        return F.array(*rows) if rows else F.lit(None).cast(kind)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         schema = T._parse_datatype_string(EDIT)
@@ -364,7 +370,7 @@ def edited_fields(messages: DataFrame, edits: DataFrame, keys: list[str], msg: s
     return got.select(*keys, states(msg, log, groups).alias(log)).select(*keys, F.inline(log))
 
 
-def edit_values(messages: DataFrame, path: Sequence[int], change, keys: list[str], msg: str = "msg", kind: str = "uint64", strict: bool = False) -> DataFrame:
+def edit_values(messages: DataFrame, path: Sequence[int], change, keys: list[str], msg: str = "msg", kind: str = "uint64", strict: bool = False, groups: bool = False) -> DataFrame:
     """Applies change (a function of a value Column) to all values of a kind on a tag path; keys and msg.
 
     Every message on the path is re-encoded: its tags become canonical, and the
@@ -375,5 +381,5 @@ def edit_values(messages: DataFrame, path: Sequence[int], change, keys: list[str
     if not path:
         return messages.select(*keys, msg)
     name = fresh(messages, "_values")
-    got = messages.select(*keys, msg, values_at(msg, path, kind, strict).alias(name))
-    return got.select(*keys, with_values(msg, path, kind, F.transform(name, change)).alias(msg))
+    got = messages.select(*keys, msg, values_at(msg, path, kind, strict, groups).alias(name))
+    return got.select(*keys, with_values(msg, path, kind, F.transform(name, change), groups).alias(msg))

@@ -112,20 +112,20 @@ def _bits(kind: str, value: Column) -> Column:
     return out.cast(KINDS[kind][2])
 
 
-def values_at(msg: Column | str, path: Path, kind: str, strict: bool = False) -> Column:
+def values_at(msg: Column | str, path: Path, kind: str, strict: bool = False, groups: bool = False) -> Column:
     """The values at the end of a path as an array, read as a kind; null (strict) where a message on the path is bad.
 
-    int32 and sfixed32 come with their sign, bool as 0 or 1, bytes and group as their payloads.
+    Groups are read if groups says so or the path has one. int32 and sfixed32 come with their sign, bool as 0 or 1, bytes and group as their payloads.
     """
     wire, member, _ = KINDS[kind]
     if path[-1] & 7 != wire:
         raise ValueError(f"{kind} isn't read from wire type {path[-1] & 7}")
-    w = walk(msg, [path], wire == SGROUP or any(t & 7 == SGROUP for t in path), strict, [member])
+    w = walk(msg, [path], groups or any(t & 7 == SGROUP for t in path), strict, [member])
     out = F.transform(w["matches"], lambda m: _typed(kind, m[member]))
     return F.when(w["error"].isNull(), out) if strict else out
 
 
-def with_values(msg: Column | str, path: Path, kind: str, values: Column) -> Column:
+def with_values(msg: Column | str, path: Path, kind: str, values: Column, groups: bool = False) -> Column:
     """msg with the values at the end of a path replaced, by an array in the order of values_at.
 
     Every message on the path is encoded anew: its tags become canonical, and the
@@ -135,7 +135,7 @@ def with_values(msg: Column | str, path: Path, kind: str, values: Column) -> Col
     wire, _, sql = KINDS[kind]
     if path[-1] & 7 != wire:
         raise ValueError(f"{kind} can't be set on wire type {path[-1] & 7}")
-    groups, tags = any(t & 7 == SGROUP for t in path), list(path)
+    groups, tags = groups or any(t & 7 == SGROUP for t in path), list(path)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for column, new in batches:

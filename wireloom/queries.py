@@ -215,6 +215,33 @@ def packed_varints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", F.col("u.values").alias("unsigned"), F.col("s.values").alias("signed"), F.col("f.error").isNotNull().alias("odd_size"), F.col("f.error").alias("fixed_error"))
 
 
+@query(f"""WITH o AS (SELECT o_orderkey AS k, {_len('o_orderkey')} AS a FROM orders), t AS (SELECT k, a, i FROM o, range(8) x(i))
+SELECT k AS o_orderkey, i::INTEGER AS way, (CASE WHEN i = 6 THEN 2 ELSE 1 END)::INTEGER AS n_fields, CASE i WHEN 0 THEN 'InvalidVarint' WHEN 1 THEN 'InvalidTag' WHEN 2 THEN 'InvalidTag' WHEN 3 THEN 'MalformedGroup' WHEN 4 THEN 'MalformedGroup' WHEN 5 THEN 'InvalidVarint' WHEN 7 THEN 'MalformedGroup' END AS kind,
+ CASE i WHEN 0 THEN 2 + a WHEN 1 THEN 1 + a WHEN 2 THEN 1 + a WHEN 3 THEN 1 + a WHEN 4 THEN 2 + a WHEN 5 THEN 1 + a WHEN 7 THEN 2 + a END::INTEGER AS at, CASE WHEN i = 6 THEN '1005' END AS group_hex FROM t""")
+def decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad varints, tags and groups behind a good field; one way is a good group."""
+    ways = [b"\x08" + b"\xff" * 9 + b"\x02", b"\x00\x01", b"\x0e", b"\x0c", b"\x0b\x10\x05", b"\xff\xff\xff\xff\x10\x00", b"\x0b\x10\x05\x0c", b"\x0b\x14\x0c"]
+    tails = F.posexplode(F.array(*(F.lit(w) for w in ways))).alias("way", "tail")
+    m = table(spark, sf_dir, "orders").select("o_orderkey", tails).select("o_orderkey", "way", F.concat(E.encode_message([E.varint(1, "o_orderkey")]), "tail").alias("msg"))
+    d = m.select("o_orderkey", "way", fields.cursor("msg", groups=True, members=["tag", "bytes"]).alias("d"))
+    return d.select("o_orderkey", "way", F.size("d.fields").alias("n_fields"), F.col("d.error.kind").alias("kind"), F.col("d.error.offset").alias("at"), F.hex(document.first(F.col("d.fields"), T.tag(1, "sgroup"))["bytes"]).alias("group_hex"))
+
+
+_KINDS = {"uint32": ("o_custkey", "7"), "int32": ("-o_custkey", "-7"), "sint32": ("-o_custkey", "7"), "bool": ("1", "0"), "uint64": ("o_custkey * 1000003", "7"), "int64": ("-o_custkey * 1000003", "7"), "sint64": ("-o_custkey * 1000003", "7"), "fixed32": ("o_custkey", "7"), "sfixed32": ("-o_custkey", "7"), "fixed64": ("o_custkey * 1000003", "7"), "sfixed64": ("-o_custkey * 1000003", "-7")}
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"[{a}, {b}]::BIGINT[] AS {k}_values" for k, (a, b) in _KINDS.items()) + ", [o_custkey + 0.5, -2.25]::DOUBLE[] AS double_values, [o_custkey % 1000 + 0.5, -2.25]::DOUBLE[] AS float_values, 0 AS cut_at FROM orders")
+def packed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every packed kind, written and read."""
+    from .functions.bits import double_bits, float_bits
+
+    o = table(spark, sf_dir, "orders")
+    arrays = {k: [packed.packed_element(F.expr(x).cast("long"), k) for x in two] for k, two in _KINDS.items()}
+    arrays |= {"double": [packed.packed_element(double_bits(x), "fixed64") for x in (F.col("o_custkey") + F.lit(0.5), F.lit(-2.25))], "float": [packed.packed_element(float_bits(x.cast("float")), "fixed32") for x in (F.col("o_custkey") % 1000 + F.lit(0.5), F.lit(-2.25))]}
+    cut = packed.packed(F.lit(b"\x80"), "uint64")["error"]
+    return o.select("o_orderkey", *(packed.packed(F.concat(*two), k)["values"].alias(f"{k}_values") for k, two in arrays.items()), cut.alias("cut_at"))
+
+
 # Paths
 
 
@@ -252,6 +279,32 @@ def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(at[0].cast("long").alias("o_orderkey"), at[1].cast("int").alias("size"), "varint")
 
 
+@query(f"""WITH s AS (SELECT o_orderkey, 1 + {_len('o_orderkey')} AS a, 1 + {_len('o_custkey')} AS b, o_custkey, o_orderstatus FROM orders)
+SELECT o_orderkey, 0 AS start, o_orderkey AS varint, NULL AS text, true AS is_last, NULL AS error FROM s UNION ALL SELECT o_orderkey, a, o_custkey, NULL, true, NULL FROM s
+UNION ALL SELECT o_orderkey, a + b, NULL, o_orderstatus[:1], false, NULL FROM s UNION ALL SELECT o_orderkey, a + b, NULL, NULL, NULL, 'Truncated' FROM s""")
+def chunked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 3 bytes of messages whose last field is cut off: what is open is told, then the error."""
+    m = M.order_heads(spark, sf_dir)
+    status = E.encode_message([E.varint(1, "o_orderkey"), E.varint(2, "o_custkey"), E.binary(3, F.concat(F.col("o_orderstatus").cast("binary"), F.lit(bytes(100))))])
+    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("stream_id"), F.substring(status, F.lit(1), F.length(status) - 100).alias("msg"))
+    got = chunks.fields_of_chunks(chunks.cut(m, 3), partial=True)
+    return got.select(F.col("stream_id").cast("long").alias("o_orderkey"), F.col("offset").cast("int").alias("start"), "varint", F.col("payload").cast("string").alias("text"), "is_last", "error")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderkey % 3 AS way FROM orders)
+SELECT o_orderkey, CASE WHEN way = 0 THEN [o_custkey, 5] WHEN way = 1 THEN [o_custkey] END AS strict_values, CASE WHEN way = 1 THEN [o_custkey] ELSE [o_custkey, 5] END AS lenient_values, CASE WHEN way = 2 THEN 'Malformed' END AS kind FROM o""")
+def planned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed reads inside a group and a message: all or nothing, or what comes before an error."""
+    inner = E.message(4, [E.varint(2, "o_custkey")])
+    two = [E.group(3, [inner]), E.group(3, [E.message(4, [E.varint(2, F.lit(5))])])]
+    o = table(spark, sf_dir, "orders")
+    way = F.col("o_orderkey") % 3
+    msg = F.when(way == 0, E.encode_message(two)).when(way == 1, E.encode_message(two[:1])).otherwise(F.concat(E.encode_message(two), F.lit(b"\x80")))
+    m = o.select("o_orderkey", msg.alias("msg"))
+    path = T.path((3, "sgroup"), (4, "len"), (2, "varint"))
+    return m.select("o_orderkey", paths.values_at("msg", path, "uint64", strict=True).alias("strict_values"), paths.values_at("msg", path, "uint64").alias("lenient_values"), paths.walk("msg", [path], groups=True, members=["depth"])["error"]["kind"].alias("kind"))
+
+
 # Edits
 
 
@@ -309,6 +362,64 @@ def edit_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner.select("o_orderkey", document.first(F.col("d.fields"), T.tag(1, "varint"))["varint"].cast("int").alias("l_linenumber"), document.first(F.col("d.fields"), T.tag(2, "varint"))["varint"].alias("part"))
 
 
+_KINDS_HEX = f"""'08' || {_hex(_zig('5 - c_custkey'))} || '15' || {_le('c_custkey + 1', 4)} || '19' || {_le('c_custkey * 2', 8)} || '22' || {_str("c_name || '!'")} || '2B' || '0801' || '2C' || '31' || '000000000000F83F'"""
+
+
+@query(f"SELECT c_custkey, '52' || {_hex(f'length({_KINDS_HEX}) // 2')} || {_KINDS_HEX} AS edited FROM customer")
+def edit_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field of each kind inside a message, each changed along its path."""
+    c = table(spark, sf_dir, "customer")
+    inner = [E.sint(1, -F.col("c_custkey")), E.fixed32(2, "c_custkey"), E.fixed64(3, "c_custkey"), E.string(4, "c_name"), E.group(5, []), E.fixed64(6, F.lit(0x3FF0000000000000))]
+    m = c.select("c_custkey", E.encode_message([E.message(10, inner)]).alias("msg"))
+    for number, wire, kind, change in (
+        (1, "varint", "sint64", lambda v: v + 5), (2, "i32", "fixed32", lambda v: v + 1), (3, "i64", "sfixed64", lambda v: v * 2), (4, "len", "bytes", lambda v: F.concat(v, F.lit(b"!"))),
+        (5, "sgroup", "group", lambda v: F.concat(v, F.lit(b"\x08\x01"))), (6, "i64", "double", lambda v: v * F.lit(1.5)),
+    ):
+        m = patch.edit_values(m, T.path((10, "len"), (number, wire)), change, ["c_custkey"], kind=kind, groups=True)
+    return m.select("c_custkey", F.hex("msg").alias("edited"))
+
+
+@query(f"""SELECT c_custkey, '08' || {_hex('c_custkey')} || '12' || '026869' || '18' || {_hex(_zig('c_nationkey'))} || '2A' || {_str('c_mktsegment')} || 'CD03' || '07000000' || 'D3030801D403' AS edited FROM customer""")
+def patch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload that is set, a set that is cleared, a delete that stands, fixed and group inserts, values of the wrong type."""
+    log = patch.Log()
+    log.set_bytes([(2, 0)], b"hi")
+    log.set([(1, 0)], 99)
+    log.clear([(1, 0)])
+    log.set([(4, 0)], 1)
+    log.delete([(4, 0)])
+    log.clear([(4, 0)])
+    log.set([(2, 0)], 5)
+    log.set_bytes([(3, 0)], b"no")
+    log.insert(T.tag(57, "i32"), 7)
+    gone = log.insert(T.tag(59, "varint"), 1)
+    log.delete(gone)
+    log.insert(T.tag(58, "sgroup"), b"\x08\x01")
+    try:
+        with log.transaction():
+            log.delete([(1, 0)])
+            raise KeyError
+    except KeyError:
+        pass
+    return M.customers(spark, sf_dir).select("c_custkey", F.hex(patch.edited("msg", log.column())).alias("edited"))
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {_len('c_custkey')} AS a, octet_length(encode(c_name)) AS n, c_name FROM customer),
+r AS (SELECT c_custkey, '' AS parent, 3 AS field_number, 0 AS occurrence, false AS deleted, false AS inserted, false AS edited, true AS child, NULL::BIGINT AS varint, 0 AS start FROM c
+UNION ALL SELECT c_custkey, '', 7, 0, false, true, false, false, 42, NULL FROM c UNION ALL SELECT c_custkey, '/3:0', 1, 0, true, false, false, false, c_custkey, 2 FROM c
+UNION ALL SELECT c_custkey, '/3:0', 1, 1, false, false, true, false, 8, 3 + a FROM c)
+SELECT c_custkey, parent, field_number, occurrence, deleted, inserted, edited, child, varint, start::INTEGER AS start FROM r""")
+def edited_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of messages under edits, with deleted and inserted ones, read through the edits."""
+    m = table(spark, sf_dir, "customer").select("c_custkey", E.encode_message([E.message(3, [E.varint(1, "c_custkey"), E.varint(1, F.lit(5))])]).alias("msg"))
+    log = patch.Log()
+    log.delete([(3, 0), (1, 0)])
+    log.set([(3, 0), (1, 1)], 8)
+    log.insert(T.tag(7, "varint"), 42)
+    got = patch.edited_fields(m, _log(m, *log.rows), ["c_custkey"])
+    return got.select("c_custkey", "parent", "field_number", "occurrence", "deleted", "inserted", "edited", "child", "varint", F.col("offset").alias("start"))
+
+
 @query(f"""WITH s AS (SELECT c_custkey, {_len('c_custkey')} AS a, octet_length(encode(c_name)) AS n FROM customer)
 SELECT c_custkey, (1 + a)::INTEGER AS start, (2 + a)::INTEGER AS tag_end, (2 + a + {_len('n')})::INTEGER AS payload_start, (2 + a + {_len('n')} + n)::INTEGER AS payload_end FROM s""")
 def field_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,17 +478,23 @@ def _framed(events: DataFrame, ids: int = ENVELOPE_IDS) -> DataFrame:
 
 
 @query("""SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS idx, event_id % 2 = 0 AS compressed, event_id % 3 = 0 AS json, props,
- CASE WHEN event_id % 2 = 0 THEN 'gzip' END AS format FROM events WHERE event_id < 2000""")
+ CASE WHEN event_id % 2 = 0 THEN 'gzip' END AS format FROM events""")
 def envelope_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each user in one envelope, every other one compressed, and back."""
-    return _framed(table(spark, sf_dir, "events").filter("event_id < 2000"))
+    """All events of each user in envelopes, every other one compressed, and back."""
+    return _framed(table(spark, sf_dir, "events"))
 
 
-@query("""SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS idx, event_id % 2 = 0 AS compressed, event_id % 3 = 0 AS json, props,
- CASE WHEN event_id % 2 = 0 THEN 'gzip' END AS format FROM events""")
-def envelope_frames_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all events."""
-    return _framed(table(spark, sf_dir, "events"))
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'gzip' WHEN 1 THEN 'deflate' WHEN 2 THEN 'deflate-raw' END AS format, props, CASE WHEN event_id % 5 = 0 THEN 'frame 0 has 4 of 5 header bytes' WHEN event_id % 5 = 1 THEN 'frame 1 declares 9 byte(s); 1 are left' END AS error,
+ CASE WHEN event_id % 5 > 1 THEN 1 END AS preferred FROM events""")
+def envelope_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each way of compression is told by its bytes; broken envelopes, and the frame to look at first."""
+    raw = F.col("props").cast("binary")
+    zipped = F.when(F.col("event_id") % 4 == 0, envelope.compress(raw)).when(F.col("event_id") % 4 == 1, envelope.compress(raw, "deflate")).when(F.col("event_id") % 4 == 2, envelope.compress(raw, "deflate-raw")).otherwise(raw)
+    one, two = envelope.frame(F.lit(1), F.lit(b"z")), envelope.frame(F.lit(0), F.lit(b"plain"))
+    msg = F.when(F.col("event_id") % 5 == 0, F.lit(bytes(4))).when(F.col("event_id") % 5 == 1, F.concat(one, F.lit(b"\x00\x00\x00\x00\x09\xff"))).otherwise(F.concat(one, two))
+    got = table(spark, sf_dir, "events").select("event_id", "props", envelope.decompress(zipped).alias("p"), envelope.frames(msg).alias("e"))
+    ranked = F.transform("e.frames", lambda f: F.struct(envelope.is_compressed(f["flags"]).alias("zipped"), envelope.is_json(f["flags"]).alias("json"), f["idx"].alias("idx")))
+    return got.select("event_id", F.col("p.format").alias("format"), F.col("p.payload").cast("string").alias("props"), F.col("e.error").alias("error"), F.array_min(ranked)["idx"].alias("preferred"))
 
 
 @query(r"""WITH b AS (SELECT p_partkey, p_name, hex(encode(p_name)) AS h, encode(p_name) AS b FROM part)
@@ -408,6 +525,27 @@ def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max(F.when(F.col("field_number") == 3, F.col("bytes").cast("string"))).alias("lang"), F.max(F.when(F.col("field_number") == 2, F.char_length(F.col("bytes").cast("string")))).cast("long").alias("n"))
 
 
+@query(f"""SELECT p_partkey, 8 * p_size + 1 AS tag, 2 AS tag_used, p_partkey % 2 = 0 AS flag, {_hex('p_partkey')} AS v32, CASE WHEN p_partkey < 0 THEN 1 END AS beyond, '0A' || {_hex('p_partkey')} AS appended, 'p_' || p_partkey || '_3_4' AS frame,
+ p_size || ':2:' || p_partkey || '/1:0:4' AS selection, p_partkey AS occurrence, p_partkey::VARCHAR AS number, true AS inside, false AS apart, 3 AS moved, (CASE p_partkey % 3 WHEN 0 THEN 'protobuf' WHEN 1 THEN 'envelope' ELSE 'raw' END) AS kind,
+ '00000000  41 42 43                                          |ABC|' AS dump, [p_size::VARCHAR, 'x'] AS lines FROM part""")
+def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar helpers, one of each: tags and bools read back, names, selections, spans, kinds of bytes, dumps."""
+    from .functions import spans as S
+
+    p = table(spark, sf_dir, "part").withColumn("size", F.col("p_size").cast("long"))
+    tag = T.decode_tag(F.concat(F.rpad(F.lit(b""), 0, b""), V.varint_encode(F.col("size") * 8 + 1), F.lit(b"\x7f")))
+    step = F.array(F.struct(F.col("p_size").alias("number"), F.lit(2).alias("wire_type"), F.col("p_partkey").cast("int").alias("occurrence")), F.struct(F.lit(1).alias("number"), F.lit(0).alias("wire_type"), F.lit(4).alias("occurrence")))
+    a, b = S.span(F.lit(0), F.lit(5)), S.span(F.lit(1), F.lit(3))
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.lit(b"\x08\x01")).when(F.col("p_partkey") % 3 == 1, F.lit(b"\x00\x00\x00\x00\x00")).otherwise(F.lit(b"\xff"))
+    return p.select(
+        "p_partkey", tag["tag"].alias("tag"), F.when(tag["tag"] < 128, tag["used"] + 1).otherwise(tag["used"]).alias("tag_used"), V.bool_decode(F.when(F.col("p_partkey") % 2 == 0, F.lit(b"\x01")).otherwise(F.lit(b"\x00"))).alias("flag"),
+        F.hex(V.varint_encode("p_partkey", 32)).alias("v32"), V.varint_len(F.col("p_partkey") + (1 << 32), 32).alias("beyond"), F.hex(E.encode_into(F.lit(b"\x0a"), [E.Field(V.varint_encode("p_partkey"), V.varint_len("p_partkey"))])).alias("appended"),
+        X.frame_name(F.lit("{source}_{idx1}_{len}"), F.concat(F.lit("p_"), F.col("p_partkey").cast("string")), F.lit(2), F.lit(4)).alias("frame"), X.selection_path(step).alias("selection"), F.element_at(X.parse_selection_path(X.selection_path(step)), 1)["occurrence"].cast("long").alias("occurrence"),
+        V.unsigned(X.number(F.concat(F.lit("0x"), F.hex("p_partkey")))).cast("string").alias("number"), S.contains(a, b).alias("inside"), S.intersects(b, S.span(F.lit(3), F.lit(4))).alias("apart"), S.shifted(b, 2)["start"].alias("moved"), envelope.classify(raw, fields.cursor(raw)).alias("kind"),
+        X.hex_dump(F.lit(b"ABC")).alias("dump"), catalog.expand_paths(F.concat(F.lit("x\n "), F.col("p_size").cast("string"), F.lit(" \n\nx"))).alias("lines"),
+    )
+
+
 # The catalog
 
 
@@ -439,3 +577,20 @@ def frame_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = name.select(F.col("id").alias("ref_id"), F.col("id").alias("source_id"), F.when(F.col("id") % 4 == 0, F.lit(-1)).otherwise(F.col("modified_ms")).cast("long").alias("modified_ms"), F.col("value_start").alias("start"), (F.col("value_end") - F.col("value_start")).alias("size"))
     got = envelope.from_references(refs, m)
     return got.select("ref_id", F.col("payload").cast("string").alias("payload"))
+
+
+@query("SELECT CASE WHEN c_nationkey < 20 THEN c_nationkey ELSE -1 END::INTEGER AS class_id, c_name || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' (copy)' END AS name, (CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 10 ELSE 99 END)::BIGINT AS modified_ms, 1 AS ids FROM customer WHERE c_custkey % 2 = 0 OR c_custkey > 0")
+def catalog_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the messages are there; copies of the others are made, of known classes or the default."""
+    m, classes = _catalog(spark, sf_dir)
+    m = m.withColumn("class_id", F.when(F.col("class_id") < 20, F.col("class_id")).otherwise(-1).cast("int"))
+    new = m.filter("id % 2 <> 0").select("class_id", F.concat("name", F.lit(" (copy)")).alias("name"), "msg")
+    got = catalog.create(m.filter("id % 2 = 0"), classes.filter("class_id < 20"), new, F.lit(99).cast("long"), default=-1)
+    ids = Window.partitionBy("id")
+    return got.select("class_id", "name", "modified_ms", F.count(F.lit(1)).over(ids).cast("int").alias("ids"))
+
+
+@query("SELECT n_nationkey AS class_id, CASE WHEN n_nationkey = 3 THEN 'Three' ELSE n_name END AS class_name FROM nation")
+def catalog_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, classes = _catalog(spark, sf_dir)
+    return catalog.rename(classes, "class_id", 3, "class_name", "Three")

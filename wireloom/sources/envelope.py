@@ -5,11 +5,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .fields import buffers, gather
+
 FRAME = T.StructType([T.StructField(n, T.BinaryType() if n == "payload" else T.IntegerType()) for n in ("idx", "flags", "header_offset", "payload_offset", "payload_len", "payload")])
 FRAMES = T.StructType([T.StructField("frames", T.ArrayType(FRAME)), T.StructField("error", T.StringType())])
 HEADER = 5
@@ -17,28 +20,45 @@ HEADER = 5
 FORMATS = {"gzip": 31, "deflate": 15, "deflate-raw": -15}
 
 
+def _frames_batch(column: pa.Array) -> pa.Array:
+    """The frames of all envelopes of a batch in step: step k reads the k-th header of each."""
+    data, bounds, null = buffers(column)
+    padded, n = np.append(data, np.zeros(HEADER, np.uint8)).astype(np.int64), len(column)
+    row = np.flatnonzero(~null)
+    at, stop = bounds[row], bounds[row + 1]
+    errors: list[str | None] = [None] * n
+    for r in row[at == stop].tolist():
+        errors[r] = "no bytes"
+    row, at, stop = (x[at < stop] for x in (row, at, stop))
+    found, k = [], 0
+    while len(row):
+        left = stop - at
+        size = sum(padded[np.minimum(at + 1 + i, len(padded) - 1)] << 8 * (3 - i) for i in range(4))
+        short, cut = left < HEADER, left - HEADER < size
+        for r, x in zip(row[short].tolist(), left[short].tolist(), strict=True):
+            errors[r] = f"frame {k} has {x} of {HEADER} header bytes"
+        for r, x, y in zip(*(v[~short & cut].tolist() for v in (row, size, left)), strict=True):
+            errors[r] = f"frame {k} declares {x} byte(s); {y - HEADER} are left"
+        good = ~short & ~cut
+        found.append((row[good], np.full(int(good.sum()), k), padded[at[good]], at[good], size[good]))
+        row, at, stop, k = row[good], at[good] + HEADER + size[good], stop[good], k + 1
+        row, at, stop = (x[at < stop] for x in (row, at, stop))
+    row, idx, flags, at, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
+    bad = np.array([e is not None for e in errors], bool)
+    order = np.lexsort((idx, row))
+    order = order[~bad[row[order]]]
+    row, idx, flags, at, size = (x[order] for x in (row, idx, flags, at, size))
+    base = bounds[:-1][row]
+    ints = [pa.array(x.astype(np.int32)) for x in (idx, flags, at - base, at - base + HEADER, size)]
+    cells = pa.StructArray.from_arrays([*ints, gather(data, at + HEADER, at + HEADER + size)], names=FRAME.names)
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), cells, mask=pa.array(bad))
+    return pa.StructArray.from_arrays([lists, pa.array(errors, pa.string())], names=FRAMES.names, mask=pa.array(null))
+
+
 @F.arrow_udf(FRAMES)
 def _frames(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in batches:
-        out = []
-        for b in column:
-            raw = b.as_py()
-            if raw is None:
-                out.append(None)
-                continue
-            frames, at, error = [], 0, None if raw else "no bytes"
-            while at < len(raw) and not error:
-                size = int.from_bytes(raw[at + 1 : at + HEADER], "big")
-                if len(raw) - at < HEADER:
-                    error = f"frame {len(frames)} has {len(raw) - at} of {HEADER} header bytes"
-                elif len(raw) - at - HEADER < size:
-                    error = f"frame {len(frames)} declares {size} byte(s); {len(raw) - at - HEADER} are left"
-                else:
-                    body = at + HEADER
-                    frames.append({"idx": len(frames), "flags": raw[at], "header_offset": at, "payload_offset": body, "payload_len": size, "payload": raw[body : body + size]})
-                    at = body + size
-            out.append({"frames": None if error else frames, "error": error})
-        yield pa.array(out, type=pa.struct([("frames", pa.list_(pa.struct([(f.name, pa.binary() if f.name == "payload" else pa.int32()) for f in FRAME]))), ("error", pa.string())]))
+        yield _frames_batch(column)
 
 
 def frames(msg: Column | str) -> Column:
@@ -106,15 +126,24 @@ def decompress(payload: Column | str, first: str | None = None) -> Column:
     return _inflate(first)(F.col(payload) if isinstance(payload, str) else payload)
 
 
-@F.arrow_udf(T.BinaryType())
-def gzip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Payloads compressed, with a header that doesn't depend on the time."""
-    for column in batches:
-        out = []
-        for b in column:
-            box = zlib.compressobj(6, zlib.DEFLATED, 31)
-            out.append(None if not b.is_valid else box.compress(b.as_py()) + box.flush())
-        yield pa.array(out, pa.binary())
+def compress(payload: Column | str, format: str = "gzip") -> Column:
+    """Payloads compressed in one of FORMATS, with a header that doesn't depend on the time."""
+    bits = FORMATS[format]
+
+    def deflate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out = []
+            for b in column:
+                box = zlib.compressobj(6, zlib.DEFLATED, bits)
+                out.append(None if not b.is_valid else box.compress(b.as_py()) + box.flush())
+            yield pa.array(out, pa.binary())
+
+    deflate.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(deflate, T.BinaryType())(F.col(payload) if isinstance(payload, str) else payload)
+
+
+def gzip(payload: Column | str) -> Column:
+    return compress(payload, "gzip")
 
 
 def from_references(refs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ class Walker:
 
     def finish(self) -> list[tuple]:
         open_ = not self.failed and (self.frames or self.base + len(self.data) > self.pos)
-        return [(self.pos, None, None, None, None, None, None, None, "Truncated")] if open_ else []
+        return [(self.frames[0][3] if self.frames else self.pos, None, None, None, None, None, None, None, "Truncated")] if open_ else []
 
     def _cut(self, a: int, b: int) -> bytes:
         return self.data[a - self.base : b - self.base]
