@@ -46,6 +46,71 @@ def test_toxicity_held_out(spark):
     assert len(odd) == len(H.odd_rows()) and all(0 <= r.t.score < 0.7 for r in odd)
 
 
+def plain_kneser_ney(texts):
+    """Two bigram models over texts of both classes, in dictionaries: P(class, before, word)."""
+    import math
+    import re
+    from collections import Counter
+
+    pairs = [Counter(), Counter()]
+    for text, toxic in texts:
+        words = ["<", *re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+        pairs[toxic].update(zip(words[:-1], words[1:]))
+
+    def discounts(counts):
+        n = [max(sum(c == i for c in counts), 1) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        raw = [0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        return [min(max(d, lo), hi) for d, lo, hi in zip(raw, (0, 0.1, 0.1, 0.1), (0, 0.98, 1.9, 2.8))]
+
+    def drawn(counts, prior, odds):
+        """Counts of both classes by expression, drawn to their sum as odds split it, and the parts to discount."""
+        every = set(counts[0]) | set(counts[1])
+        both = {x: counts[0].get(x, 0) + counts[1].get(x, 0) for x in every}
+        d = discounts(both.values())
+        own = {x: both[x] / (both[x] + prior) for x in every}
+        out = [{x: own[x] * counts[k].get(x, 0) + (1 - own[x]) * both[x] * odds(k, x) / (odds(0, x) + odds(1, x)) for x in every} for k in (0, 1)]
+        return out, {x: d[min(both[x], 3)] / both[x] for x in every}
+
+    kinds = [Counter(w for _, w in pairs[k]) for k in (0, 1)]
+    cont, cont_part = drawn(kinds, 5, lambda k, w: sum(kinds[k].values()))
+
+    def lower(k, w):
+        total = sum(cont[k].values())
+        rest = sum(n * cont_part[x] for x, n in cont[k].items()) / total
+        return cont[k].get(w, 0) * (1 - cont_part.get(w, 0)) / total + rest / (len(cont[k]) + 1)
+
+    c, part = drawn(pairs, 20, lambda k, x: sum(pairs[k].values()) * lower(k, x[1]))
+
+    def p(k, h, w):
+        of_h = {x: n for x, n in c[k].items() if x[0] == h}
+        if not of_h:
+            return lower(k, w)
+        total = sum(of_h.values())
+        return of_h.get((h, w), 0) * (1 - part.get((h, w), 0)) / total + sum(n * part[x] for x, n in of_h.items()) / total * lower(k, w)
+
+    return lambda text: [math.log(p(1, h, w) / p(0, h, w)) for h, w in (lambda ws: zip(["<", *ws[:-1]], ws))(text.split())]
+
+
+def test_toxicity_models_equal_plain_ones(spark):
+    docs, labels = toxic_table(spark, 90)
+    model = toxicity.fit(docs, labels, word_prior=5, pair_prior=20)
+    rank = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
+    learned = docs.join(labels, "doc_id").filter(F.pmod(rank, F.lit(3)) != 0).select("text", "toxic").collect()
+    plain = plain_kneser_ney([(r.text, r.toxic) for r in learned])
+    probes = ["grubble the stone", "stone snark newword river", "the the the", "unseen", " ".join(learned[0].text.lower().split()[:40])]
+    got = toxicity.evidence(model, pa.array(probes))
+    for text, x in zip(probes, got.tolist()):
+        llr = plain(text)
+        assert abs(x[0] - sum(llr) / max(len(llr), toxicity.LEAST_WORDS)) < 1e-6
+        for size, peak in zip(toxicity.WINDOWS, x[1:]):
+            assert abs(peak - max(sum(llr[i : i + size]) / size for i in range(len(llr)))) < 1e-6
+    # rare words and pairs stay, and the sample is bounded in words too
+    assert len(model.pairs) > 1000
+    few = toxicity.fit(docs, labels, per_class_words=900)
+    assert 0 < len(few.pairs) < 1300
+
+
 def test_toxicity_without_a_class(spark):
     docs, labels = toxic_table(spark, 30)
     assert toxicity.fit(docs, labels.filter("toxic = 0")) is None
@@ -245,3 +310,9 @@ def test_secrets_of_odd_rows(spark):
 def test_secret_patterns_on_long_runs(spark, text):
     df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
     assert secrets.scan(df).select(secrets.digest(F.col("base_spans"))).first()[0] == base_spans(text)
+
+
+def test_a_value_in_many_repositories_is_copied(spark):
+    rows = [(i, "token = q7Wz91LkPm33 ", "o1") for i in range(secrets.COPIED_REPOS)] + [(100 + i, "token = Zk4Wz91LkPm3x ", "o2") for i in range(secrets.COPIED_REPOS - 1)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((r.doc_id, r.n_live, r.n_copied) for r in got.collect()) == [(i, int(i >= 100), int(i < 100)) for i, _, _ in rows]

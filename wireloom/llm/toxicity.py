@@ -1,9 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated Kneser-Ney bigram models, of toxic and of ordinary labelled
-texts, back off to one shared continuation distribution over both classes, so
-that an expression that is rare in one class gets much the same probability in
-both. A text's evidence is its log-likelihood ratio, length-normalised over the
+texts: counts of pairs at the top, numbers of distinct words before a word below,
+and an even share below these. At both levels what an expression counts in a
+class is drawn, the more the rarer it is, towards its count in both classes
+together, split as the level below would split it, and modified Kneser-Ney
+discounts go by the shared counts too; so a rare expression says little more
+than the words in it, and none is left out. A text's evidence is its log-likelihood ratio, length-normalised over the
 whole text and over its most toxic window; a logistic fit on labelled texts that
 the models haven't seen turns both into a score.
 """
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +30,6 @@ WINDOWS = (1, 2, 4, 8, 16, 48)
 #: Shorter texts count as if so long.
 LEAST_WORDS = 24
 START = 0x5EED
-#: Expressions with fewer contexts in both classes together are wholly discounted:
-#: their mass goes to the backoff that the classes share.
-SUPPORT = 5
-PAIR_SUPPORT = 20
 SCORED = struct_of(score="double", llr="double", peak="double")
 
 
@@ -63,43 +62,34 @@ class Model:
     weights: np.ndarray  # of 1 and of each kind of evidence in the score
 
 
-def fit_models(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> Model:
-    """From distinct (first, second) word pairs and their counts in both classes."""
-    kinds = counts > 0
-    words, cont = _sums(second, kinds.astype(np.float64))
-    # Shared counts matter to rare words only: past SUPPORT they don't grow, else what
-    # one class alone says often would look likely in the other as well.
-    shared = np.minimum(cont.sum(axis=1), SUPPORT)
-    none = 1 / (shared.sum() + 1)
-    shared = shared * none
-    word_p, unseen = np.zeros_like(cont), np.zeros(2)
-    contexts, back_kinds = np.unique(first), None
+def _shared(counts: np.ndarray, prior: float, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of both classes, drawn towards their sum split by odds as if prior more were seen in both together, and the part of each to discount."""
+    both = counts.sum(axis=1)
+    split = both[:, None] * odds / np.maximum(odds.sum(axis=1), 1e-300)[:, None]
+    own = (both / (both + prior))[:, None]
+    part = _discounts(both)[np.minimum(both, 3).astype(np.int64)] / np.maximum(both, 1)
+    return own * counts + (1 - own) * split, part
+
+
+def fit_models(first: np.ndarray, second: np.ndarray, counts: np.ndarray, word_prior: float, pair_prior: float) -> Model:
+    """From distinct (first, second) word pairs and their counts in both classes; every pair and word stays."""
+    words, cont = _sums(second, (counts > 0).astype(np.float64))
+    none = 1 / (len(words) + 1)
+    cont, part = _shared(cont, word_prior, np.broadcast_to(cont.sum(axis=0), cont.shape))
+    total = np.maximum(cont.sum(axis=0), 1e-300)
+    rest = (cont * part[:, None]).sum(axis=0) / total
+    rest[cont.sum(axis=0) == 0] = 1  # a class without words
+    word_p = cont * (1 - part)[:, None] / total + rest * none
+    contexts = np.unique(first)
     where = np.searchsorted(contexts, first)
-    at = np.searchsorted(words, second)
-    pair_p = np.zeros((len(first), 2), np.float32)
-    back = np.ones((len(contexts), 2), np.float32)
-    for c in range(2):
-        total = max(cont[:, c].sum(), 1)
-        d = _discounts(cont[:, c])[np.minimum(cont[:, c], 3).astype(np.int64)]
-        d = np.where(cont.sum(axis=1) < SUPPORT, cont[:, c], d)
-        rest = (d.sum() if cont[:, c].any() else total) / total
-        word_p[:, c] = (cont[:, c] - d) / total + rest * shared
-        unseen[c] = rest * none
-        d2 = _discounts(counts[:, c])[np.minimum(counts[:, c], 3)]
-        d2 = np.where(counts.sum(axis=1) < PAIR_SUPPORT, counts[:, c], d2)
-        h_total = np.bincount(where, weights=counts[:, c], minlength=len(contexts))
-        seen = h_total > 0
-        back[seen, c] = (np.bincount(where, weights=d2, minlength=len(contexts)) / np.maximum(h_total, 1))[seen]
-        pair_p[:, c] = (counts[:, c] - d2) / np.maximum(h_total, 1)[where]
-    # What is wholly discounted in both classes differs by the backoff weights only, as
-    # unseen words do; the model leaves it out.
-    kept = counts.sum(axis=1) >= PAIR_SUPPORT
-    first, second, pair_p = first[kept], second[kept], pair_p[kept]
-    known = (cont.sum(axis=1) >= SUPPORT) | np.isin(words, second)
-    used = np.isin(contexts, first)
+    c, part = _shared(counts.astype(np.float64), pair_prior, counts.sum(axis=0) * word_p[np.searchsorted(words, second)])
+    total = np.column_stack([np.bincount(where, weights=c[:, k], minlength=len(contexts)) for k in range(2)])
+    given = np.column_stack([np.bincount(where, weights=c[:, k] * part, minlength=len(contexts)) for k in range(2)])
+    back = np.where(total > 0, given / np.maximum(total, 1e-300), 1)
+    pair_p = c * (1 - part)[:, None] / np.maximum(total, 1e-300)[where]
     pairs = B.combine(first, second)
     order = np.argsort(pairs)
-    return Model(words[known], word_p[known], contexts[used], back[used], pairs[order], pair_p[order], unseen, np.zeros(1))
+    return Model(words, word_p, contexts, back.astype(np.float32), pairs[order], pair_p[order].astype(np.float32), rest * none, np.zeros(1))
 
 
 def _look_up(table: np.ndarray, values: np.ndarray, keys: np.ndarray, default: np.ndarray | float) -> np.ndarray:
@@ -162,31 +152,47 @@ def evidence(model: Model, column: pa.Array) -> np.ndarray:
 
 
 def fit_score(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted logistic regression by Newton's method, with a small ridge; weights of 1 and of x."""
+    """Weighted logistic regression by Newton's method, with a small ridge; weights of 1 and of x.
+
+    More evidence never lowers a score: kinds whose weight would be negative are left out.
+    """
     scale = np.maximum(x.std(axis=0), 1e-9)
-    a = np.column_stack([np.ones(len(x)), x / scale])
-    ridge = np.full(a.shape[1], 1e-2)
-    w = np.zeros(a.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a.T * (weight * p * (1 - p))) @ a + np.diag(ridge), a.T @ (weight * (toxic - p)) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return np.array([w[0], *(w[1:] / scale)])
+    used = np.arange(x.shape[1])
+    while True:
+        a = np.column_stack([np.ones(len(x)), (x / scale)[:, used]])
+        ridge, w = np.full(a.shape[1], 1e-2), np.zeros(a.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a.T * (weight * p * (1 - p))) @ a + np.diag(ridge), a.T @ (weight * (toxic - p)) - ridge * w)
+            w += step
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[1:] >= 0).all():
+            out = np.zeros(1 + x.shape[1])
+            out[0], out[1 + used] = w[0], w[1:] / scale[used]
+            return out
+        used = np.delete(used, np.argmin(w[1:]))
 
 
 def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (before, first, second, toxic) of each batch's texts."""
+    """(first, second, toxic) of the texts, with their numbers in each chunk."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
         for lo, hi, data, offsets in B.chunks(batch.column("text")):
             words, row, first = _tokens(data, offsets)
             h = _before(words, first)
-            v = _before(h, first)
             kind = toxic[lo:hi][row] if len(words) else np.zeros(0, np.int64)
-            _, at = np.unique(B.combine(B.combine(B.combine(v, h), words), kind), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (v, h, words)] + [pa.array(kind[at].astype(np.int32))], names=["before", "first", "second", "toxic"])
+            _, at, n = np.unique(B.combine(B.combine(h, words), kind), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(words[at].view(np.int64)), pa.array(kind[at].astype(np.int32)), pa.array(n)], names=["first", "second", "toxic", "n"])
+
+
+@F.arrow_udf(T.LongType())
+def _n_words(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in texts:
+        out = np.zeros(len(column), np.int64)
+        for lo, hi, data, offsets in B.chunks(column):
+            out[lo:hi] = np.diff(_tokens(data, offsets)[2])
+        yield pa.array(out)
 
 
 def _evidence_udf(spark: SparkSession, model: Model):
@@ -201,13 +207,16 @@ def _evidence_udf(spark: SparkSession, model: Model):
     return F.arrow_udf(measure, T.ArrayType(T.DoubleType())).asNondeterministic()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000) -> Model | None:
-    """Fits the models on at most per_class labelled documents of each class.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, per_class_words: int = 2_000_000, word_prior: float = 1, pair_prior: float = 200) -> Model | None:
+    """Fits the models on at most per_class labelled documents, of per_class_words words in all, of each class.
 
-    The sample, by hash of the id, bounds what comes to the driver; per_class
-    is the documented limit and doesn't depend on the corpus. Two thirds of it
-    make the models, one third the score. An id with both labels is toxic;
-    null ids, labels and texts teach nothing. None if a class has no text.
+    The sample, by hash of the id, bounds what comes to the driver: no more pairs
+    than words, 24 bytes each, so 96 MB. Both limits are documented ones and
+    don't depend on the corpus; documents behind the word limit are left out
+    whole. Two thirds of the sample make the models, one third the score. An id
+    with both labels is toxic; null ids, labels and texts teach nothing. None if
+    a class has no text. The priors say how often an expression must be seen,
+    in both classes together, to count for as much as what the classes share.
     """
     spark = docs.sparkSession
     by_id = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic")).filter("id is not null")
@@ -218,12 +227,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = [by_id.filter(F.col("toxic") == c).withColumn("rank", rank).orderBy("rank", "id").limit(per_class) for c in (0, 1)]
     sample = sample[0].union(sample[1])  # at most 2 * per_class rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(sample), "id")
-    texts = keep(texts.select("text", "toxic", (F.pmod("rank", F.lit(3)) == 0).alias("check")), "toxicity")
-    learn = texts.filter(~F.col("check")).select("text", "toxic").mapInArrow(_expressions, struct_of(before="long", first="long", second="long", toxic="int"))
-    kinds = learn.distinct().groupBy("first", "second").agg(F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic")).toArrow()
+    texts = keep(texts.select("text", "toxic", "rank", "id", (F.pmod("rank", F.lit(3)) == 0).alias("check"), _n_words("text").alias("n")), "toxicity")
+    upto = F.sum("n").over(Window.partitionBy("toxic").orderBy("rank", "id", "n").rowsBetween(Window.unboundedPreceding, 0))  # at most per_class rows a class
+    over = texts.select("toxic", "rank", "id", upto.alias("upto")).filter(F.col("upto") > per_class_words).groupBy("toxic").agg(F.min("rank").alias("end"))
+    ends = {r["toxic"]: r["end"] for r in over.collect()}
+    for c, end in ends.items():
+        texts = texts.filter((F.col("toxic") != c) | (F.col("rank") < end))
+    learn = texts.filter(~F.col("check")).select("text", "toxic").mapInArrow(_expressions, struct_of(first="long", second="long", toxic="int", n="long"))
+    kinds = learn.groupBy("first", "second").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).cast("int").alias(name) for c, name in enumerate(("ordinary", "toxic")))).toArrow()
     if kinds.num_rows == 0:
         return None
-    model = fit_models(*(kinds[c].to_numpy().view(B.U) for c in ("first", "second")), np.column_stack([kinds[c].to_numpy() for c in ("ordinary", "toxic")]))
+    model = fit_models(*(kinds[c].to_numpy().view(B.U) for c in ("first", "second")), np.column_stack([kinds[c].to_numpy() for c in ("ordinary", "toxic")]), word_prior, pair_prior)
     seen = texts.filter("check").select("toxic", _evidence_udf(spark, model)("text").alias("x")).toArrow()
     toxic = seen["toxic"].to_numpy()
     if len(set(toxic.tolist())) < 2:
@@ -235,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(spark: SparkSession, model: Model | None, text: Column) -> Column:
-    """A struct of score (0 to 1), llr and peak of each text.
+    """A struct of score (0 to 1), llr and peak of each text; equal texts get equal scores, in any order of rows.
 
     A null or empty text, or one without words, has no evidence: its score is
     the fitted base rate. Without a model all scores are 0.
