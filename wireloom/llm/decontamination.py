@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from . import _bytes as B
 from . import _filter
-from ._shared import few_files, fresh, hold, keep, struct_of, without
+from ._shared import few_files, fresh, hinted, keep, struct_of, without
 
 MARK = T.ArrayType(struct_of(fp="long", pos="int", size="int", around="[long]"))
 MARKED = struct_of(n_words="long", marks=MARK)
@@ -126,34 +126,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), _marker(window, k, [], None)(F.col(text_col)).alias("m"))
-    items = keep(items.select("item", F.explode("m.marks").alias("m")).select("item", "m.fp", "m.size", "m.around").distinct(), "items")
+    items = items.select("item", F.explode("m.marks").alias("m")).select("item", "m.fp", "m.size", "m.around").distinct()
+    # A gram with what lies around it is one class, whatever items have it.
+    items = keep(items.groupBy("fp", "size", "around").agg(F.collect_set("item").alias("ids")).withColumn("class", F.monotonically_increasing_id()), "items")
     sizes = sorted(-r["size"] for r in items.select("size").filter("size < 0").distinct().collect())  # below the window
     marked = docs.select(F.col(id_col), _marker(window, k, sizes, _filter.make(items, "fp"))(F.col(text_col)).alias("m"))
-    marked = hold(marked.select(F.monotonically_increasing_id().alias("row"), id_col, "m.n_words", "m.marks"))
+    marked = keep(marked.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), "m.n_words", "m.marks"), "marks")
 
     marks = marked.select("row", F.explode("marks").alias("m")).select("row", "m.fp", "m.pos", "m.size", F.col("m.around").alias("mine"))
-    met = marks.join(items, ["fp", "size"]).select("row", "pos", "size", "item", _extend("mine", "around").alias("e"))
+    met = marks.join(hinted(items.drop("ids")), ["fp", "size"]).select("row", "pos", "size", "class", _extend("mine", "around").alias("e"))
     short = F.col("size") < 0
     run = F.when(short, -F.col("size")).otherwise(F.lit(k) + F.col("e.left") + F.col("e.right"))
     met = met.filter(short | (run >= window)).select(
-        "row", "pos", "item",
+        "row", "pos", "class",
         F.when(short, F.col("pos")).otherwise(F.col("pos") - F.col("e.left")).alias("a"),
         F.when(short, F.col("pos") - F.col("size")).otherwise(F.col("pos") + k + F.col("e.right")).alias("b"),
     )
     # Runs of one gram overlap in it, so their union is one run.
-    hits = met.groupBy("row", "pos").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_set("item").alias("items"))
+    hits = met.groupBy("row", "pos").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_set("class").alias("classes"))
     before = Window.partitionBy("row").orderBy("a", "b", "pos").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce(F.max("b").over(before), F.lit(0))))
-    found = hits.withColumn("new", new).groupBy("row").agg(F.sum("new").alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    out = marked.select("row", id_col, "n_words").join(found, "row", "left")
+    found = keep(hits.withColumn("new", new).groupBy("row").agg(F.sum("new").alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("classes"))).alias("classes")), "found")
+    ids = found.select("row", F.explode("classes").alias("class")).join(hinted(items.select("class", "ids")), "class")
+    ids = ids.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items"))
+    out = marked.select("row", "id", "n_words").join(found.select("row", "n_hit").join(ids, "row", "left"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     none = F.array().cast("array<string>")
-    return out.select(id_col, "n_words", n_hit.alias("n_hit"), F.array_sort(F.coalesce("items", none)).alias("item_ids"), (n_hit > 0).alias("contaminated"))
+    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.array_sort(F.coalesce("items", none)).alias("item_ids"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 10, k: int = 5) -> DataFrame:
-    """The rows of docs, all columns, that share no window with the benchmark."""
+    """The rows of docs, all columns, that share no window with the benchmark.
+
+    Null, empty and wordless texts share none and stay; repeated rows stay or go
+    together. docs is written with a number for each row, so it need not give the
+    same rows again.
+    """
     name = fresh(docs, "_row")
-    rows = hold(docs.withColumn(name, F.monotonically_increasing_id()))
+    rows = keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     got = decontaminate(rows, benchmark, window, k, name, text_col, item_col)
     return few_files(without(rows, keep(got.filter("contaminated").select(name), "hits"), name).select(*docs.columns), docs)
