@@ -4,8 +4,8 @@ All work is DataFrame expressions. Spans come from splitting a text by a
 pattern: the pieces between matches and the matches alternate, so running sums
 of their lengths are the positions, in code points. Every candidate value is
 then counted by distinct repositories and owners over the whole corpus: a value
-that many owners hold is a copied example, one that a single owner holds and
-that looks random is live.
+that many owners hold, or very many repositories, is a copied example; one that
+a single owner holds in few repositories and that looks random is live.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import hold
+from ._shared import join_hot, keep
 
 #: Kind, pattern, group with the secret, least length of the group.
 BASE_KINDS = (
@@ -29,8 +29,8 @@ ADDED_KINDS = (
 )
 KINDS = BASE_KINDS + ADDED_KINDS
 
-#: A value held by this many owners is an example that was copied.
-COPIED_OWNERS = 3
+#: A value held by this many owners, or in this many repositories whoever owns them, is an example that was copied.
+COPIED_OWNERS, COPIED_REPOS = 3, 20
 
 
 def _quoted(pattern: str) -> Column:
@@ -88,14 +88,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     keep a row each. Other columns are not read.
     """
     rows = candidates(docs, text_col, F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
-    rows = hold(rows)
+    rows = keep(rows, "spans")
     one = rows.filter(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s"))
     one = one.withColumn("value_hash", F.xxhash64("s.value"))
     held = ownership(one.select("value_hash", "repo", "owner"))
-    one = one.join(held, "value_hash", "left")
+    one = join_hot(one, held, ["value_hash"], "left")
     base = F.col("s.ord") < len(BASE_KINDS)
-    copied = F.col("n_owners") >= COPIED_OWNERS
-    live = (F.col("n_owners") == 1) & random_looking(F.col("s.value"))
+    copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repos") >= COPIED_REPOS)
+    live = (F.col("n_owners") == 1) & ~copied & random_looking(F.col("s.value"))
     span = F.struct(F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.col("n_owners"), F.col("n_repos"), live.alias("live"))
     by_row = one.filter(base | ~copied).groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.count_if(live).alias("n_live"), F.count_if(copied).alias("n_copied"))
     out = rows.select("row", F.col("id").alias(id_col)).join(by_row, "row", "left")
