@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _bytes as B
-from ._shared import hold, struct_of
+from ._shared import keep, struct_of
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Pieces of a group, on average: enough for a tight packing, some MB in a task.
@@ -32,8 +32,17 @@ def cost(length: int) -> float:
 
 
 def best_fit(sizes: np.ndarray, lengths: Sequence[int] = LENGTHS, cost: Callable[[int], float] = cost) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packs sizes, sorted from large to small: each piece's bin and offset, and each bin's final length."""
+    """Packs sizes, sorted from large to small: each piece's bin and offset, and each bin's final length.
+
+    Greedy choices don't see far, so the packing is also made without the longest
+    lengths, as far as all pieces fit, and the one that costs least in all is taken.
+    """
     lengths = sorted(lengths)
+    ways = [lengths[:k] for k in range(len(lengths), 0, -1) if not len(sizes) or lengths[k - 1] >= sizes[0]]
+    return min((_fit(sizes, way, cost) for way in ways), key=lambda got: sum(n * cost(int(c)) for c, n in zip(*np.unique(got[2], return_counts=True), strict=True)))
+
+
+def _fit(sizes: np.ndarray, lengths: list[int], cost: Callable[[int], float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     top = lengths[-1]
     price = [cost(c) for c in lengths]
     size = sizes.tolist()
@@ -97,12 +106,15 @@ def pack(items: DataFrame, lengths: Sequence[int] = LENGTHS, id_col: str = "doc_
     files.
     """
     top = max(lengths)
-    rows = hold(items.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("n")).filter("n > 0"))  # read twice
-    count = rows.agg(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0
+    # Equal rows are numbered, so that they spread over the groups as others do.
+    rows = items.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("n")).filter("n > 0")
+    rows = keep(rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("copies")), "items")
+    count = rows.agg(F.sum(F.ceil(F.col("n") / top) * F.col("copies"))).first()[0] or 0
     n_groups = max(1, -(-int(count) // group))
-    pieces = rows.select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / top))).alias("piece"))
+    rows = rows.select("id", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    pieces = rows.select("id", "n", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / top))).alias("piece"))
     start = F.col("piece") * top
-    pieces = pieces.select("id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(top)).alias("n"), F.pmod(F.xxhash64("id", "piece", F.lit("packing")), F.lit(n_groups)).alias("part"))
+    pieces = pieces.select("id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(top)).alias("n"), F.pmod(F.xxhash64("id", "n", "copy", "piece", F.lit("packing")), F.lit(n_groups)).alias("part"))
     id_type = rows.schema["id"].dataType
 
     def run(table: pa.Table) -> pa.Table:
@@ -114,3 +126,15 @@ def pack(items: DataFrame, lengths: Sequence[int] = LENGTHS, id_col: str = "doc_
 
     out = struct_of(id=id_type, piece="long", start="long", n="long", sequence="string", place="long", length="long")
     return pieces.groupBy("part").applyInArrow(run, out).withColumnsRenamed({"id": id_col, "n": tokens_col})
+
+
+def contents(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_col: str = "n_tokens") -> DataFrame:
+    """sequence, length and texts: the words of each piece (packed by word_tokens), in their places.
+
+    ids must be unique in docs. A document's end token has no text.
+    """
+    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    texts = docs.select(F.col(id_col).alias("id"), words.alias("words"))
+    pieces = packed.select(F.col(id_col).alias("id"), "sequence", "length", "place", (F.col("start") + 1).cast("int").alias("start"), F.col(tokens_col).cast("int").alias("n"))
+    got = pieces.join(texts, "id").select("sequence", "length", F.struct("place", "id", F.array_join(F.slice("words", F.col("start"), F.col("n")), " ").alias("text")).alias("p"))
+    return got.groupBy("sequence", "length").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]).alias("texts"))

@@ -110,7 +110,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def passing(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text passes the policy."""
+    """The rows of docs, all columns, whose text passes the policy.
+
+    A null or empty text has no words and passes only a policy without few_words;
+    repeated rows and null ids are judged each by their own text.
+    """
     name = fresh(docs, "_ledger")
     got = docs.select("*", _measure(F.col(text_col)).alias(name))
     return got.filter(fail_bits(name).bitwiseAND(F.lit(POLICIES[policy])) == 0).drop(name)

@@ -245,5 +245,22 @@ ORACLES["op4_line_dedup_all"] = _all_lines(ORACLES["op4_line_dedup"])
 
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences of 512 to 8192 tokens (words and an end) that hold every document."""
-    return packing.pack(packing.word_tokens(table(spark, sf_dir, "documents")))
+    """Sequences of 512 to 8192 tokens (of the 32k piece vocabulary, and an end) that hold every document."""
+    import public_tokenizers
+
+    counts = token_counts.token_counts(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", (counts["n_tokens"] + 1).alias("n_tokens")))
+
+
+@query
+def op9_quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, alone and beside the others, from the ledger."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
+
+
+_RULE_ROWS = ", ".join(f"('{rule}', {bit})" for rule, bit in quality_rules.BITS.items() if bit & quality_rules.POLICIES["v1"])
+ORACLES["op9_quality_ablation"] = f"""
+WITH led AS (SELECT fail_bits & {quality_rules.POLICIES["v1"]} AS failed FROM ({ORACLES["op9_quality_rules"]})),
+rules AS (SELECT * FROM (VALUES {_RULE_ROWS}) AS t(rule, bit))
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_only FROM led, rules GROUP BY rule
+"""

@@ -144,9 +144,8 @@ class Counter:
                     memo[key] = self._piece(*key)
                 total[r] += memo[key]
         # A space before the text that no word takes is a token of its own.
-        for r in np.flatnonzero(np.diff(offsets) > 0).tolist():
-            if not odd[r] and data[offsets[r]] == 0x0A:
-                total[r] += 1
+        some = np.flatnonzero((np.diff(offsets) > 0) & ~odd)
+        total[some] += data[offsets[some]] == 0x0A
         for r in np.flatnonzero(odd).tolist():
             total[r] = len(self.model.encode(raw[offsets[r] : offsets[r + 1]].decode()))
         return total
