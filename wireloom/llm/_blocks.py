@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import EDGE, components
-from ._shared import hinted, hold, join_hot, keep
+from ._shared import hinted, hold, join_hot, keep, released
 
 #: Nodes of a block; a task compares two blocks at a time.
 BLOCK = 256
@@ -176,4 +176,4 @@ def spanning_links(keyed: DataFrame, linked: Linked) -> DataFrame:
                 held += 1
         yield decide(groups)
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, EDGE)
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(released(run), EDGE)

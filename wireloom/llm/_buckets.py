@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from . import _bytes as B
 from ._graph import EDGE
-from ._shared import struct_of
+from ._shared import released, struct_of
 
 PARTS = struct_of(shard="long", kind="int", a="binary", b="binary")
 KEYS, EDGES = 0, 1
@@ -99,4 +99,4 @@ def edges(rows: DataFrame, keyed: Keyed, n_keys: int) -> DataFrame:
 
     keyed gives keys and their nodes (unsigned longs) of a batch of rows; n_keys is about how many there are.
     """
-    return rows.mapInArrow(_parts(keyed, shard_bits(n_keys)), PARTS).groupBy("shard").applyInArrow(_meet, EDGE)
+    return rows.mapInArrow(released(_parts(keyed, shard_bits(n_keys))), PARTS).groupBy("shard").applyInArrow(_meet, EDGE)

@@ -6,11 +6,14 @@ and reading it again, so that a lost executor costs a rerun of tasks only.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +36,8 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Bytes of a scanned table for each file of what a pass over it returns.
-FILE_BYTES = 128 << 20
+#: Bytes of a scanned table for each file of what a pass over it returns; a writer holds about so many.
+FILE_BYTES = 32 << 20
 
 
 @contextmanager
@@ -52,6 +55,21 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_CONF, before)
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, whose worker gives what it freed back to the system at the end of a task: workers live on between stages."""
+
+    @wraps(run)
+    def to_the_end(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return to_the_end
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder."""
     spark = df.sparkSession

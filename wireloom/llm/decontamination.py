@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from . import _bytes as B
 from . import _filter
-from ._shared import few_files, fresh, hinted, keep, struct_of, without
+from ._shared import few_files, fresh, hinted, keep, released, struct_of, without
 
 MARK = T.ArrayType(struct_of(fp="long", pos="int", size="int", around="[long]"))
 MARKED = struct_of(n_words="long", marks=MARK)
@@ -101,6 +101,7 @@ def _marker(window: int, k: int, sizes: list[int], wanted: bytes | None):
             yield pa.concat_arrays(made) if len(column) else _marks(column, window, k, sizes, bits)
 
     mark.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    mark = released(mark)
     return F.arrow_udf(mark, MARKED).asNondeterministic()
 
 

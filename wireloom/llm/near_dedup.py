@@ -28,7 +28,7 @@ from . import _buckets, _filter
 from . import _bytes as B
 from ._blocks import family_components
 from ._graph import components
-from ._shared import few_files, fresh, hinted, hold, join_hot, keep, struct_of, without
+from ._shared import few_files, fresh, hinted, join_hot, keep, released, struct_of, without
 
 SHINGLE = 5
 #: Chance that a pair right at the threshold shares no band; more alike, far less.
@@ -169,6 +169,7 @@ def _sign(percent: int, exact: bool):
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))]))
 
     sign.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    sign = released(sign)
     return F.arrow_udf(sign, SIGNED).asNondeterministic()
 
 
@@ -251,12 +252,11 @@ def _components(signed: DataFrame, texts: DataFrame, percent: int, exact: bool)
     families = joined.union(joined.select(F.col("root").alias("node"), "root").distinct())
     families = keep(classes.select("h1", "h2", node).join(families, "node"), "candidates")
 
-    sets = texts.mapInArrow(_full_sets(_filter.make(families, "h1")), SETS)
+    sets = texts.mapInArrow(released(_full_sets(_filter.make(families, "h1"))), SETS)
     # Sets that link differ in size by a factor of 100 / percent at most: by one level.
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int")
-    ready = hold(sets.join(hinted(families), ["h1", "h2"]).select("node", "root", level.alias("level"), "items"))
+    ready = keep(sets.join(hinted(families), ["h1", "h2"]).select("node", "root", level.alias("level"), "items"), "sets")
     linked = family_components(ready, lambda groups: [linked_pairs([np.frombuffer(x, B.U) for x in items], percent) for items in groups], None if exact else _finer(percent))
-    ready.unpersist()
     roots = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     grouped = classes.select("h1", "h2", "least", node).join(roots, "node")
     by_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"))

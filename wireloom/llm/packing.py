@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _bytes as B
-from ._shared import keep, struct_of
+from ._shared import keep, released, struct_of
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Pieces of a group, on average: enough for a tight packing, some MB in a task.
@@ -83,6 +83,7 @@ def _fit(sizes: np.ndarray, lengths: list[int], cost: Callable[[int], float]) ->
 
 
 @F.arrow_udf(T.LongType())
+@released
 def _word_tokens(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
         out = np.ones(len(column), np.int64)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import fresh, struct_of
+from ._shared import fresh, released, struct_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words")
 LEDGER = struct_of(**dict.fromkeys(MEASURES, "long"))
@@ -79,6 +79,7 @@ def measure_texts(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 @F.arrow_udf(LEDGER)
+@released
 def _measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
         got = measure_texts(column)

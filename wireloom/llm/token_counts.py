@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import struct_of
+from ._shared import released, struct_of
 
 SPACE = "▁"
 COUNTS = struct_of(n_bytes="long", n_tokens="long")
@@ -193,4 +193,5 @@ def token_counts(text: Column, path: str) -> Column:
             yield pa.StructArray.from_arrays([pa.array(np.diff(offsets)), pa.array(counter.texts(column))], names=["n_bytes", "n_tokens"])
 
     count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    count = released(count)
     return F.arrow_udf(count, COUNTS).asNondeterministic()(text)
