@@ -65,10 +65,10 @@ class Model:
 def _shared(counts: np.ndarray, prior: float, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of both classes, drawn towards their sum split by odds as if prior more were seen in both together, and the part of each to discount."""
     both = counts.sum(axis=1)
-    split = both[:, None] * odds / np.maximum(odds.sum(axis=1), 1e-300)[:, None]
-    own = (both / (both + prior))[:, None]
-    part = _discounts(both)[np.minimum(both, 3).astype(np.int64)] / np.maximum(both, 1)
-    return own * counts + (1 - own) * split, part
+    own = both / (both + prior)
+    out = odds * (both * (1 - own) / np.maximum(odds.sum(axis=1), 1e-300))[:, None]
+    out += own[:, None] * counts
+    return out, _discounts(both)[np.minimum(both, 3).astype(np.int64)] / np.maximum(both, 1)
 
 
 def fit_models(first: np.ndarray, second: np.ndarray, counts: np.ndarray, word_prior: float, pair_prior: float) -> Model:
@@ -82,7 +82,7 @@ def fit_models(first: np.ndarray, second: np.ndarray, counts: np.ndarray, word_p
     word_p = cont * (1 - part)[:, None] / total + rest * none
     contexts = np.unique(first)
     where = np.searchsorted(contexts, first)
-    c, part = _shared(counts.astype(np.float64), pair_prior, counts.sum(axis=0) * word_p[np.searchsorted(words, second)])
+    c, part = _shared(counts, pair_prior, counts.sum(axis=0) * word_p[np.searchsorted(words, second)])
     total = np.column_stack([np.bincount(where, weights=c[:, k], minlength=len(contexts)) for k in range(2)])
     given = np.column_stack([np.bincount(where, weights=c[:, k] * part, minlength=len(contexts)) for k in range(2)])
     back = np.where(total > 0, given / np.maximum(total, 1e-300), 1)
@@ -207,11 +207,11 @@ def _evidence_udf(spark: SparkSession, model: Model):
     return F.arrow_udf(measure, T.ArrayType(T.DoubleType())).asNondeterministic()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, per_class_words: int = 2_000_000, word_prior: float = 1, pair_prior: float = 200) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, per_class_words: int = 1_500_000, word_prior: float = 1, pair_prior: float = 200) -> Model | None:
     """Fits the models on at most per_class labelled documents, of per_class_words words in all, of each class.
 
     The sample, by hash of the id, bounds what comes to the driver: no more pairs
-    than words, 24 bytes each, so 96 MB. Both limits are documented ones and
+    than words, 24 bytes each, so 48 MB. Both limits are documented ones and
     don't depend on the corpus; documents behind the word limit are left out
     whole. Two thirds of the sample make the models, one third the score. An id
     with both labels is toxic; null ids, labels and texts teach nothing. None if
