@@ -315,6 +315,18 @@ class Reader:
         return out
 
 
+#: The reader that a worker keeps from task to task, by its model's folder.
+_KEPT: dict[str, Reader] = {}
+
+
+def _reader(model: Model) -> Reader:
+    """This worker's reader: files are mapped (or copied, where they can't be) once a worker, not once a task."""
+    if model.folder not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model.folder] = Reader(model)
+    return _KEPT[model.folder]
+
+
 def score(model: Model, text: Column) -> Column:
     """A struct of n_tokens, n_known, base_score and score (log10) of each text.
 
@@ -323,7 +335,7 @@ def score(model: Model, text: Column) -> Column:
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        reader = Reader(model)
+        reader = _reader(model)
         for column in batches:
             got = reader.scores(column)
             yield pa.StructArray.from_arrays([pa.array(got[f]) for f in SCORED.names], names=SCORED.names)
