@@ -155,6 +155,13 @@ def test_rare_languages_are_learned(spark):
     assert language_id.fit(docs, total=80).langs == net.langs
 
 
+def test_copies_do_not_crowd_out_other_texts(spark):
+    docs = lang_table(spark, 90)
+    copies = docs.filter("doc_id = 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("copy")
+    one, other = (language_id.fit(x, per_lang=20) for x in (docs, docs.union(copies)))
+    assert one.langs == other.langs and np.array_equal(one.dense, other.dense)
+
+
 def test_long_texts_count_whole(spark):
     """A text that is one language at first and mostly another is of the other."""
     docs = lang_table(spark)

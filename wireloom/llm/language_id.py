@@ -141,7 +141,7 @@ def predict(net: Net, tables: tuple[np.ndarray, np.ndarray], column: pa.Array) -
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, total: int = 64_000, seed: str = "langid") -> Net | None:
-    """Trains on labelled texts of every language: per_lang of each, less where all would be more than total.
+    """Trains on distinct labelled texts of every language: per_lang of each, less where all would be more than total.
 
     That limit bounds what comes to the driver (a language has one text at
     least): from each text one stretch of 4 windows, at a place drawn by hash. Rows with null text or language, or
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    tally = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    tally = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()
     if not tally:
         return None
     langs = sorted(r["lang"] for r in tally)
@@ -160,7 +160,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     length = 4 * WINDOW
     start = 1 + F.pmod(F.xxhash64(F.lit(seed), "text"), F.greatest(F.lit(1), F.char_length("text") - length + 1))
     pick = rows.join(F.broadcast(share), "lang").filter(F.pmod(rank, F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    pick = keep(pick.select("lang", rank.alias("rank"), F.substring("text", start.cast("int"), F.lit(length)).alias("text")), "langid")
+    pick = pick.select("lang", rank.alias("rank"), F.substring("text", start.cast("int"), F.lit(length)).alias("text"))
+    # Copies of a text pass together; they count as one.
+    pick = keep(pick.groupBy("lang", "rank").agg(F.min("text").alias("text")), "langid")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))
     got = pick.withColumn("place", place).filter(F.col("place") <= per_lang).orderBy("lang", "place").toArrow()
     number = {name: k for k, name in enumerate(langs)}
